@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, telephony, warc
+from . import mixing, packing, pii, rules, simhash, telephony, warc
 
 QUERIES = {
+    "op2_mix_sources": mixing.query,
+    "op3_quality_rules": rules.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_telephony_audio": telephony.query,
+    "op6_personal_data": pii.query,
     "op7_best_fit_packing": packing.query,
     "op8_warc_revisits": warc.query,
 }
 
 ORACLE_SQL = {
+    "op2_mix_sources": mixing.SQL,
+    "op3_quality_rules": rules.SQL,
     "op8_warc_revisits": warc.SQL,
 }
