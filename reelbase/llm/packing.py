@@ -10,7 +10,9 @@ each length and hash bucket, then row numbers within a bucket), so a hot length
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -21,7 +23,13 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Entries of a worker's table of known words, and the longest word (in bytes) that it keeps.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 600_000, 48
+#: Closing marks that the tokenizer always sets apart from a letter or digit before them.
+MARKS = b".,!?%&*#$;:)]}"
+#: Lower-case words that normalisation and splitting leave as they are, and the letters that stand for their bytes.
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b if b in _shown else 256 + sum(x not in _shown for x in range(b)) for b in range(256)}
 #: Rows of one rank bucket, on average.
 BUCKET_ROWS = 20_000
 
@@ -37,11 +45,12 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode_batch
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
 
     def ids(self, texts: list[str | None], end: bytes) -> list[bytes]:
         chunks = [(t or "").encode().split() for t in texts]
-        extra = self.learn({w for c in chunks for w in c if w not in self})
+        extra = self.learn(set().union(*chunks).difference(self))
         look = self.__getitem__ if not extra else lambda w: self[w] if w in self else extra[w]
         found = [b"".join(map(look, c)) + end for c in chunks]
         if len(self) > CACHE_WORDS:
@@ -49,13 +58,38 @@ class WordTokens(dict):
         return found
 
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        words, extra = list(new), {}
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                (self if len(w) <= CACHE_BYTES else extra)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        """Encode new chunks; those too long to keep are returned.
+
+        The tokenizer lower-cases, and marks after an ASCII letter or digit are pieces of their own, so chunks that
+        differ in case or closing marks only are encoded once. Chunks that may hold special tokens are left whole.
+        """
+        extra, one = {}, self.one
+        for w in new:
+            low = w.lower() if b"<|" not in w else w
+            core = low.rstrip(MARKS)
+            if len(core) < len(low) and core[-1:].isalnum() and b"<|" not in w:
+                ids = (self.get(core) or one(core)) + (self.get(low[len(core) :]) or one(low[len(core) :]))
+            else:
+                ids = self.get(low) or one(low)
+            if len(w) <= CACHE_BYTES:
+                self[w] = ids
+            else:
+                extra[w] = ids
         return extra
 
+    def one(self, chunk: bytes) -> bytes:
+        """Ids of a chunk. Plain Latin words need no splitting and go straight to the merges."""
+        word = chunk.decode()
+        low = word.lower()
+        if LATIN.fullmatch(low):
+            found = [t.id for t in self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        else:
+            found = self.encode(word, add_special_tokens=False).ids
+        ids = array("I", found).tobytes()
+        if len(chunk) <= CACHE_BYTES:
+            self[chunk] = ids
+        return ids
+
 
 _known: dict[str, WordTokens] = {}
 

@@ -150,6 +150,18 @@ def test_packing_whole_table(spark, sf):
     assert used <= least * 1.02 + 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aBzéÀžÿ÷\u0301ß.,!'-9%<|>ΣİſK \n\u3000\x1c", max_size=12), max_size=6))
+def test_chunked_ids_equal_the_tokenizers(texts):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    texts = texts + ["It's <|endoftext|>X <|ENDOFTEXT|> y", "a<|endoftext|>.", "ΑΣ. ΑΣ\u0301, don't. 's!", "Éöøß àÿ ɏ İx ŉ ǰ Ǆ þ÷ ﬁ"]
+    got = packing.WordTokens(path).ids(texts, b"")
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_awkward_rows(spark):
     check_packed(packing.pack(awkward(spark), packing.default_tokenizer()).collect(), [(d, t) for d, t, _ in AWKWARD])
     assert packing.pack(awkward(spark).limit(0), packing.default_tokenizer()).count() == 0
