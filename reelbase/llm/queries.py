@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, rules, simhash, telephony, warc
+import corpus_pipeline
+
+from . import mixing, packing, pii, quality, rules, secrets, simhash, telephony, toxicity, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_quality_classifier": quality.query,
     "op2_mix_sources": mixing.query,
     "op3_quality_rules": rules.query,
     "op4_simhash_near_dedup": simhash.query,
@@ -12,6 +16,8 @@ QUERIES = {
     "op6_personal_data": pii.query,
     "op7_best_fit_packing": packing.query,
     "op8_warc_revisits": warc.query,
+    "op9_toxicity": toxicity.query,
+    "op10_secret_scan": secrets.query,
 }
 
 ORACLE_SQL = {
