@@ -12,6 +12,11 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def part(b: Column, at, n=None) -> Column:
     """n bytes from offset ``at`` (0 is the first), or all that follow."""
     if n is None:
@@ -72,6 +77,11 @@ def utf8_or_latin1(b: Column) -> Column:
     return F.when(F.call_function("is_valid_utf8", b.cast("string")), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
 
 
+def lv(x, n: int = 4, order=None) -> Column:
+    """Bytes behind their length (high byte first, unless another order is given)."""
+    return let(x if isinstance(x, Column) else raw(x), lambda b: F.concat((order or to_be)(F.length(b), n), b))
+
+
 # --------------------------------------------------------------------------- writers
 def to_be(x, n: int) -> Column:
     return F.unhex(F.lpad(F.hex(col(x).cast("long")), 2 * n, "0"))

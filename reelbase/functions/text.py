@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binary import let
 from .codes import FOURCC, GENRES, TWOCC, lookup, pick
 
 SERIES = r"^(.+?)[\. _-]+[sS]?([0-9]|[0-9][0-9])[xeE]([0-9]|[0-9][0-9])[\. _-]+(.+)$"
@@ -130,7 +131,7 @@ def chapter_seconds(s: Column) -> Column:
 
 def comment_pair(s: Column) -> Column:
     """struct<key, value> of KEY=value, key in upper case; null without a sign."""
-    return F.when(F.instr(s, "=") > 0, F.struct(F.upper(F.substring_index(s, "=", 1)).alias("key"), F.expr("1").cast("string").alias("value")).withField("value", F.regexp_replace(s, "^[^=]*=", "")))
+    return F.when(F.instr(s, "=") > 0, F.struct(F.upper(F.substring_index(s, "=", 1)).alias("key"), F.regexp_replace(s, "^[^=]*=", "").alias("value")))
 
 
 def frame_id_valid(s: Column) -> Column:
@@ -141,9 +142,8 @@ def ratio(num: Column, den: Column) -> Column:
     """num/den in lowest terms, num alone for whole numbers."""
     pair = F.struct(F.abs(num).alias("a"), F.abs(den).alias("b"))
     gcd = F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b"))), lambda s: F.greatest(s["a"], F.lit(1)))
-    n, d = F.expr("1").cast("long"), None
-    n, d = (num / gcd).cast("long"), (den / gcd).cast("long")
-    return F.when(d == 1, n.cast("string")).otherwise(F.concat(n.cast("string"), F.lit("/"), d.cast("string")))
+    n, d = (lambda g: (num / g).cast("long")), (lambda g: (den / g).cast("long"))
+    return let(gcd, lambda g: F.when(d(g) == 1, n(g).cast("string")).otherwise(F.concat(n(g).cast("string"), F.lit("/"), d(g).cast("string"))))
 
 
 def friendly_date(year: Column, day_month: Column, time: Column) -> Column:
