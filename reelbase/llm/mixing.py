@@ -97,7 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     p = mix_plan(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("m__id"), F.col("source").alias("m__source"), F.col("n_tokens").alias("m__tokens"), F.col("copies").alias("m__copies"))
     p = staged(p, "mixing-plan")
     key = F.col(id_col).eqNullSafe(F.col("m__id")) & F.col(source_col).eqNullSafe(F.col("m__source")) & (F.col("m__words") == F.col("m__tokens"))
-    x = docs.withColumn("m__words", tokens_of(text_col)).join(p, key)
+    # a merge join at every size: were small plans broadcast, cost would jump where they outgrow that
+    x = docs.withColumn("m__words", tokens_of(text_col)).join(p.hint("merge"), key)
     return x.withColumn("m__copy", F.explode(F.expr("slice(sequence(1L, greatest(m__copies, 1L)), 1, int(m__copies))"))).select(*[F.col(c) for c in docs.columns])
 
 

@@ -348,7 +348,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count("*").alias("rows")).select(F.col(id_col).alias("keep__id"), "rows"),
         "simhash-keep",
     )
-    kept = docs.join(keep.select("keep__id").distinct(), docs[id_col].eqNullSafe(F.col("keep__id")), "left_semi")
+    # a merge join at every size: were small tables broadcast, cost would jump where they outgrow that
+    kept = docs.join(keep.select("keep__id").distinct().hint("merge"), docs[id_col].eqNullSafe(F.col("keep__id")), "left_semi")
     if keep.where((F.col("rows") > 1) | F.col("keep__id").isNull()).limit(1).count() or keep.groupBy("keep__id").count().where("count > 1").limit(1).count():
         return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
     return kept
