@@ -103,7 +103,8 @@ def raw(x) -> Column:
 
 
 def join(*xs) -> Column:
-    return F.concat(*[x if isinstance(x, Column) else raw(x) for x in xs])
+    """Bytes one after another; texts count as UTF-8."""
+    return F.concat(*[x.cast("binary") if isinstance(x, Column) else raw(x) for x in xs])
 
 
 def zeros(n: int) -> Column:

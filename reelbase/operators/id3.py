@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.binary import be, join, let, part, raw, to_be, to_syncsafe, zeros
 from ..functions.codes import GENRES, lookup, pick
 from ..functions.text import friendly_number
-from .pick import body_, n_
+from .pick import body_, built, n_
 
 # Attributes from text frames (version 2.3/2.4 names, then 2.2's).
 ATTRIBUTES = {
@@ -55,9 +55,13 @@ def texts(b: Column) -> Column:
     return let(listed(decoded(part(b, 1), be(b, 0, 1))), lambda xs: F.when(~((F.size(xs) == 1) & (xs[0] == "")), xs))
 
 
+def joined(b: Column) -> Column:
+    return F.array_join(texts(b), "")
+
+
 def first_text(*names: str) -> Column:
     """The text, values joined, of a file's first frame of the first of these names that it has."""
-    one = lambda name: F.min_by(F.when(F.col("id") == name, F.array_join(texts(body_()), "")), F.when(F.col("id") == name, n_()))
+    one = lambda name: F.min_by(F.when(F.col("id") == name, built(joined)), F.when(F.col("id") == name, n_()))
     return F.coalesce(*[one(x) for x in names])
 
 
@@ -99,15 +103,20 @@ def fields(ident: Column, b: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in values.items()])
 
 
+def own_fields(b: Column) -> Column:
+    return fields(F.col("id"), b)
+
+
 def frames(e: DataFrame) -> DataFrame:
     """(path, version, n, frameid, flags, shape, texts, description, language, url, owner, mime, picture_type, number, data)."""
     mine = e.where(F.col("place").rlike("^ID3v2\\.[234]/"))
     version = F.regexp_extract("place", "^ID3v(2\\.[234])/", 1)
-    return mine.select("path", version.alias("version"), "n", F.col("id").alias("frameid"), F.col("at").alias("flags"), fields(F.col("id"), body_()).alias("f")).select("path", "version", "n", "frameid", "flags", "f.*")
+    return mine.select("path", version.alias("version"), "n", F.col("id").alias("frameid"), F.col("at").alias("flags"), built(own_fields).alias("f")).select("path", "version", "n", "frameid", "flags", "f.*")
 
 
 def first_picture() -> Column:
-    return F.min_by(F.when(F.col("id").isin("APIC", "PIC"), fields(F.col("id"), body_())["data"]), F.when(F.col("id").isin("APIC", "PIC"), n_()))
+    mine = F.col("id").isin("APIC", "PIC")
+    return F.min_by(F.when(mine, built(own_fields)["data"]), F.when(mine, n_()))
 
 
 def modern(frames: DataFrame) -> DataFrame:

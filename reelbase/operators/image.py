@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import be, le, part, starts, utf8_or_latin1
+from ..functions.binary import be, le, let, part, starts, utf8_or_latin1
 from ..functions.codes import EXIF_NAMES, GPS_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, ORIENTATIONS, lookup, pick
 from ..functions.text import exif_time, ratio, rotation
-from .pick import body_, n_, place_, at, by_file, first, head, last, words
+from .pick import body_, built, n_, place_, at, by_file, first, head, last, words
 
 # JPEG markers that start a frame.
 FRAMES = ("C0", "C1", "C2", "C3", "C5", "C6", "C7", "C9", "CA", "CB", "CD", "CE", "CF")
@@ -54,12 +54,13 @@ def _iptc_picks(prefix: str) -> dict[str, Column]:
     """Attributes of IPTC: values of a dataset are joined by spaces, keywords are a list, the first of several datasets counts."""
     code = {name: k for k, name in IPTC_NAMES.items()}
 
-    def joined(name: str) -> Column:
-        mine = place_() == f"{prefix}IPTC/2:{code[name]}"
-        return F.transform(F.array_sort(F.collect_list(F.when(mine & words(body_()).isNotNull(), F.struct(n_().alias("n"), words(body_()).alias("v"))))), lambda x: x["v"])
+    def listed(name: str) -> Column:
+        mine = F.when((place_() == f"{prefix}IPTC/2:{code[name]}") & built(words).isNotNull(), F.struct(n_().alias("n"), built(words).alias("v")))
+        return F.transform(F.array_sort(F.collect_list(mine)), lambda x: x["v"])
 
-    out = {k: F.coalesce(*[F.when(F.size(joined(n)) > 0, F.array_join(joined(n), " ")) for n in names]) for k, names in IPTC_ATTRIBUTES.items()}
-    return out | {"keywords": F.when(F.size(joined("keywords")) > 0, F.transform(joined("keywords"), F.trim))}
+    joined = lambda xs: F.when(F.size(xs) > 0, F.array_join(xs, " "))
+    out = {k: F.coalesce(*[let(listed(n), joined) for n in names]) for k, names in IPTC_ATTRIBUTES.items()}
+    return out | {"keywords": let(listed("keywords"), lambda xs: F.when(F.size(xs) > 0, F.transform(xs, lambda x: F.trim(x))))}
 
 
 def jpeg(e: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +35,22 @@ def utf16(b: Column) -> Column:
     return let(F.trim(F.replace(F.decode(b, "UTF-16LE"), F.lit("\0"), F.lit(""))), lambda t: F.when(t != "", t))
 
 
+_BUILT: dict = {}
+
+
+def built(take: Take) -> Column:
+    """take(body). Of named functions the expression is built once for a JVM: a long one takes longer to build than to plan."""
+    if take.__name__ == "<lambda>" or take.__closure__:
+        return take(body_())
+    key = (take, id(SparkContext._gateway))
+    if key not in _BUILT:
+        _BUILT[key] = take(body_())
+    return _BUILT[key]
+
+
 def at(place: str, take: Take = lambda b: b) -> Column:
     """What the element at ``place`` says (the largest value, where there are several)."""
-    return F.max(F.when(place_() == place, take(body_())))
+    return F.max(F.when(place_() == place, built(take)))
 
 
 def head(take: Take) -> Column:
@@ -44,12 +58,12 @@ def head(take: Take) -> Column:
 
 
 def first(place: str, take: Take = lambda b: b) -> Column:
-    value = F.when(place_() == place, take(body_()))
+    value = F.when(place_() == place, built(take))
     return F.min_by(value, F.when(value.isNotNull(), n_()))
 
 
 def last(place: str, take: Take = lambda b: b) -> Column:
-    value = F.when(place_() == place, take(body_()))
+    value = F.when(place_() == place, built(take))
     return F.max_by(value, F.when(value.isNotNull(), n_()))
 
 
@@ -59,7 +73,7 @@ def has(place: str) -> Column:
 
 def comment(place: str, key: str) -> Column:
     """The last KEY=value comment of this key."""
-    text = utf8_or_latin1(body_())
+    text = built(utf8_or_latin1)
     mine = (place_() == place) & (F.upper(F.substring_index(text, "=", 1)) == key) & (F.instr(text, "=") > 0)
     return F.max_by(F.when(mine, F.regexp_replace(text, "(?s)^[^=]*=", "")), F.when(mine, n_()))
 

@@ -40,7 +40,7 @@ def fit(df: DataFrame, columns: str) -> DataFrame:
     """These columns with these types, null where df has none."""
     has = set(df.columns)
     pairs = [x.strip().split(" ", 1) for x in columns.split(", ")]
-    return df.select(*[(F.col(n) if n in has else F.lit(None)).cast(t).alias(n) for n, t in pairs])
+    return df.selectExpr(*[f"CAST({f'`{n}`' if n in has else 'NULL'} AS {t}) AS `{n}`" for n, t in pairs])
 
 
 def stage(spark: SparkSession, elements: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def stage(spark: SparkSession, elements: DataFrame) -> DataFrame:
 def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool = False) -> DataFrame:
     """One row a file, finalised: codes resolved, texts stripped, lengths of containers filled from their tracks."""
     spark = elements.sparkSession
-    names = [k for k in DECODERS if not kinds or k in kinds]
+    names = [k for k in DECODERS if not kinds or k in kinds] or ["adts"]
     parts = [fit(DECODERS[k](elements.where(F.col("parser") == k)).withColumn("media_", F.lit(KIND.get(k))), MEDIA_COLUMNS.replace("media string", "media string, media_ string")) for k in names]
     m = reduce(DataFrame.unionByName, parts).withColumn("media", F.coalesce("media", "media_")).drop("media_")
     if any(k in video.TRACKS for k in names):
@@ -85,6 +85,8 @@ def container_length(kind: Column, ordinal: Column, length: Column) -> Column:
 def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = True) -> DataFrame:
     """Video, audio and subtitle streams and chapters, numbered within their kind."""
     parts = [fit(f(elements.where(F.col("parser") == k)), TRACK_COLUMNS) for k, fs in video.TRACKS.items() if not kinds or k in kinds for f in fs]
+    if not parts:
+        return fit(elements.limit(0).withColumn("path", F.col("path")), TRACK_COLUMNS)
     t = reduce(DataFrame.unionByName, parts)
     if not resolve:
         return t
@@ -123,10 +125,16 @@ def artifacts(elements: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("data is not null")
 
 
+def present(staged: DataFrame) -> tuple[str, ...]:
+    """Parsers that staged elements have, from the folders' names: at most as many as there are parsers. Others need no decoder."""
+    return tuple(sorted(r[0] for r in staged.select("parser").distinct().collect()))
+
+
 def collect(spark: SparkSession, elements: DataFrame) -> dict[str, DataFrame]:
     """All relations of the elements, registered as temporary views of the same names."""
     e = stage(spark, elements)
-    out = {"media": media(e), "tracks": tracks(e), "tags": tags(e), "tables": tables(e), "artifacts": artifacts(e)}
+    kinds = present(e)
+    out = {"media": media(e, kinds), "tracks": tracks(e, kinds), "tags": tags(e), "tables": tables(e), "artifacts": artifacts(e)}
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out

@@ -120,7 +120,7 @@ def mkv(e: DataFrame) -> DataFrame:
         "path", "parser", "size", "hash", "error", F.coalesce(tagged("title"), "own_title").alias("title"), F.when(tagged("title").isNotNull(), F.coalesce(F.col("b")["title"], "own_title")).alias("series"),
         season.try_cast("int").alias("season"), F.when(season.isNotNull(), tagged("trackno").try_cast("int")).alias("episode"), F.when(season.isNull(), tagged("trackno")).alias("trackno"),
         (F.coalesce("duration", F.lit(0.0)) * F.coalesce("scale", F.lit(1_000_000)) / 1e9).alias("length"), F.floor(matroska_epoch(F.col("ns"))).alias("timestamp"), (~F.col("indexed")).alias("corrupt"),
-        F.when(F.col("n_video") > 0, "av").otherwise("audio").alias("media"), tagged("bitrate").try_cast("double").alias("bitrate"), F.transform(F.split(tagged("keywords"), ","), F.trim).alias("keywords"),
+        F.when(F.col("n_video") > 0, "av").otherwise("audio").alias("media"), tagged("bitrate").try_cast("double").alias("bitrate"), F.transform(F.split(tagged("keywords"), ","), lambda x: F.trim(x)).alias("keywords"),
         *[tagged(k).alias(k) for k in ("album", "caption", "comment", "url", "artist", "country", "datetime", "encoder", "trackof", "copyright", "genre", "actors", "writer", "producer", "studio", "rating", "summary", "synopsis")],
         F.lit("application/mkv").alias("mime"), F.lit("Matroska").alias("type"),
     )
@@ -234,7 +234,7 @@ def riff(e: DataFrame) -> DataFrame:
         *[c for c in m.columns if c not in ("wav", "indexed", "day", "fmt", "data", "keywords_raw")], F.when(F.col("wav"), F.concat(F.lit("0x"), F.lower(F.hex(le(F.col("fmt"), 0, 2))))).alias("codec_raw"),
         le(F.col("fmt"), 4, 4).cast("int").alias("samplerate"), le(F.col("fmt"), 2, 2).cast("int").alias("channels"), le(F.col("fmt"), 14, 2).cast("int").alias("samplebits"), (byterate / 125).alias("bitrate"),
         F.when(byterate > 0, F.col("data") / byterate.cast("double")).alias("length"), riff_time(F.col("day")).alias("timestamp"), F.when(~F.col("wav"), ~F.col("indexed")).alias("corrupt"),
-        F.transform(F.split("keywords_raw", "[,;]"), F.trim).alias("keywords"), F.when(F.col("wav"), "audio").otherwise("av").alias("media"), F.when(F.col("wav"), "audio/wav").otherwise("video/avi").alias("mime"),
+        F.transform(F.split("keywords_raw", "[,;]"), lambda x: F.trim(x)).alias("keywords"), F.when(F.col("wav"), "audio").otherwise("av").alias("media"), F.when(F.col("wav"), "audio/wav").otherwise("video/avi").alias("mime"),
     )
 
 

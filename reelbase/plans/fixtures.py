@@ -225,7 +225,7 @@ def mkv(x: DataFrame) -> DataFrame:
         return el("AE", el("D7", to_be(i + 1, 2)), el("73C5", uint(o["o_orderkey"] + 1)), el("83", to_be(kind, 1)), el("22B59C", b"ger"), F.when(kind == 1, el("86", b"V_MPEG4/ISO/AVC")).when(kind == 2, el("86", b"A_AC3")).otherwise(el("86", b"S_TEXT/UTF8")), F.when(kind == 1, F.concat(video, el("23E383", to_be(40_000_000, 4)))).when(kind == 2, sound).otherwise(F.lit(bytearray(b""))), name)
 
     def chapter(o, i):
-        return el("B6", el("73C4", uint(o["o_orderkey"] + F.lit(1 << 40))), el("91", uint(i * 1_500_000_000)), el("80", el("85", raw(F.concat(F.lit("first "), o["o_orderstatus"])))), el("80", el("85", raw(o["o_orderpriority"]))))
+        return el("B6", el("73C4", uint(o["o_orderkey"] + F.lit(1 << 40))), el("91", uint(i.cast("long") * 1_500_000_000)), el("80", el("85", raw(F.concat(F.lit("first "), o["o_orderstatus"])))), el("80", el("85", raw(o["o_orderpriority"]))))
 
     tag = lambda name, value, *more: el("67C8", el("45A3", raw(name)), el("4487", raw(value)), *more)
     one = C("orders")[0]["o_orderkey"]

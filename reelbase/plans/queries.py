@@ -198,12 +198,12 @@ def pcm_headers(spark, d):
 # --------------------------------------------------------------------------- containers
 @query(
     "mkv_media",
-    """SELECT c_custkey, c_name AS title, c_mktsegment AS artist, 'a|b' AS keywords, 90.0::DOUBLE AS length, 978307200 + c_custkey AS timestamp, c_custkey % 2 <> 0 AS corrupt, CASE WHEN v > 0 THEN 'av' ELSE 'audio' END AS media
+    """SELECT c_custkey, 'inner' AS title, c_name AS series, c_mktsegment AS artist, 'a|b' AS keywords, 90.0::DOUBLE AS length, 978307200 + c_custkey AS timestamp, c_custkey % 2 <> 0 AS corrupt, CASE WHEN v > 0 THEN 'av' ELSE 'audio' END AS media
     FROM customer JOIN (SELECT o_custkey, count(*) FILTER (o_orderkey % 3 = 0) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
 )
 def mkv_media(spark, d):
-    # 90,000 ticks of a millisecond
-    return media(X.mkv(X.with_orders(spark, d)), "mkv").select(key("c_custkey"), "title", "artist", F.array_join("keywords", "|").alias("keywords"), "length", "timestamp", "corrupt", "media")
+    # a title within another tag counts as the file's, which makes the file's own title the series
+    return media(X.mkv(X.with_orders(spark, d)), "mkv").select(key("c_custkey"), "title", "series", "artist", F.array_join("keywords", "|").alias("keywords"), "length", "timestamp", "corrupt", "media")
 
 
 @query(
@@ -231,7 +231,6 @@ def mkv_chapters(spark, d):
 def mkv_tags_by_uid(spark, d):
     e = split(X.mkv(X.with_orders(spark, d)))
     t = video.mkv_scoped_tags(e)
-    # the nested title is no attribute of the file here: it belongs to the original
     return t.select(key("c_custkey"), "scope", F.array_join("tag_path", "/").alias("tag"), "value")
 
 
@@ -379,7 +378,7 @@ def cd_track_lengths(spark, d):
 
 @query(
     "cddb_disc_ids",
-    f"""WITH t AS ({ORDERS}), n AS (SELECT *, max(track) OVER (PARTITION BY disc) AS last FROM t), g AS (SELECT disc, sum(CASE WHEN track < last THEN list_sum(list_transform(string_split(CAST(start AS VARCHAR), ''), x -> CAST(x AS INT))) END) AS digits,
+    f"""WITH t AS ({ORDERS}), n AS (SELECT *, max(track) OVER (PARTITION BY disc) AS last FROM t), g AS (SELECT disc, sum(CASE WHEN track < last THEN list_sum(list_transform(string_split(CAST(start AS VARCHAR), ''), lambda x: CAST(x AS INT))) END) AS digits,
     max(start) - min(start) AS total, count(*) - 1 AS n FROM n GROUP BY disc) SELECT disc, printf('%08x', CAST(digits % 255 * 16777216 + total * 256 + n AS BIGINT)) AS disc_id, n AS n_tracks FROM g WHERE n > 0""",
 )
 def cddb_disc_ids(spark, d):
@@ -470,7 +469,7 @@ def date_spellings(spark, d):
     return o.select("o_orderkey", T.exif_time(F.date_format(at, "yyyy:MM:dd HH:mm:ss")).alias("exif"), T.riff_time(riff).alias("riff"), F.date_format(T.matroska_time(F.date_format(at, "yyyy-MM")), "yyyy-MM-dd HH:mm:ss").alias("matroska"))
 
 
-@query("text_cleaning", "SELECT p_partkey, p_name AS clean, CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size AS track, CAST(p_size AS INT) AS number, p_size * 60.0 + 1.5 AS seconds, CAST(p_size AS VARCHAR) || '/2' AS ratio_text FROM part WHERE p_size % 2 = 1")
+@query("text_cleaning", "SELECT p_partkey, p_name AS clean, CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size AS track, CAST(p_size AS INT) AS number, CAST(p_size * 60.0 + 1.5 AS DOUBLE) AS seconds, CAST(p_size AS VARCHAR) || '/2' AS ratio_text FROM part WHERE p_size % 2 = 1")
 def text_cleaning(spark, d):
     p, n = X.table(spark, d, "part").where("p_size % 2 = 1"), C("p_size").cast("string")
     dirty = F.concat(F.lit("\t "), C("p_name"), F.lit("\0 \n"))
@@ -520,8 +519,8 @@ def route_by_content(spark, d):
     SELECT 'image' AS media, p.n * 4 + c.n AS n FROM p, c UNION ALL SELECT 'game', n FROM p UNION ALL SELECT 'audio', p.n * 3 + c.n * 3 + f.n + g.n - g.v FROM p, c, f, g UNION ALL SELECT 'av', f.n * 7 + g.v FROM f, g""",
 )
 def media_by_kind(spark, d):
-    m = R.media(R.stage(spark, split(_mixed(spark, d))))
-    return m.groupBy("media").agg(F.count("*").alias("n"))
+    e = R.stage(spark, split(_mixed(spark, d)))
+    return R.media(e, R.present(e)).groupBy("media").agg(F.count("*").alias("n"))
 
 
 @query("container_lengths", "SELECT l_orderkey, max(l_quantity) AS length FROM lineitem GROUP BY l_orderkey HAVING max(CASE WHEN l_linenumber = 1 THEN l_quantity END) > 0")
