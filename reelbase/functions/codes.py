@@ -94,6 +94,22 @@ GPS_NAMES = dict(enumerate(
     "GPSVersionID GPSLatitudeRef GPSLatitude GPSLongitudeRef GPSLongitude GPSAltitudeRef GPSAltitude GPSTimeStamp GPSSatellites GPSStatus GPSMeasureMode GPSDOP GPSSpeedRef GPSSpeed GPSTrackRef GPSTrack GPSImgDirectionRef "
     "GPSImgDirection GPSMapDatum GPSDestLatitudeRef GPSDestLatitude GPSDestLongitudeRef GPSDestLongitude GPSDestBearingRef GPSDestBearing GPSDestDistanceRef GPSDestDistance".split()
 ))
+# Common entries of makers' notes.
+MAKER_NAMES = {
+    "NIKON": {
+        0x0001: "MakernoteVersion", 0x0002: "ISOSetting", 0x0003: "ColorMode", 0x0004: "Quality", 0x0005: "Whitebalance", 0x0006: "ImageSharpening", 0x0007: "FocusMode", 0x0008: "FlashSetting", 0x0009: "AutoFlashMode",
+        0x000B: "WhiteBalanceBias", 0x000D: "ProgramShift", 0x000E: "ExposureDifference", 0x000F: "ISOSelection", 0x0012: "FlashCompensation", 0x0013: "ISOSpeedRequested", 0x0018: "FlashBracketCompensationApplied",
+        0x0080: "ImageAdjustment", 0x0081: "ToneCompensation", 0x0082: "AuxiliaryLens", 0x0083: "LensType", 0x0084: "LensMinMaxFocalMaxAperture", 0x0085: "ManualFocusDistance", 0x0086: "DigitalZoomFactor", 0x0087: "FlashMode",
+        0x0089: "BracketingMode", 0x008D: "ColorMode", 0x008F: "SceneMode", 0x0090: "LightingType", 0x0092: "HueAdjustment", 0x0095: "NoiseReduction", 0x00A0: "SerialNumber", 0x00A7: "TotalShutterReleases",
+    },
+    "OLYMPUS": {0x0200: "SpecialMode", 0x0201: "JPEGQual", 0x0202: "Macro", 0x0204: "DigitalZoom", 0x0207: "SoftwareRelease", 0x0208: "PictureInfo", 0x0209: "CameraID", 0x1004: "FlashMode", 0x1006: "Bracket", 0x100B: "FocusMode", 0x1015: "WhiteBalance"},
+    "CASIO": {0x0001: "RecordingMode", 0x0002: "Quality", 0x0003: "FocusingMode", 0x0004: "FlashMode", 0x0005: "FlashIntensity", 0x0006: "Object Distance", 0x0007: "WhiteBalance", 0x000B: "Sharpness", 0x000C: "Contrast", 0x000D: "Saturation", 0x0014: "CCDSpeed"},
+    "FUJIFILM": {0x0000: "NoteVersion", 0x1000: "Quality", 0x1001: "Sharpness", 0x1002: "WhiteBalance", 0x1003: "Color", 0x1004: "Tone", 0x1010: "FlashMode", 0x1011: "FlashStrength", 0x1020: "Macro", 0x1021: "FocusMode", 0x1030: "SlowSync", 0x1031: "PictureMode", 0x1300: "BlurWarning", 0x1301: "FocusWarning", 0x1302: "AEWarning"},
+    "CANON": {0x0001: "CameraSettings", 0x0004: "ShotInfo", 0x0006: "ImageType", 0x0007: "FirmwareVersion", 0x0008: "ImageNumber", 0x0009: "OwnerName", 0x000C: "SerialNumber"},
+}
+# The parts of Olympus' special mode.
+SPECIAL_MODES = ("Normal", "Unknown", "Fast", "Panorama")
+PANORAMA = ("Non-panoramic", "Left to right", "Right to left", "Bottom to top", "Top to bottom")
 ORIENTATIONS = ("Horizontal (normal)|Mirrored horizontal|Rotated 180|Mirrored vertical|Mirrored horizontal then rotated 90 CCW|Rotated 90 CW|Mirrored horizontal then rotated 90 CW|Rotated 90 CCW").split("|")
 
 # MPEG frame rates and aspect ratios, MP3 and AC-3 rates.

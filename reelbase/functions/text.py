@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binary import let
-from .codes import FOURCC, GENRES, TWOCC, lookup, pick
+from .codes import FOURCC, GENRES, PANORAMA, SPECIAL_MODES, TWOCC, lookup, pick
 
 SERIES = r"^(.+?)[\. _-]+[sS]?([0-9]|[0-9][0-9])[xeE]([0-9]|[0-9][0-9])[\. _-]+(.+)$"
 
@@ -156,3 +156,23 @@ def friendly_date(year: Column, day_month: Column, time: Column) -> Column:
 def friendly_number(v: Column, of: bool = False) -> Column:
     """Number before (or after) the slash, 0 if there is none."""
     return F.coalesce(F.get(F.split(v, "/"), F.lit(int(of))).try_cast("int"), F.lit(0))
+
+
+def printable(s: Column) -> Column:
+    """Characters from space to code 255."""
+    return F.regexp_replace(s, r"[^\x20-\xff]", "")
+
+
+def exposure_bias(values: Column) -> Column:
+    """Four bytes [steps, ?, steps to an EV, ?] as text: whole EVs and a fraction in lowest terms; steps above 127 are negative."""
+    first, per = values[0].cast("long"), values[2].cast("long")
+    steps = F.when(first > 127, 256 - first).otherwise(first)
+    sign = F.when(first > 127, "-").otherwise("+")
+    whole, rest = F.floor(steps / per), steps % per
+    text = F.concat(sign, F.when(whole > 0, F.concat(whole.cast("string"), F.lit(" "))).otherwise(""), F.when(rest == 0, "EV").otherwise(F.concat(ratio(rest, per), F.lit(" EV"))))
+    return F.when(first == 0, "0 EV").when(per > 0, text)
+
+
+def special_mode(values: Column) -> Column:
+    """Three numbers [mode, sequence, direction] as text, null beyond the known ones."""
+    return F.concat(pick(SPECIAL_MODES, values[0]), F.lit(" - sequence "), values[1].cast("string"), F.lit(" - "), pick(PANORAMA, values[2]))

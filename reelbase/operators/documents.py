@@ -35,6 +35,16 @@ def with_image_sidecars(images: DataFrame, files: DataFrame) -> DataFrame:
     return j.select(*[F.coalesce(F.col("fields")[c], F.col(c)).alias(c) if t == "string" and c != "path" else F.col(c) for c, t in images.dtypes], F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("sidecar"))
 
 
+def subtitle_sidecars(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """Subtitle tracks (path, ordinal, language_raw, trackno) of ``<video>.idx`` files with a ``.sub`` or ``.rar`` beside them, a row for each language."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    idx = files.where(suffix(F.col("path")) == "idx").select(stem("path").alias("stem"), F.col("path").alias("trackno"), utf8_or_latin1(F.col("content")).alias("text"))
+    data = files.where(suffix(F.col("path")).isin("sub", "rar")).select(stem("path").alias("stem"))
+    lines = idx.where(F.substring_index("text", "\n", 1).contains("VobSub index file")).join(data, "stem", "left_semi")
+    found = lines.select("stem", "trackno", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^id: ?(..)"), F.lit(1))).alias("ordinal", "language_raw"))
+    return videos.select("path", stem("path").alias("stem")).join(found, "stem").select("path", "ordinal", "language_raw", "trackno")
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 

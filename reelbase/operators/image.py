@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import be, le, let, part, starts, utf8_or_latin1
-from ..functions.codes import EXIF_NAMES, GPS_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, ORIENTATIONS, lookup, pick
-from ..functions.text import exif_time, ratio, rotation
+from ..functions.codes import EXIF_NAMES, GPS_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, MAKER_NAMES, ORIENTATIONS, lookup, pick
+from ..functions.text import exif_time, exposure_bias, ratio, rotation, special_mode
 from .pick import body_, built, n_, place_, at, by_file, first, head, last, words
 
 # JPEG markers that start a frame.
@@ -43,6 +43,25 @@ def exif(e: DataFrame) -> DataFrame:
     return mine.select("path", "n", where.alias("directory"), F.col("id").alias("tag"), F.coalesce(name, F.concat(F.lit("Tag 0x"), "id")).alias("name"), shown.alias("value"), body_().alias("data"))
 
 
+def maker_notes(e: DataFrame) -> DataFrame:
+    """(path, make, tag, name, value) of makers' notes: entries are named by the make that the file's first directory has."""
+    x = exif(e)
+    makes = x.where("directory = 'Image' and tag = '010F'").select("path", F.upper(F.regexp_extract("value", "^[A-Za-z]+", 0)).alias("make"))
+    notes = x.where("directory = 'MakerNote'").join(makes, "path")
+    tag = F.conv("tag", 16, 10).cast("int")
+    name = F.lit(None).cast("string")
+    for make, names in MAKER_NAMES.items():
+        name = F.when(F.col("make") == make, lookup(names, tag)).otherwise(name)
+    numbers = F.transform(F.sequence(F.lit(0), F.greatest(F.length("data") - 1, F.lit(0))), lambda k: be(F.col("data"), k, 1))
+    words16 = F.transform(F.sequence(F.lit(0), F.greatest((F.length("data") / 4).cast("int") - 1, F.lit(0))), lambda k: be(F.col("data"), k * 4, 4))
+    value = (
+        F.when((F.col("make") == "NIKON") & tag.isin(0x0D, 0x0E, 0x12, 0x18) & (F.length("data") >= 4), exposure_bias(numbers))
+        .when((F.col("make") == "OLYMPUS") & (tag == 0x200) & (F.length("data") >= 12), F.coalesce(special_mode(words16), F.col("value")))
+        .otherwise(F.col("value"))
+    )
+    return notes.select("path", "n", "make", "tag", F.coalesce(name, F.concat(F.lit("Tag 0x"), "tag")).alias("name"), value.alias("value"))
+
+
 def iptc(e: DataFrame) -> DataFrame:
     """(path, n, name, value): IPTC datasets of record 2, empty ones left out."""
     dataset = F.split("id", ":")

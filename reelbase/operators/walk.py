@@ -304,40 +304,54 @@ SUB = {("Image", 0x8769): "EXIF", ("Image", 0x8825): "GPS", ("EXIF", 0xA005): "I
 def directories(t: Tree, up: int, read: Read) -> None:
     """TIFF directories. An entry's body is its value with numbers in big-endian order, ``at`` its type and ``size`` its count."""
     order = {b"II": "little", b"MM": "big"}.get(read(0, 2))
-    if not order:
-        return
-    number = lambda at, n: int.from_bytes(read(at, n), order)
-    todo, seen = [("Image", number(4, 4))], set()
+    todo, seen = [("Image", int.from_bytes(read(4, 4), order or "big"), read, order)] if order else [], set()
     while todo:
-        name, base = todo.pop(0)
-        count = number(base, 2)
-        if base in seen or not base or count > 100 and name != "MakerNote":
+        name, base, read_, order_ = todo.pop(0)
+        if base and (name, base) not in seen:
+            seen.add((name, base))
+            todo += directory(t, up, name, base, read_, order_)
+
+
+def directory(t: Tree, up: int, name: str, base: int, read: Read, order: str) -> list[tuple]:
+    """Entries of one directory; the directories that it leads to."""
+    number = lambda at, n: int.from_bytes(read(at, n), order)
+    count, found, more = number(base, 2), {}, []
+    if count > (200 if name == "MakerNote" else 100):
+        return []
+    n = t.add(up, name, base, count)
+    for k in range(count):
+        at = base + 2 + 12 * k
+        tag, kind, many = number(at, 2), number(at + 2, 2), number(at + 4, 4)
+        if not 0 < kind < len(WIDTHS):
             continue
-        seen.add(base)
-        n = t.add(up, name, base, count)
-        found = {}
-        for k in range(count):
-            at = base + 2 + 12 * k
-            tag, kind, many = number(at, 2), number(at + 2, 2), number(at + 4, 4)
-            if not 0 < kind < len(WIDTHS):
-                continue
-            size = WIDTHS[kind] * many
-            where = at + 8 if size <= 4 else number(at + 8, 4)
-            body = read(where, size) if size <= LONGEST else b""
-            unit = {5: 4, 10: 4}.get(kind, WIDTHS[kind])
-            if order == "little" and unit > 1:
-                body = np.frombuffer(body[: len(body) // unit * unit], dtype=f"<u{unit}").astype(f">u{unit}").tobytes()
-            found[tag] = int.from_bytes(body[:4], "big") if kind in (3, 4) and many == 1 else None
-            t.add(n, f"{tag:04X}", kind, many, body)
-            if tag == 0x927C:
-                note = where + (8 if read(where, 5) == b"OLYMP" else 0)
-                if number(note, 2) <= 200 and not read(where, 5).startswith((b"Nikon", b"FUJI")):
-                    todo.append(("MakerNote", note))
-        todo += [(SUB[name, tag], value) for tag, value in found.items() if (name, tag) in SUB and value]
-        if name == "Image" and 0 < (after := number(base + 2 + 12 * count, 4)) <= 10_000:
-            todo.append(("Thumbnail", after))
-        if name == "Thumbnail" and found.get(0x0201) and found.get(0x0202):
-            t.add(n, "jpeg", found[0x0201], found[0x0202], read(found[0x0201], found[0x0202]))
+        size = WIDTHS[kind] * many
+        where = at + 8 if size <= 4 else number(at + 8, 4)
+        body = read(where, size) if size <= LONGEST else b""
+        unit = 4 if kind in (5, 10) else WIDTHS[kind]
+        if order == "little" and unit > 1:
+            body = np.frombuffer(body[: len(body) // unit * unit], dtype=f"<u{unit}").astype(f">u{unit}").tobytes()
+        found[tag] = int.from_bytes(body[:4], "big") if kind in (3, 4) and many == 1 else None
+        t.add(n, f"{tag:04X}", kind, many, body)
+        if tag == 0x927C and name == "EXIF":
+            more.append(("MakerNote", *maker_note(where, read, order)))
+    more += [(SUB[name, tag], value, read, order) for tag, value in found.items() if (name, tag) in SUB and value]
+    if name == "Image" and 0 < (after := number(base + 2 + 12 * count, 4)) <= 10_000:
+        more.append(("Thumbnail", after, read, order))
+    if name == "Thumbnail" and found.get(0x0201) and found.get(0x0202):
+        t.add(n, "jpeg", found[0x0201], found[0x0202], read(found[0x0201], found[0x0202]))
+    return more
+
+
+def maker_note(at: int, read: Read, order: str) -> tuple[int, Read, str]:
+    """Where a maker's directory begins, and how it is read: some have offsets or a byte order of their own."""
+    label = read(at, 12)
+    if label.startswith(b"Nikon\0\2"):
+        inner = lambda x, n: read(at + 10 + x, n)
+        own = "little" if inner(0, 2) == b"II" else "big"
+        return int.from_bytes(inner(4, 4), own), inner, own
+    if label.startswith(b"FUJIFILM"):
+        return int.from_bytes(label[8:12], "little"), lambda x, n: read(at + x, n), "little"
+    return at + (8 if label.startswith((b"Nikon\0\1", b"OLYMP")) else 0), read, order
 
 
 def tiff(t: Tree) -> None:

@@ -89,6 +89,18 @@ def jpeg_iptc(spark, d):
     return media(X.jpeg_iptc(X.table(spark, d, "customer")), "jpeg").select(key("c_custkey"), "title", "city", F.array_join("keywords", "|").alias("keywords"), "author")
 
 
+@query(
+    "maker_notes",
+    """WITH k AS (SELECT p_partkey, p_size, p_partkey % 3 AS kind, CAST(p_partkey % 12 AS INT) AS s FROM part)
+    SELECT p_partkey, 'FlashCompensation' AS name, CASE WHEN s = 0 THEN '0 EV' ELSE '+' || CASE WHEN s >= 6 THEN '1 ' ELSE '' END || list_extract(['', '1/6 ', '1/3 ', '1/2 ', '2/3 ', '5/6 '], s % 6 + 1) || 'EV' END AS value FROM k WHERE kind = 0
+    UNION ALL SELECT p_partkey, 'ISOSetting', '[0, ' || p_size || ']' FROM k WHERE kind = 0
+    UNION ALL SELECT p_partkey, 'SpecialMode', list_extract(['Normal', 'Unknown', 'Fast', 'Panorama'], CAST(p_partkey % 4 + 1 AS INT)) || ' - sequence ' || p_size || ' - ' || list_extract(['Non-panoramic', 'Left to right', 'Right to left', 'Bottom to top', 'Top to bottom'], CAST(p_partkey % 5 + 1 AS INT)) FROM k WHERE kind = 1
+    UNION ALL SELECT p_partkey, 'Macro', CAST(p_size AS VARCHAR) FROM k WHERE kind = 1 UNION ALL SELECT p_partkey, 'FlashStrength', CAST(p_size AS VARCHAR) FROM k WHERE kind = 2""",
+)
+def maker_notes(spark, d):
+    return image.maker_notes(split(X.jpeg_maker(X.table(spark, d, "part")))).select(key("p_partkey"), "name", "value")
+
+
 # --------------------------------------------------------------------------- audio
 RATE = "list_extract([8000, 11025, 16000, 22050, 44100, 48000], CAST({} % 6 + 1 AS INT))"
 
@@ -343,6 +355,17 @@ def image_sidecars(spark, d):
     return m.select(key("p_partkey"), "height", "title", "city")
 
 
+@query("subtitle_sidecars", "SELECT o_orderkey, CAST(i AS INT) AS ordinal, CASE i WHEN 0 THEN 'en' ELSE 'de' END AS language_raw FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 3 = 0")
+def subtitle_sidecars(spark, d):
+    """Index files stand beside two of three videos, their data beside one of three."""
+    o = X.table(spark, d, "orders")
+    text = F.lit("# VobSub index file, v7\nsize: 720x576\nid: en, index: 0\ntimestamp: 0\nid: de, index: 1\n")
+    idx = X.files(o.where("o_orderkey % 3 < 2"), "o_orderkey", "idx", F.encode(text, "UTF-8"))
+    sub = X.files(o.where("o_orderkey % 3 <> 1"), "o_orderkey", "sub", F.lit(bytearray(b"x")))
+    videos = X.files(o, "o_orderkey", "avi", F.lit(bytearray(b"")))
+    return documents.subtitle_sidecars(videos, idx.unionByName(sub)).select(key("o_orderkey"), "ordinal", "language_raw")
+
+
 @query("directory_info", "SELECT 'd/' || CAST(p_partkey % 10 AS VARCHAR) AS directory, max('N' || (p_partkey % 10)) AS title, 'd/' || CAST(p_partkey % 10 AS VARCHAR) || '/folder.jpg' AS image, count(*) + 2 AS n_files FROM part GROUP BY p_partkey % 10")
 def directory_info(spark, d):
     p = X.table(spark, d, "part").select(F.concat(F.lit("d/"), (C("p_partkey") % 10).cast("string"), F.lit("/")).alias("dir"), F.concat(C("p_partkey").cast("string"), F.lit(".gif")).alias("name"), F.lit(bytearray(b"GIF89a")).alias("content"))
