@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import utf8_or_latin1
-from ..functions.codes import lookup
+from ..functions.binary import be, bits, part, utf8_or_latin1
+from ..functions.codes import lookup, pick
 from .pick import by_file, has, head
+from .walk import elements
 
 
 def iso(e: DataFrame) -> DataFrame:
@@ -91,6 +92,51 @@ def dvd_seconds(hour: Column, minute: Column, second: Column, frame: Column) ->
 DVD_AUDIO = {0: "AC3", 2: "MPEG1", 3: "MPEG2EXT", 4: "LPCM", 6: "DTS"}
 
 
+def ifo_elements(files: DataFrame) -> DataFrame:
+    """Elements of a DVD folder's title set files (VTS_nn_0.IFO); other files are left out."""
+    title = F.upper(F.regexp_extract("path", "(?i)VTS_[0-9]{2}_0\\.IFO$", 0)) != ""
+    return elements(files.where(title).withColumn("parser", F.lit("ifo")))
+
+
+def dvd_titles(e: DataFrame) -> DataFrame:
+    """(path, title, chapters, length, width, height, aspect, fps, codec): one row for each programme chain of a title set."""
+    b, a = F.col("body"), F.col("attributes")
+    cells = e.where("place = 'pgc/cell'").groupBy("path", F.element_at("up", -1).alias("n")).agg(F.count("*").alias("cells"), F.sum(seconds_at(b, 4)).alias("length"))
+    sets = e.where("place = 'attributes'").select("path", b.alias("attributes"))
+    chains = e.where("place = 'pgc'").select("path", "n", be(b, 2, 1).cast("int").alias("chapters"), F.shiftright(be(b, 7, 1), 6).cast("int").alias("rate"))
+    x = chains.join(cells, ["path", "n"], "left").join(sets, "path")
+    number = F.row_number().over(Window.partitionBy("path").orderBy("n"))
+    video = be(a, 0, 2)
+    pal = bits(video, 12, 2) == 1
+    size = bits(video, 3, 3).cast("int")
+    tall = F.when(pal, 576).otherwise(480)
+    return x.select(
+        "path", number.alias("title"), "chapters", F.coalesce("length", F.lit(0.0)).alias("length"), pick((720, 704, 352, 352), size).alias("width"), F.when(size == 3, tall / 2).otherwise(tall).cast("int").alias("height"),
+        lookup({0: 4 / 3, 3: 16 / 9}, bits(video, 10, 2).cast("int")).alias("aspect"), lookup({1: 25.0, 3: 29.97}, F.col("rate")).alias("fps"), pick(("MPEG1", "MPEG2"), bits(video, 14, 2)).alias("codec"),
+    )
+
+
+def seconds_at(b: Column, at: int) -> Column:
+    return dvd_seconds(*[be(b, at + k, 1) for k in range(4)])
+
+
+def dvd_streams(e: DataFrame) -> DataFrame:
+    """(path, kind, ordinal, codec, language_raw, channels, samplerate): at most 8 sound and 32 subtitle streams of a title set."""
+    b = F.col("body")
+    a = e.where("place = 'attributes'")
+    sound = a.select("path", F.explode(F.expr("sequence(0, 7)")).alias("ordinal"), b.alias("body")).where(F.col("ordinal") < be(b, 2, 2))
+    at = F.col("ordinal") * 8 + 4
+    sound = sound.select("path", F.lit("audio").alias("kind"), "ordinal", lookup(DVD_AUDIO, F.shiftright(be(b, at, 1), 5).cast("int")).alias("codec"), language(b, at + 2), (be(b, at + 1, 1).bitwiseAND(7) + 1).cast("int").alias("channels"), pick((48000.0, 96000.0), bits(be(b, at + 1, 1), 4, 2)).alias("samplerate"))
+    text = a.select("path", F.explode(F.expr("sequence(0, 31)")).alias("ordinal"), b.alias("body")).where(F.col("ordinal") < be(b, 0x54, 2))
+    text = text.select("path", F.lit("subtitle").alias("kind"), "ordinal", F.lit(None).cast("string").alias("codec"), language(b, F.col("ordinal") * 6 + 0x58), F.lit(None).cast("int").alias("channels"), F.lit(None).cast("double").alias("samplerate"))
+    return sound.unionByName(text)
+
+
+def language(b: Column, at: Column) -> Column:
+    code = F.decode(part(b, at, 2), "ISO-8859-1")
+    return F.when(code.rlike("^[a-z]{2}$"), code).alias("language_raw")
+
+
 # --------------------------------------------------------------------------- disc databases
 def parse_reply(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Replies as rows (..., key, value): values of repeated keys are joined, escapes undone; comments and what follows a lone dot go."""

@@ -522,6 +522,21 @@ def disc(t: Tree) -> None:
             t.add(0, latin(m), 0, len(m))
 
 
+def ifo(t: Tree) -> None:
+    """A DVD title set's information: its attributes, and the programme chains with their cells (24 bytes each, playing time at 4)."""
+    if t.read(0, 12) != b"DVDVIDEO-VTS":
+        return
+    number = lambda at, n: int.from_bytes(t.read(at, n), "big")
+    t.add(0, "attributes", 0x200, 0x116, t.read(0x200, 0x116))
+    table = number(0xCC, 4) * 2048
+    for k in range(number(table, 2) if table else 0):
+        pgc = table + number(table + 8 + 8 * k + 4, 4)
+        n = t.add(0, "pgc", pgc, number(pgc + 3, 1), t.read(pgc, 236))
+        cells = pgc + number(pgc + 0xE8, 2)
+        for c in range(number(pgc + 3, 1)):
+            t.add(n, "cell", cells + 24 * c, c, t.read(cells + 24 * c, 24))
+
+
 def voc(t: Tree) -> None:
     if t.read(0, 4) == b"FORM":
         t.boxes(0, 12, t.size, iff_head, {}, ("SSND",))
@@ -534,7 +549,7 @@ def voc(t: Tree) -> None:
 
 SPLIT = {
     "mp3": id3, "m4a": atoms, "mp4": atoms, "ogg": ogg, "ogm": ogg, "pcm": voc, "asf": asf, "flv": flv, "mkv": ebml, "mpeg": mpeg, "real": real,
-    "riff": riff, "iso": disc, "jpeg": jpeg, "png": png, "tiff": tiff, "flac": flac,
+    "riff": riff, "iso": disc, "jpeg": jpeg, "png": png, "tiff": tiff, "flac": flac, "ifo": ifo,
 }
 
 

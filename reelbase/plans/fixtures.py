@@ -396,3 +396,17 @@ def discs(p: DataFrame) -> DataFrame:
     track = F.array_join(F.transform(F.sequence(F.lit(1), (key % 5 + 1).cast("int")), lambda i: F.concat(F.lit("  TRACK "), F.lpad(i.cast("string"), 2, "0"), F.lit(" MODE2/2352\n"))), "")
     sheet = files(p, "p_partkey", "cue", raw(F.concat(F.lit('FILE "'), key.cast("string"), F.lit('.iso" BINARY\n'), track)))
     return image.unionByName(sheet)
+
+
+def title_sets(p: DataFrame) -> DataFrame:
+    """DVD title sets: one programme chain with as many cells as the part's size, of the key's seconds each; two sounds and a subtitle."""
+    key = C("p_partkey")
+    bcd = lambda x: F.floor(x / 10) * 16 + x % 10
+    pal = key % 2
+    attributes = join(to_be(0x4000 + pal * 0x1000 + F.when(pal == 1, 0x0C00).otherwise(0), 2), to_be(2, 2), b"\0\x05en\0\0\0\0", b"\xc0\x01de\0\0\0\0", zeros(64), to_be(1, 2), b"\0\0fr\0\0", zeros(186))
+    time = join(b"\0\0", to_be(bcd(key % 60), 1), to_be(F.when(pal == 1, 0x40).otherwise(0xC0), 1))
+    cells = glued(F.transform(F.sequence(F.lit(1), C("p_size")), lambda _: join(zeros(4), time, zeros(16))))
+    pgc = join(b"\0\0", to_be(C("p_size") % 20 + 1, 1), to_be(C("p_size"), 1), time, zeros(224), to_be(236, 2), zeros(2), cells)
+    table_ = join(to_be(1, 2), zeros(6), zeros(4), to_be(16, 4), pgc)
+    head = join(b"DVDVIDEO-VTS", zeros(192), to_be(1, 4), zeros(304), attributes)
+    return files(p, "p_partkey", "x", F.concat(F.substring(F.concat(head, zeros(2048)), 1, 2048), table_)).withColumn("path", F.regexp_replace("path", r"([0-9]+)\.x$", "$1/VTS_01_0.IFO"))

@@ -426,6 +426,19 @@ def dvd_times(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", D.dvd_seconds(bcd(k % 10), bcd(k % 60), bcd(k % 59), bcd(k % 25) + 64).alias("seconds"))
 
 
+@query(
+    "dvd_title_sets",
+    """SELECT p_partkey, 1 AS title, CAST(p_size % 20 + 1 AS INT) AS chapters, CAST(p_size * (p_partkey % 60) AS DOUBLE) AS length, 720 AS width, CASE WHEN p_partkey % 2 = 1 THEN 576 ELSE 480 END AS height, CASE WHEN p_partkey % 2 = 1 THEN 16 / 9.0::DOUBLE ELSE 4 / 3.0::DOUBLE END AS aspect,
+    CASE WHEN p_partkey % 2 = 1 THEN 25.0::DOUBLE ELSE 29.97::DOUBLE END AS fps, 'MPEG2' AS codec, 'AC3:en:6|DTS:de:2|fr' AS streams FROM part""",
+)
+def dvd_title_sets(spark, d):
+    e = D.ifo_elements(X.title_sets(X.table(spark, d, "part")))
+    row = F.struct("kind", "ordinal", F.concat_ws(":", "codec", "language_raw", "channels").alias("s"))
+    streams = D.dvd_streams(e).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"]), "|").alias("streams"))
+    number = F.regexp_extract("path", "([0-9]+)/VTS", 1).cast("long").alias("p_partkey")
+    return D.dvd_titles(e).join(streams, "path").select(number, "title", "chapters", "length", "width", "height", "aspect", "fps", "codec", "streams")
+
+
 @query("cddb_replies", "SELECT c_custkey, 'DTITLE' AS key, c_name || ' / ' || c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'TTITLE0', 'tab' || chr(9) || 'end\\n' FROM customer")
 def cddb_replies(spark, d):
     reply = F.concat(F.lit("# Disc length: 10\r\nDTITLE="), C("c_name"), F.lit(" / \r\nTTITLE0=tab\\tend\r\nDTITLE="), C("c_mktsegment"), F.lit("\r\nTTITLE0=\\\\n\r\n.\r\nLATE=1"))
