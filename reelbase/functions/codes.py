@@ -46,6 +46,11 @@ GENRES = (
     "Satire|Slow Jam|Club|Tango|Samba|Folklore|Ballad|Power Ballad|Rhythmic Soul|Freestyle|Duet|Punk Rock|Drum Solo|A capella|Euro-House|Dance Hall"
 ).split("|")
 
+# Later genres of version 1 tags, which follow those above.
+GENRES_V1 = GENRES + (
+    "Goa|Drum & Bass|Club-House|Hardcore|Terror|Indie|BritPop|Negerpunk|Polsk Punk|Beat|Christian Gangsta Rap|Heavy Metal|Black Metal|Crossover|Contemporary Christian|Christian Rock|Merengue|Salsa|Thrash Metal|Anime|JPop|Synthpop"
+).split("|")
+
 # QuickTime language codes of the older, numeric kind.
 QT_LANGUAGES = dict(enumerate("en fr de it nl sv es da pt no he ja ar fi el is mt tr hr zh ur hi th ko lt pl hu et lv se fo fa ru zh nl ga sq ro cs sk sl yi sr mk bg uk be uz kk az az hy ka mo ky tg tk mn mn ps ku ks sd bo ne sa mr bn as gu pa or ml kn ta te si my km lo vi id tl ms ms am ti om so sw rw rn ny mg eo".split())) | {
     128: "cy", 129: "eu", 130: "ca", 131: "la", 132: "qu", 133: "gn", 134: "ay", 135: "tt", 136: "ug", 137: "dz", 138: "jv",
@@ -72,10 +77,12 @@ PICTURE_TYPES = (
 
 # Names of IPTC datasets of record 2, and the attributes that they become (in order of preference).
 IPTC_NAMES = {
-    5: "object name", 7: "edit status", 10: "urgency", 15: "category", 20: "supplemental category", 22: "fixture identifier", 25: "keywords", 40: "special instructions", 55: "date created", 60: "time created",
-    65: "originating program", 80: "by-line", 85: "by-line title", 90: "city", 92: "sub-location", 95: "province/state", 101: "country/primary location name", 103: "original transmission reference",
-    105: "headline", 110: "credit", 115: "source", 116: "copyright notice", 118: "contact", 120: "caption-abstract", 122: "writer-editor",
-}
+    5: "object name", 7: "edit status", 8: "editorial update", 10: "urgency", 12: "subject reference", 15: "category", 20: "supplemental category", 22: "fixture identifier", 25: "keywords", 26: "content location code",
+    27: "content location name", 30: "release date", 35: "release time", 37: "expiration date", 38: "expiration time", 40: "special instructions", 42: "action advised", 45: "reference service", 47: "reference date", 50: "reference number",
+    55: "date created", 60: "time created", 62: "digital creation date", 63: "digital creation time", 65: "originating program", 70: "program version", 75: "object cycle", 80: "by-line", 85: "by-line title", 90: "city", 92: "sub-location",
+    95: "province/state", 100: "country/primary location code", 101: "country/primary location name", 103: "original transmission reference", 105: "headline", 110: "credit", 115: "source", 116: "copyright notice", 118: "contact",
+    120: "caption-abstract", 122: "writer-editor", 130: "image type", 131: "image orientation", 135: "language identifier",
+} | {200 + k: f"custom{k + 1}" for k in range(20)}
 IPTC_ATTRIBUTES = {
     "title": ("by-line title", "headline"), "author": ("writer-editor", "credit", "by-line"), "country": ("country/primary location name",), "description": ("caption-abstract",), "city": ("city",), "location": ("sub-location",),
 }

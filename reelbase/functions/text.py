@@ -51,6 +51,16 @@ def resolve_codec(code: Column) -> Column:
     )
 
 
+def resolve_codec_by(df: DataFrame, code_col: str, codecs: DataFrame) -> DataFrame:
+    """Add fourcc and codec as ``resolve_codec`` does, and for four-character codes that it doesn't know as the table (code, codec) has them.
+
+    A registry has some hundreds of rows; it is broadcast if its size is below Spark's threshold.
+    """
+    names = codecs.select(F.upper("code").alias("c__code"), F.col("codec").alias("c__name"))
+    x = df.withColumn("c__", resolve_codec(F.col(code_col))).join(names, (F.length(code_col) == 4) & (F.upper(code_col) == F.col("c__code")), "left")
+    return x.withColumns({"fourcc": F.coalesce("c__.fourcc", "c__code"), "codec": F.when(F.col("c__.fourcc").isNotNull(), F.col("c__.codec")).otherwise(F.coalesce("c__name", "c__.codec"))}).drop("c__", "c__code", "c__name", code_col)
+
+
 def genre(value: Column) -> Column:
     """A genre number, alone or in brackets at the start, as its name; other text as it is."""
     n = F.regexp_extract(value, r"^\(?([0-9]+)\)?$|^\(([0-9]+)\)", 0)

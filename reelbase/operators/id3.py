@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import be, join, let, part, raw, to_be, to_syncsafe, zeros
-from ..functions.codes import GENRES, lookup, pick
+from ..functions.codes import GENRES_V1, lookup, pick
 from ..functions.text import friendly_number
 from .pick import body_, built, n_
 
@@ -166,7 +166,7 @@ def id3v1(last128: Column) -> Column:
     track = F.when((be(last128, 125, 1) == 0) & (be(last128, 126, 1) > 0), be(last128, 126, 1)).cast("int")
     out = {
         "title": cut(3, 30), "artist": cut(33, 30), "album": cut(63, 30), "year": cut(93, 4), "comment": F.when(track.isNotNull(), cut(97, 28)).otherwise(cut(97, 30)),
-        "track": F.coalesce(track, F.lit(0)), "genre": F.coalesce(pick(GENRES, be(last128, 127, 1)), F.lit("Unknown")),
+        "track": F.coalesce(track, F.lit(0)), "genre": F.coalesce(pick(GENRES_V1, be(last128, 127, 1)), F.lit("Unknown")),
     }
     return F.when((F.length(last128) == 128) & (part(last128, 0, 3) == raw(b"TAG")), F.struct(*[c.alias(k) for k, c in out.items()]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.codes import languages
+from ..functions.codes import GENRES, codec_table, languages
 from ..operators import audio, discs as D, documents, id3, image, relations as R, video
 from ..operators.walk import elements
 from ..sources.registry import parser_by_suffix, route, suffix
@@ -127,7 +127,7 @@ def ogg_vorbis(spark, d):
     return media(X.ogg(X.table(spark, d, "customer")), "ogg").select(key("c_custkey"), "title", "album", "trackno", "channels", "samplerate", "bitrate", "length")
 
 
-GENRE_SQL = "list_extract([" + ", ".join("'" + g.replace("'", "''") + "'" for g in audio.id3.GENRES[:60]) + "], CAST({} % 60 + 1 AS INT))"
+GENRE_SQL = "list_extract([" + ", ".join("'" + g.replace("'", "''") + "'" for g in GENRES[:60]) + "], CAST({} % 60 + 1 AS INT))"
 MP3_SQL = f"SELECT c_custkey, c_name AS title, c_mktsegment AS artist, CASE WHEN c_custkey % 15 < 10 THEN '0' ELSE '' END || (c_custkey % 15) AS trackno, '15' AS trackof, {GENRE_SQL.format('c_custkey')} AS genre, CAST(1970 + c_custkey % 50 AS VARCHAR) AS userdate, 'MPEG Layer-3' AS codec FROM customer"
 
 
@@ -179,7 +179,7 @@ def id3_rewrite(spark, d):
     return R.media(e, ("mp3",)).join(version, "path").select(key("c_custkey"), "title", "artist", "version")
 
 
-@query("id3v1_fields", f"SELECT p_partkey, p_name AS title, p_brand AS artist, p_type AS album, '1999' AS year, 'note' AS comment, p_size AS track, list_extract([{', '.join(chr(39) + g.replace(chr(39), chr(39) * 2) + chr(39) for g in audio.id3.GENRES[:60])}], p_size + 1) AS genre FROM part")
+@query("id3v1_fields", f"SELECT p_partkey, p_name AS title, p_brand AS artist, p_type AS album, '1999' AS year, 'note' AS comment, p_size AS track, {GENRE_SQL.format('p_size')} AS genre FROM part")
 def id3v1_fields(spark, d):
     return X.id3v1(X.table(spark, d, "part")).select(key("p_partkey"), id3.id3v1(F.expr("right(content, 128)")).alias("t")).select("p_partkey", "t.*")
 
@@ -476,6 +476,14 @@ def codec_resolve(spark, d):
     return X.table(spark, d, "part").select("p_partkey", T.resolve_codec(code).alias("r")).select("p_partkey", "r.fourcc", "r.codec")
 
 
+@query("codec_registry", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'DIVX' WHEN 1 THEN 'ZZ99' END AS fourcc, CASE p_partkey % 3 WHEN 0 THEN 'DivX' WHEN 1 THEN 'House codec' ELSE 'Unknown' END AS codec FROM part")
+def codec_registry(spark, d):
+    """Codes that a longer registry, given as a table, knows besides the built-in ones."""
+    code = F.array(F.lit("divx"), F.lit("zz99"), F.lit("????"))[(C("p_partkey") % 3).cast("int")]
+    more = codec_table(spark, spark.createDataFrame([("zz99", "House codec")], "code string, codec string"))
+    return T.resolve_codec_by(X.table(spark, d, "part").select("p_partkey", code.alias("code")), "code", more)
+
+
 @query("genre_resolve", f"SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN p_name ELSE {GENRE_SQL.format('p_size')} END AS genre FROM part")
 def genre_resolve(spark, d):
     n = C("p_size").cast("string")
