@@ -52,7 +52,13 @@ def stage(spark: SparkSession, elements: DataFrame) -> DataFrame:
         root = "file://" + tempfile.mkdtemp(prefix="reelbase-")
         spark.conf.set("spark.reelbase.shared.dir", root)
     path = f"{root.rstrip('/')}/elements-{uuid.uuid4().hex}"
-    elements.write.partitionBy("parser").option("compression", "zstd").parquet(path)
+    key = "spark.sql.maxConcurrentOutputFileWriters"  # a file for each of at most 25 parsers is open at once: no sort before the write
+    before = spark.conf.get(key)
+    spark.conf.set(key, "32")
+    try:
+        elements.write.partitionBy("parser").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(elements.schema).parquet(path).select(*elements.columns)
 
 

@@ -39,12 +39,18 @@ def split(files: DataFrame) -> DataFrame:
     return elements(route(files))
 
 
+def once(files: DataFrame) -> DataFrame:
+    """Elements that several relations are made from: split and written once."""
+    return R.stage(files.sparkSession, split(files))
+
+
 def media(files: DataFrame, *kinds: str) -> DataFrame:
-    return R.media(split(files), kinds)
+    # the length of a container also needs its tracks
+    return R.media((once if any(k in video.TRACKS for k in kinds) else split)(files), kinds)
 
 
 def tracks(files: DataFrame, *kinds: str) -> DataFrame:
-    return R.tracks(split(files), kinds)
+    return R.tracks((once if any(len(video.TRACKS[k]) > 1 or k in ("asf", "riff", "mpeg", "ogm") for k in kinds) else split)(files), kinds)
 
 
 # --------------------------------------------------------------------------- images
@@ -98,7 +104,7 @@ def jpeg_iptc(spark, d):
     UNION ALL SELECT p_partkey, 'Macro', CAST(p_size AS VARCHAR) FROM k WHERE kind = 1 UNION ALL SELECT p_partkey, 'FlashStrength', CAST(p_size AS VARCHAR) FROM k WHERE kind = 2""",
 )
 def maker_notes(spark, d):
-    return image.maker_notes(split(X.jpeg_maker(X.table(spark, d, "part")))).select(key("p_partkey"), "name", "value")
+    return image.maker_notes(once(X.jpeg_maker(X.table(spark, d, "part")))).select(key("p_partkey"), "name", "value")
 
 
 # --------------------------------------------------------------------------- audio
@@ -117,7 +123,7 @@ def flac_streaminfo(spark, d):
 
 @query("flac_comments", "SELECT o_orderkey, 'a=b ' || o_orderkey AS title, o_orderpriority AS artist, lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') AS trackno, '12' AS trackof, o_orderstatus AS cover FROM orders")
 def flac_comments(spark, d):
-    e = split(X.flac(X.table(spark, d, "orders")))
+    e = once(X.flac(X.table(spark, d, "orders")))
     cover = e.where("parser = 'flac'").groupBy("path").agg(audio.kept_picture().cast("string").alias("cover"))
     return R.media(e, ("flac",)).join(cover, "path").select(key("o_orderkey"), "title", "artist", "trackno", "trackof", "cover")
 
@@ -174,7 +180,7 @@ def id3_rewrite(spark, d):
     files = X.mp3(X.table(spark, d, "customer"), 4).join(X.table(spark, d, "customer").select(F.concat(F.lit("c_custkey/"), C("c_custkey").cast("string"), F.lit(".mp3")).alias("path"), "c_mktsegment", "c_custkey"), "path")
     tag = {m: id3.id3v2_encode({name: id3.text_body(C("c_mktsegment"), 0)}, m) for m, name in ((2, "TT2"), (3, "TIT2"), (4, "TIT2"))}
     new = F.when(C("c_custkey") % 3 == 0, tag[2]).when(C("c_custkey") % 3 == 1, tag[3]).otherwise(tag[4])
-    e = split(files.select("path", id3.with_tag(C("content"), new).alias("content")))
+    e = once(files.select("path", id3.with_tag(C("content"), new).alias("content")))
     version = e.where(C("id").startswith("ID3v2.")).select("path", F.concat(F.lit("v"), F.substring("id", 7, 1)).alias("version"))
     return R.media(e, ("mp3",)).join(version, "path").select(key("c_custkey"), "title", "artist", "version")
 
@@ -241,7 +247,7 @@ def mkv_chapters(spark, d):
     UNION ALL SELECT c_custkey, 'file', 'original/title', 'inner' FROM f UNION ALL SELECT c_custkey, list_extract(['video', 'audio', 'subtitle'], CAST(k % 3 + 1 AS INT)), 'comment', c_name FROM f UNION ALL SELECT c_custkey, 'chapter', 'artist', 'chapter''s' FROM f""",
 )
 def mkv_tags_by_uid(spark, d):
-    e = split(X.mkv(X.with_orders(spark, d)))
+    e = once(X.mkv(X.with_orders(spark, d)))
     t = video.mkv_scoped_tags(e)
     return t.select(key("c_custkey"), "scope", F.array_join("tag_path", "/").alias("tag"), "value")
 
@@ -298,14 +304,14 @@ def asf_streams(spark, d):
 
 @query("flv_info", "SELECT o_orderkey, kind, CAST(o_orderkey % 1900 + 1 AS INT) AS width, CAST(o_orderkey + 1 AS DOUBLE) AS length, o_orderpriority AS copyright, CASE kind WHEN 'audio' THEN 'MPEG Layer-3' ELSE 'Sorenson Spark' END AS codec, CASE kind WHEN 'audio' THEN list_extract([5512.0, 11025.0, 22050.0, 44100.0], CAST(o_orderkey % 4 + 1 AS INT))::DOUBLE END AS samplerate FROM orders, (SELECT unnest(['audio', 'video']) AS kind)")
 def flv_info(spark, d):
-    e = split(X.flv(X.table(spark, d, "orders")))
+    e = once(X.flv(X.table(spark, d, "orders")))
     t = R.tracks(e, ("flv",)).select("path", "kind", "codec", "samplerate")
     return R.media(e, ("flv",)).select("path", "width", "length", "copyright").join(t, "path").select(key("o_orderkey"), "kind", "width", "length", "copyright", "codec", "samplerate")
 
 
 @query("real_tracks", "SELECT o_orderkey, kind, o_orderpriority AS title, o_orderstatus AS artist, CAST(o_orderkey * 8 AS DOUBLE) AS bitrate, o_orderkey / 100.0 AS length FROM orders, (SELECT unnest(['audio', 'video']) AS kind)")
 def real_tracks(spark, d):
-    e = split(X.real(X.table(spark, d, "orders")))
+    e = once(X.real(X.table(spark, d, "orders")))
     return R.media(e, ("real",)).select("path", "title", "artist").join(R.tracks(e, ("real",)).select("path", "kind", "bitrate", "length"), "path").select(key("o_orderkey"), "kind", "title", "artist", "bitrate", "length")
 
 
