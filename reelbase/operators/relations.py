@@ -6,7 +6,6 @@ and the files themselves are read once. The relations are plain DataFrames.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import languages
 from ..functions.text import finalize, pad_track, resolve_codec, resolve_language, series as split_series
+from ..shared import shared_path
 from . import audio, discs, documents, games, id3, image, video
 from .pick import body_
 
@@ -45,13 +45,7 @@ def fit(df: DataFrame, columns: str) -> DataFrame:
 
 def stage(spark: SparkSession, elements: DataFrame) -> DataFrame:
     """Elements written once to the shared folder (spark.checkpoint.dir), partitioned by parser."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.reelbase.shared.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="reelbase-")
-        spark.conf.set("spark.reelbase.shared.dir", root)
-    path = f"{root.rstrip('/')}/elements-{uuid.uuid4().hex}"
+    path = shared_path(spark, "elements")
     key = "spark.sql.maxConcurrentOutputFileWriters"  # a file for each of at most 25 parsers is open at once: no sort before the write
     before = spark.conf.get(key)
     spark.conf.set(key, "32")

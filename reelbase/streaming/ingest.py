@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.walk import SCHEMA, elements
+from ..shared import shared_path
 from ..sources.files import BINARY_FILE
 from ..sources.registry import route
 
@@ -18,16 +17,6 @@ def file_stream(spark: SparkSession, path: str, glob: str | None = None, per_tri
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.reelbase.shared.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="reelbase-")
-        spark.conf.set("spark.reelbase.shared.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def land(files: DataFrame, out: str, checkpoint: str, force: bool = True, keep_running: bool = False):
     """Write the elements of arriving files to a table partitioned by parser; without ``keep_running`` all that is there, then stop.
 
@@ -38,13 +27,13 @@ def land(files: DataFrame, out: str, checkpoint: str, force: bool = True, keep_r
 
 
 def landed(spark: SparkSession, out: str) -> DataFrame:
-    """The elements of a landing table, once for each path (the last arrival counts), for the decoders."""
+    """The elements of a landing table, for the decoders; a stream of files takes each path once."""
     return spark.read.schema(SCHEMA).parquet(out).select("path", "parser", "n", "up", "id", "place", "at", "size", "body")
 
 
 def decode_stream(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Run a stream of files to its end and give its elements."""
-    out, checkpoint = shared(spark, "landed"), shared(spark, "landing")
+    out, checkpoint = shared_path(spark, "landed"), shared_path(spark, "landing")
     land(files, out, checkpoint).awaitTermination()
     return landed(spark, out)
 
