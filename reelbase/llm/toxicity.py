@@ -28,6 +28,8 @@ HIDDEN, ATTENTION = 8, 8
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 24_000_000
 #: Words whose products a worker keeps.
 KEPT_WORDS = 250_000
+#: Words after which a group of texts is scored, and windows of a longer text's piece; a group has fewer than KEPT_WORDS.
+GROUP_WORDS, PIECE = 150_000, 2000
 EDGES = b".,;:!?\"'()[]{}<>*#%&$|-_"
 
 
@@ -100,6 +102,12 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(n - WINDOW + STEP, STEP), STEP)
 
 
+def pieces(words: list[bytes]):
+    """A text's words in parts of at most PIECE windows; the parts' windows together are the text's."""
+    for a in range(0, len(windows(len(words))), PIECE):
+        yield words[a * STEP : (a + PIECE - 1) * STEP + WINDOW]
+
+
 def sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -230,9 +238,11 @@ class Detector:
         self.__init__(x["network"], x["evidence"])
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
+        """Know all of a group's words: those of earlier groups go first where they don't fit beside them."""
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = list(words)
         need = len(self.known) + len(new) + 1
         if need > len(self.kept):
             self.kept = np.concatenate((self.kept, np.zeros((need + need // 2 - len(self.kept), 6 * HIDDEN), dtype=np.float32)))
@@ -243,23 +253,25 @@ class Detector:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The highest window's logit of each text."""
-        split_ = [split(t) for t in texts]
         out = np.full(len(texts), -np.inf)
         group, size = [], 0
-        for i, words in enumerate(split_):
-            group.append(i)
-            size += len(words) + WINDOW
-            if size > 150_000 or i == len(split_) - 1:
-                self.learn(set().union(*(split_[j] for j in group)).difference(self.known))
-                self.learn({w for j in group for w in split_[j]}.difference(self.known))
-                self.score_group(group, split_, out)
-                group, size = [], 0
+        for i, t in enumerate(texts):
+            words = split(t)
+            for part in pieces(words):
+                group.append((i, part))
+                size += len(part) + WINDOW
+                if size > GROUP_WORDS:
+                    self.score_group(group, out)
+                    group, size = [], 0
+        if group:
+            self.score_group(group, out)
         return out
 
-    def score_group(self, group, split_, out) -> None:
+    def score_group(self, group: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
+        self.learn(set().union(*(words for _, words in group)))
         flat, starts, owner, lengths, at = [], [], [], [], 0
-        for j in group:
-            ids = np.fromiter(map(self.known.__getitem__, split_[j]), dtype=np.int64, count=len(split_[j]))
+        for j, words in group:
+            ids = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
             s = windows(len(ids))
             flat.append(ids)
             starts.append(s + at)

@@ -96,6 +96,25 @@ def test_scores_do_not_depend_on_company():
     assert abs(d.logits([long])[0] - best) < 1e-3
 
 
+def test_texts_of_more_distinct_words_than_are_kept():
+    rng = np.random.default_rng(6)
+    counts = [{n: rng.integers(0, 4, toxicity.TABLE).astype(float) for n in (0, *toxicity.GRAMS)} for _ in range(2)]
+    network, e = toxicity.Network(), toxicity.Evidence(*counts, 5, 5)
+    words = [f"{k:06x}" for k in rng.permutation(300_000)]
+    split = [" ".join(words[a : a + toxicity.WINDOW]) for a in toxicity.windows(len(words))]
+    alone = toxicity.Detector(network, e)
+    each = np.array([alone.logits([t])[0] for t in split])
+    d = toxicity.Detector(network, e)
+    got = d.logits(["before", " ".join(words), None, " ".join(words[:100_000]), split[-1]])
+    assert abs(got[1] - each.max()) < 1e-4 and abs(got[4] - each[-1]) < 1e-4
+    assert len(d.known) <= toxicity.KEPT_WORDS
+    one_by_one = toxicity.Detector(network, e).logits(["before", None])
+    assert np.abs(got[[0, 2]] - one_by_one).max() < 1e-4
+    for n in (0, 1, 47, 48, 49, 71_999, 72_011, 72_012, 72_013, 72_048, 72_049, 144_100):
+        cut = [p[a : a + toxicity.WINDOW] for p in toxicity.pieces(list(range(n))) for a in toxicity.windows(len(p))]
+        assert cut == [list(range(n))[a : a + toxicity.WINDOW] for a in toxicity.windows(n)]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
