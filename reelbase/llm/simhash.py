@@ -338,12 +338,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Docs with one document of each near-duplicate component, the one with the smallest id; same columns.
+    """Docs with one document of each near-duplicate component, the one with the smallest id; same columns."""
+    return one_of_components(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def one_of_components(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Docs with the document whose id is its component's, of (<id>, fingerprint, component_id).
 
     Rows that repeat the kept id are one document: one of them stays. Rows with null ids stay only where
     their component has no id at all.
     """
-    found = staged(near_duplicates(docs, id_col, text_col, **options), "simhash-found")
+    found = staged(components, "simhash-found")
     keep = staged(
         found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count("*").alias("rows")).select(F.col(id_col).alias("keep__id"), "rows"),
         "simhash-keep",

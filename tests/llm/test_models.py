@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from reelbase.llm import quality, secrets, simhash, toxicity
+from reelbase.llm import near_copies, quality, secrets, simhash, toxicity
 
 ROWS = [(1, "plain words here and there"), (2, None), (3, ""), (4, " \n "), (5, "same"), (5, "same"), (None, "no id"), (8, "long text " * 9000), (9, "é\U0001f600 ñ " * 5)]
 SF = "/root/testdata/sf0.01"
@@ -239,6 +239,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert max(room.values()) <= 2048
 
 
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicate_stage_reaches_similarity(spark, block):
+    rng = np.random.default_rng(9)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for size, changed in ((60, 1), (60, 2), (300, 6), (300, 12), (40, 1)):  # families of edited copies, few and many edits
+        base = [f"w{x}" for x in rng.integers(0, 9999, size)]
+        for _ in range(40):
+            own = list(base)
+            for at in rng.integers(0, size, changed):
+                own[at] = f"x{rng.integers(0, 9999)}"
+            texts.append(" ".join(own))
+    texts += ["a b c d e f", "A  B c d e\tf", "a b c", "a b", None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    of = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            of.setdefault(x, []).append(i)
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    none = [i for i, s in enumerate(sets) if not s]
+    links = list(zip(none, none[1:]))
+    for i, s in enumerate(sets):
+        links += [(i, j) for j, n in Counter(j for x in s for j in of[x]).items() if j < i and 10 * n >= 8 * (len(s) + len(sets[j]) - n)]
+    for i, j in links:
+        a, b = sorted((root(i), root(j)))
+        label[b] = a
+    got = {r.doc_id: r.component_id for r in near_copies.components(docs, block=block).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    if block == 512:
+        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(got.values())
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_and_awkward_tables(spark, k):
     docs = spark.createDataFrame([(1, "one two", "en", "a", 7), (1, "one two", "en", "a", 7), (None, None, None, None, None), (3, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
