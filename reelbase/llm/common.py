@@ -1,55 +1,25 @@
-"""Helpers shared by the training-data operators: shared-folder tables, table paths, column hygiene."""
+"""Helpers shared by the training-data operators: staged tables, table paths, held-out rows, column hygiene."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelbase.shared import discard, staged
+from reelbase.shared import shared_path as new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that setting is missing (single-machine tests) a temporary folder is made.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.reelbase.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reelbase-")
-        spark.conf.set("spark.reelbase.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; it is removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/reelbase/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; what is left are scratch files only
-        pass
+__all__ = ["col", "discard", "held_out", "new_path", "staged", "table"]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder (any executor can reread it) and return the table."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def col(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: str, modulus: int, remainder: int):
+def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the decimal doc_id leaves the given remainder; a null id is never held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+    return F.coalesce(F.crc32(col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

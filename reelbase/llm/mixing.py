@@ -1,8 +1,9 @@
 """Temperature mixing of sources, in DataFrame functions only.
 
-Source weights are token shares to the power alpha. alpha is bisected on dyadic steps to the largest value at
-which the weights' entropy reaches a target, or to the smallest at which no source is repeated more often than a
-limit. The mixture's budget is the least with which every source that has tokens is seen in full, so weighting up
+Source weights are token shares to the power alpha. alpha is bisected on dyadic steps to the largest value (up to
+MOST_ALPHA) at which the weights' entropy reaches a target, or to the smallest at which no source is repeated more
+often than a limit. Sources may be many: sums over them are aggregates, each for several trial exponents at once. The
+mixture's budget is the least with which every source that has tokens is seen in full, so weighting up
 repeats documents and drops none, unless a budget is given. A source's documents are dealt into hashed blocks; each
 pass over the source is a permutation of its blocks, and the last, partial pass takes blocks in its permuted order
 until the quota is met, documents of the last block in hashed order.
@@ -10,14 +11,18 @@ until the quota is met, documents of the last block in hashed order.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import col, staged
 
 #: Documents of a block on average, and the most blocks that a source has.
 BLOCK_DOCS, MOST_BLOCKS = 1024, 65_536
 STEPS = 30
+#: The largest exponent that is tried for an entropy, and bisections that one pass over the sources decides.
+MOST_ALPHA, AT_ONCE = 4, 5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,34 +33,58 @@ def digest(*parts: Column) -> Column:
 
 
 def exponent(sources: DataFrame, target_entropy: float | None, repetition_limit: float | None) -> DataFrame:
-    """One row (alpha) from (source, tokens, ...); the sources' totals, not documents, meet in one row."""
-    every = F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t")
-    x = sources.where("tokens > 0").agg(every)
-    if target_entropy is not None:  # entropy falls as alpha rises: keep the largest alpha that still reaches it
-        met = f"aggregate(transform(t, v -> pow(v / t[size(t) - 1], m)), named_struct('z', 0D, 'u', 0D), (s, w) -> named_struct('z', s.z + w, 'u', s.u + w * ln(w)), s -> ln(s.z) - s.u / s.z) >= {float(target_entropy)!r}D"
-        move = f"if({met}, named_struct('lo', m, 'hi', s.hi), named_struct('lo', s.lo, 'hi', m))"
-        pick = "s -> s.lo"
-    else:  # the ratio of passes over the rarest and the commonest source falls as alpha rises
-        met = f"pow(t[size(t) - 1] / t[0], 1D - m) <= {float(repetition_limit or 1.0)!r}D"
-        move = f"if({met}, named_struct('lo', s.lo, 'hi', m), named_struct('lo', m, 'hi', s.hi))"
-        pick = "s -> s.hi"
+    """One row (alpha) from (source, tokens, ...); 1 where no source has tokens."""
+    x = sources.where("tokens > 0").agg(F.max("tokens").cast("double").alias("top"), F.min("tokens").cast("double").alias("low"))
+    if target_entropy is not None:
+        return x.select(F.lit(entropy_exponent(sources.where("tokens > 0"), float(target_entropy))).alias("alpha"))
+    # the ratio of passes over the rarest and the commonest source falls as alpha rises
+    met = f"pow(top / low, 1D - m) <= {float(repetition_limit or 1.0)!r}D"
+    move = f"if({met}, named_struct('lo', s.lo, 'hi', m), named_struct('lo', m, 'hi', s.hi))"
     halve = f"(s, i) -> element_at(transform(array((s.lo + s.hi) / 2), m -> {move}), 1)"
-    return x.select(F.expr(f"if(size(t) = 0, 1D, aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), {halve}, {pick}))").alias("alpha"))
+    return x.select(F.expr(f"if(top IS NULL, 1D, aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), {halve}, s -> s.hi))").alias("alpha"))
+
+
+def entropy_exponent(sources: DataFrame, target: float) -> float:
+    """The largest alpha whose weights still reach the entropy, which falls as alpha rises.
+
+    A pass sums over the sources for all exponents that the next bisections may try (a fixed number of sums). An
+    entropy that no exponent between 0 and MOST_ALPHA gives is an error.
+    """
+    top = sources.agg(F.max("tokens").cast("double")).first()[0]
+    if top is None:
+        return 1.0
+
+    def entropies(alphas: list[float]) -> list[float]:
+        w = [F.pow(F.col("tokens") / top, F.lit(a)) for a in alphas]
+        row = sources.agg(*[f for x in w for f in (F.sum(x), F.sum(x * F.log(x)))]).first()
+        return [log(z) - u / z for z, u in zip(row[::2], row[1::2])]
+
+    lo, hi = 0.0, float(MOST_ALPHA)
+    most, least = entropies([lo, hi])
+    if not least - 1e-9 <= target <= most + 1e-9:
+        raise ValueError(f"the sources' entropy can be {least:.4f} to {most:.4f}, not {target}")
+    for done in range(0, STEPS, AT_ONCE):
+        cells = 1 << min(AT_ONCE, STEPS - done)
+        grid = [lo + (hi - lo) * k / cells for k in range(1, cells)]
+        reached = sum(e >= target for e in entropies(grid))
+        lo, hi = ([lo, *grid][reached], [*grid, hi][reached])
+    return lo
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, target_entropy: float | None, repetition_limit: float | None, budget_tokens: int | None, seed: int) -> DataFrame:
     """Distinct (m_id, m_source, m_tokens) with alpha, weight, block, place and copies."""
     units = staged(
-        docs.select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), tokens_of(text_col).alias("m_tokens")).groupBy("m_id", "m_source", "m_tokens").agg(F.count("*").alias("rows")), "mixing-units"
+        docs.select(col(id_col).alias("m_id"), col(source_col).alias("m_source"), tokens_of(text_col).alias("m_tokens")).groupBy("m_id", "m_source", "m_tokens").agg(F.count("*").alias("rows")), "mixing-units"
     )
     totals = staged(units.groupBy("m_source").agg(F.sum(F.col("m_tokens") * F.col("rows")).alias("tokens"), F.count("*").alias("units")), "mixing-sources")
     alpha = exponent(totals, target_entropy, repetition_limit)
     top = totals.agg(F.max("tokens").cast("double").alias("top"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).cast("double").alias("low"))
-    # weights relative to the largest source's; with alpha <= 1 that source has the fewest passes
-    x = totals.join(F.broadcast(alpha), F.lit(True)).join(F.broadcast(top), F.lit(True))
+    # weights relative to the source that has the fewest passes: the largest, or the smallest where alpha is over 1
+    x = totals.join(F.broadcast(alpha), F.lit(True)).join(F.broadcast(top), F.lit(True)).withColumn("top", F.when(F.col("alpha") > 1, F.col("low")).otherwise(F.col("top")))
     x = x.withColumn("share", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("top"), F.col("alpha"))).otherwise(0.0))
-    whole = F.sum("share").over(Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    x = x.withColumn("weight", F.when(whole > 0, F.col("share") / whole).otherwise(0.0))
+    x = staged(x, "mixing-shares")
+    x = x.join(F.broadcast(x.agg(F.sum("share").alias("whole"))), F.lit(True))
+    x = x.withColumn("weight", F.when(F.col("whole") > 0, F.col("share") / F.col("whole")).otherwise(0.0))
     quota = F.col("share") * F.col("top") if budget_tokens is None else F.col("weight") * float(budget_tokens)
     x = x.withColumn("quota", F.round(F.round(quota, 3)).cast("long")).withColumn("full", F.expr("if(tokens > 0, quota div tokens, 1)"))
     x = x.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("full") * F.col("tokens")).otherwise(0))
@@ -77,7 +106,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, target_en
 
 
 def tokens_of(text_col: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, repetition_limit: float | None = 1.5, budget_tokens: int | None = None, seed: int = 0) -> DataFrame:
@@ -94,12 +123,13 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Docs realised by the plan: each row as often as its copies; same columns."""
-    p = mix_plan(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("m__id"), F.col("source").alias("m__source"), F.col("n_tokens").alias("m__tokens"), F.col("copies").alias("m__copies"))
+    p = mix_plan(docs, id_col, text_col, source_col, **options).select(col(id_col).alias("m__id"), F.col("source").alias("m__source"), F.col("n_tokens").alias("m__tokens"), F.col("copies").alias("m__copies"))
     p = staged(p, "mixing-plan")
-    key = F.col(id_col).eqNullSafe(F.col("m__id")) & F.col(source_col).eqNullSafe(F.col("m__source")) & (F.col("m__words") == F.col("m__tokens"))
+    x = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("m__row"), col(id_col).alias("id"), col(source_col).alias("source"), tokens_of(text_col).alias("words"))
+    key = F.col("id").eqNullSafe(F.col("m__id")) & F.col("source").eqNullSafe(F.col("m__source")) & (F.col("words") == F.col("m__tokens"))
     # a merge join at every size: were small plans broadcast, cost would jump where they outgrow that
-    x = docs.withColumn("m__words", tokens_of(text_col)).join(p.hint("merge"), key)
-    return x.withColumn("m__copy", F.explode(F.expr("slice(sequence(1L, greatest(m__copies, 1L)), 1, int(m__copies))"))).select(*[F.col(c) for c in docs.columns])
+    x = x.join(p.hint("merge"), key)
+    return x.withColumn("m__copy", F.explode(F.expr("slice(sequence(1L, greatest(m__copies, 1L)), 1, int(m__copies))"))).select(*[F.col("m__row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

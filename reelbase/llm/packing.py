@@ -4,7 +4,8 @@ Documents are tokenised where they lie and cut into pieces of at most ``capacity
 pieces of each length reaches the driver (at most ``capacity`` numbers). Best-fit decreasing runs over these
 counts: bins with the same free space are one interval, so the plan's size depends on the capacity alone. Pieces
 then take the planned slots by a join on their rank within their length. Ranks are made in two steps (a count for
-each length and hash bucket, then row numbers within a bucket), so a hot length is never in one task.
+each length and hash bucket, then row numbers within a bucket), and slots are joined on length and a stretch of
+RANKS ranks, so a hot length is never in one task and one plan serves every size.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import col, staged
 
 #: Entries of a worker's table of known words, and the longest word (in bytes) that it keeps.
-CACHE_WORDS, CACHE_BYTES = 600_000, 48
+CACHE_WORDS, CACHE_BYTES = 300_000, 48
 #: Closing marks that the tokenizer always sets apart from a letter or digit before them.
 MARKS = b".,!?%&*#$;:)]}"
 #: Lower-case words that normalisation and splitting leave as they are, and the letters that stand for their bytes.
@@ -32,6 +33,8 @@ _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b if b in _shown else 256 + sum(x not in _shown for x in range(b)) for b in range(256)}
 #: Rows of one rank bucket, on average.
 BUCKET_ROWS = 20_000
+#: Ranks of a length that a slot and a piece are joined under.
+RANKS = 4096
 
 
 class WordTokens(dict):
@@ -118,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("t")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -188,10 +191,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     within = Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")
     ranked = rows.withColumn("rn", F.row_number().over(within)).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("rn") - 1)
     slots = plan(counts, capacity)
-    planned = spark.createDataFrame(slots, "length long, first_rank long, ranks long, first_sequence long, offset long") if slots else spark.createDataFrame([], "length long, first_rank long, ranks long, first_sequence long, offset long")
-    planned = F.broadcast(planned) if len(slots) <= 64 * capacity else planned  # 5 MB at most for 2048 tokens
+    planned = spark.createDataFrame(slots, "slot_length long, first_rank long, ranks long, first_sequence long, offset long")
+    planned = planned.withColumn("slot_stretch", F.explode(F.expr(f"sequence(first_rank div {RANKS}, (first_rank + ranks - 1) div {RANKS})")))
     hit = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks"))
-    placed = ranked.join(planned.withColumnRenamed("length", "slot_length"), (F.col("length") == F.col("slot_length")) & hit)
+    ranked = ranked.withColumn("stretch", F.expr(f"rank div {RANKS}"))
+    placed = ranked.join(planned, (F.col("length") == F.col("slot_length")) & (F.col("stretch") == F.col("slot_stretch")) & hit)
     return placed.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset"
     )

@@ -5,7 +5,10 @@ also voted on (-1, 0, 1) by labelers: the strict pattern, a gazetteer (top-level
 prefixes, account countries), words of the context, a structure check and the characters around it. Expectation
 maximisation over the counts of vote patterns (a table of bounded size) estimates each labeler's reliability for
 each kind; its posteriors train a logistic span classifier, again over counts. The classifier's spans are added where
-they don't touch base spans. Only parameters (a few dozen numbers) travel through the driver.
+they don't touch base spans. Only the classifier's weights (a dozen numbers) travel through the driver.
+
+Work on a text is close to linear in its length and matches: sums and maxima over what comes before a match are made
+in blocks of about the square root of the matches' number, and texts are rebuilt from chunks.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import col, staged
 
 #: Kinds in the order of all digests; base rules exist for the first four, the others come from the method.
 KINDS = ("email", "ip", "card", "phone", "account")
@@ -51,7 +54,10 @@ WORDS = {
 LABELERS = ("strict", "gazetteer", "context", "structure", "edges")
 VOTES = (-1, 0, 1)
 
-MATCH = "array<struct<start:bigint,m:string>>"
+#: A match: its start, text, what comes before it (the last 32 characters of the last match and what lies between), and the character after.
+MATCH = "array<struct<start:bigint,m:string,before:string,after:string>>"
+#: Characters of a chunk of a text that is rebuilt.
+CHUNK = 2048
 
 
 def q(pattern: str) -> str:
@@ -60,11 +66,28 @@ def q(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL: body, with value computed once as name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def before_each(xs: str, start: str, step: str) -> str:
+    """SQL: for each of a filled array of bigints what step (of s and v) makes of start and the numbers before it."""
+    fold = lambda of, first: f"aggregate({of}, {first}, (s, v) -> {step})"
+    inside = f"transform(blk, (v0, i0) -> {fold('slice(blk, 1, i0)', 'base0')})"
+    blocks = f"flatten(transform(blks, (blk, k0) -> {let(fold('slice(sums, 1, k0)', start), 'base0', inside)}))"
+    blocks = let(f"transform(blks, y -> {fold('y', start)})", "sums", blocks)
+    blocks = let("transform(sequence(0, (size(xs0) - 1) div b0), k -> slice(xs0, int(k * b0 + 1), b0))", "blks", blocks)
+    return let(xs, "xs0", let("greatest(int(sqrt(size(xs0))), 1)", "b0", blocks))
+
+
 def found(pattern: str, guard: str | None, regex_guard: bool = False) -> str:
-    """SQL: all matches in column t, with their starts in code points."""
-    zipped = f"arrays_zip(slice(split(t, {q(pattern)}, -1), 1, greatest(size(split(t, {q(pattern)}, -1)) - 1, 0)), regexp_extract_all(t, {q(pattern)}, 0))"
-    step = "(s, x) -> named_struct('at', s.at + length(x['0']) + length(x['1']), 'out', concat(s.out, array(named_struct('start', s.at + length(x['0']), 'm', x['1']))))"
-    out = f"aggregate({zipped}, named_struct('at', 0L, 'out', cast(array() as {MATCH})), {step}, s -> s.out)"
+    """SQL: all matches in column t."""
+    starts = before_each("transform(ms, (m, i) -> cast(length(get(ps, i)) + length(m) as bigint))", "0L", "s + v")
+    before = "right(concat(coalesce(get(ps, i - 1), ''), coalesce(get(ms, i - 1), ''), get(ps, i)), 32)"
+    after = "left(concat(get(ps, i + 1), coalesce(get(ms, i + 1), '')), 1)"
+    each = f"transform(ms, (m, i) -> named_struct('start', get(at, i) + length(get(ps, i)), 'm', m, 'before', {before}, 'after', {after}))"
+    out = let(f"split(t, {q(pattern)}, -1)", "ps", let(f"regexp_extract_all(t, {q(pattern)}, 0)", "ms", f"if(size(ms) = 0, cast(array() as {MATCH}), {let(starts, 'at', each)})"))
     test = f"t rlike {q(guard)}" if regex_guard else f"contains(t, '{guard}')" if guard else f"t rlike {q(pattern)}"
     return f"CASE WHEN {test} THEN {out} ELSE cast(array() as {MATCH}) END"
 
@@ -115,98 +138,93 @@ def votes(kind: str, strict: str, m: str, before: str, after: str) -> str:
     return ", ".join(f"'{k}', {v}" for k, v in votes_.items())
 
 
-def candidates(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
-    """Docs' rows with column spans_: array of (k, kind, start, end, base, votes...), from column t = the text."""
-    x = docs.withColumn("t", F.coalesce(F.col(text_col), F.lit("")))
+def candidates(docs: DataFrame, text_col: str, keep: Column) -> DataFrame:
+    """(keep, t, spans): the column keep as it is, the text and its candidates: array of (k, kind, start, end, base, votes...)."""
+    x = docs.select(keep.alias("keep"), F.coalesce(col(text_col), F.lit("")).alias("t"))
     x = x.withColumns({f"c_{k}": F.expr(found(p, GUARD.get(k))) for k, p in PATTERNS.items()} | {f"l_{k}": F.expr(found(p, GUARD_LOOSE[k], True)) for k, p in LOOSE.items()})
 
     def judged(kind: str, column: str, loose: bool) -> str:
-        before, after = "substring(t, int(greatest(c.start - 31, 1)), int(least(c.start, 32)))", "substring(t, int(c.start + length(c.m) + 1), 1)"
         base = "false" if loose else base_rule(kind, "c.m")
         head = f"'k', {KINDS.index(kind)}, 'start', c.start, 'end', c.start + length(c.m), 'base', {base}"
-        return f"transform({column}, c -> named_struct({head}, {votes(kind, f'if({base}, 1, -1)', 'c.m', before, after)}))"
+        return f"transform({column}, c -> named_struct({head}, {votes(kind, f'if({base}, 1, -1)', 'c.m', 'c.before', 'c.after')}))"
 
     # short digit runs are no card candidates
     x = x.withColumn("c_card", F.expr(f"filter(c_card, c -> length({digits('c.m')}) BETWEEN 13 AND 19)"))
     parts = [judged(k, f"c_{k}", False) for k in PATTERNS] + [judged(k, f"l_{k}", True) for k in LOOSE]
-    x = x.withColumn("spans_", F.expr(f"concat({', '.join(parts)})"))
-    return x.drop("t", *[f"c_{k}" for k in PATTERNS], *[f"l_{k}" for k in LOOSE])
+    return x.select("keep", "t", F.expr(f"concat({', '.join(parts)})").alias("spans"))
 
 
 # --------------------------------------------------------------------------- the label model and the classifier
-def _lookup(weights: dict[str, float], key: Column) -> Column:
-    pairs = [F.lit(x) for kv in sorted(weights.items()) for x in kv]
-    return F.coalesce(F.create_map(*pairs)[key], F.lit(0.0))
-
-
-def vote_key(j: str) -> Column:
-    return F.concat(F.col("k").cast("string"), F.lit(f":{j}:"), F.col(j).cast("string"))
-
-
-def label_model(patterns: DataFrame, rounds: int = 12) -> DataFrame:
-    """Patterns (k, votes..., n) with the posterior p of each, by expectation maximisation for each kind."""
-    score = sum((F.col(j) for j in LABELERS), F.lit(0))
-    posterior = F.when(score > 0, 0.9).otherwise(0.1)  # start: majority
-    for _ in range(rounds):
-        p, n = F.col("p_"), F.col("n").cast("double")
-        counts = [F.sum(n).alias("n"), F.sum(n * p).alias("y")]
-        counts += [F.sum(n * p * (F.col(j) == v).cast("double")).alias(f"y_{j}_{v}") for j in LABELERS for v in VOTES]
-        counts += [F.sum(n * (1 - p) * (F.col(j) == v).cast("double")).alias(f"x_{j}_{v}") for j in LABELERS for v in VOTES]
-        rows = patterns.withColumn("p_", posterior).groupBy("k").agg(*counts).collect()  # one row for each kind
-        prior, weight = {}, {}
-        for r in rows:
-            prior[str(r["k"])] = log((r["y"] + 1) / (r["n"] - r["y"] + 1))
-            for j in LABELERS:
-                for v in VOTES:
-                    weight[f"{r['k']}:{j}:{v}"] = log((r[f"y_{j}_{v}"] + 1) / (r["y"] + 3)) - log((r[f"x_{j}_{v}"] + 1) / (r["n"] - r["y"] + 3))
-        if not rows:
-            break
-        odds = sum((_lookup(weight, vote_key(j)) for j in LABELERS), _lookup(prior, F.col("k").cast("string")))
-        posterior = 1 / (1 + F.exp(-odds))
-    return patterns.withColumn("p", posterior)
-
-
-def inputs(field) -> list[Column]:
-    """The classifier's inputs: a bias for each kind, the votes, and pairs of votes that agree."""
-    kinds = [(field("k") == i).cast("double") for i in range(len(KINDS))]
-    return kinds + [field(j).cast("double") for j in LABELERS] + [((field("strict") > 0) & (field("edges") > 0)).cast("double"), ((field("gazetteer") > 0) & (field("context") > 0)).cast("double")]
-
-
-def dot(weights: list[float], xs: list[Column]) -> Column:
-    return sum((F.lit(w) * x for w, x in zip(weights, xs)), F.lit(0.0))
-
-
-def train_classifier(soft: DataFrame, rounds: int = 20, rate: float = 2.0, decay: float = 1e-3) -> list[float]:
-    """Logistic regression on the posteriors: gradient steps whose sums are made by Spark over the patterns."""
-    xs = inputs(F.col)
-    w, speed = [0.0] * len(xs), [0.0] * len(xs)
-    soft = staged(soft, "pii-soft")
-    for _ in range(rounds):
-        miss = F.col("n") * (F.col("p") - 1 / (1 + F.exp(-dot(w, xs))))
-        row = soft.agg(F.sum(F.col("n").cast("double")), *[F.sum(miss * x) for x in xs]).first()
-        if not row[0]:
-            return w
-        speed = [0.6 * s + rate * (g / row[0] - decay * a) for s, g, a in zip(speed, row[1:], w)]
-        w = [round(a + s, 9) for a, s in zip(w, speed)]
-    return w
-
-
-def fit(cands: DataFrame, **options) -> list[float]:
-    """Classifier weights from all candidates in column spans_."""
-    each = cands.select(F.explode("spans_").alias("x")).select("x.k", *[f"x.{j}" for j in LABELERS])
-    patterns = staged(each.groupBy("k", *LABELERS).agg(F.count("*").alias("n")), "pii-patterns")
-    return train_classifier(label_model(patterns), **options)
+#: Inputs of the classifier: a bias for each kind, the votes, and two pairs of votes that agree.
+INPUTS = len(KINDS) + len(LABELERS) + 2
+
+
+def inputs(field: str) -> str:
+    """SQL: the classifier's inputs of a struct of k and votes."""
+    kinds = [f"if({field}.k = {i}, 1D, 0D)" for i in range(len(KINDS))]
+    pairs = [f"if({field}.{a} > 0 AND {field}.{b} > 0, 1D, 0D)" for a, b in (("strict", "edges"), ("gazetteer", "context"))]
+    return f"array({', '.join([*kinds, *(f'double({field}.{j})' for j in LABELERS), *pairs])})"
+
+
+def total(of: str) -> str:
+    return f"aggregate({of}, 0D, (s, v) -> s + v)"
+
+
+def label_model(rounds: int = 12) -> str:
+    """SQL: posteriors of one kind's patterns (array pats of n, hit: the indexes of its votes, score), by expectation maximisation.
+
+    A round takes the labelers' reliabilities from the posteriors and the posteriors from them; the first posteriors
+    are the majority's.
+    """
+    cells = len(LABELERS) * len(VOTES)
+    counts = lambda w: f"transform(sequence(0, {cells - 1}), c -> {total(f'zip_with(pats, ps, (a, p) -> if(array_contains(a.hit, c), a.n * {w}, 0D))')})"
+    odds = f"ln((y + 1) / (n0 - y + 1)) + {total('transform(a.hit, c -> ln((get(ys, c) + 1) / (y + 3)) - ln((get(xs, c) + 1) / (n0 - y + 3)))')}"
+    step = f"transform(pats, a -> 1 / (1 + exp(-({odds}))))"
+    step = let(counts("p"), "ys", let(counts("(1 - p)"), "xs", step))
+    step = let(total("zip_with(pats, ps, (a, p) -> a.n * p)"), "y", let(total("transform(pats, a -> a.n)"), "n0", step))
+    return f"aggregate(sequence(1, {rounds}), transform(pats, a -> if(a.score > 0, 0.9D, 0.1D)), (ps, r) -> {step})"
+
+
+def train_classifier(rounds: int = 20, rate: float = 2.0, decay: float = 1e-3) -> str:
+    """SQL: weights of a logistic regression on soft labels (array pats of n, p, x), by gradient steps with momentum."""
+    each = f"transform(pats, a -> a.n * (a.p - 1 / (1 + exp(-{total('zip_with(s.w, a.x, (u, v) -> u * v)')}))))"
+    slope = f"{total('zip_with(pats, miss, (a, m) -> m * get(a.x, d))')} / n0"
+    speed = f"transform(s.speed, (v, d) -> 0.6D * v + {rate}D * ({slope} - {decay}D * get(s.w, d)))"
+    move = let(speed, "now", "named_struct('w', zip_with(s.w, now, (u, v) -> u + v), 'speed', now)")
+    zero = f"array_repeat(0D, {INPUTS})"
+    return let(total("transform(pats, a -> a.n)"), "n0", f"aggregate(sequence(1, {rounds}), named_struct('w', {zero}, 'speed', {zero}), (s, r) -> {let(each, 'miss', move)}, s -> s.w)")
+
+
+def fit(cands: DataFrame) -> list[float]:
+    """Classifier weights from all candidates in column spans. The vote patterns, 3^5 for each kind at most, meet in one row."""
+    each = cands.select(F.explode("spans").alias("x")).select("x.k", *[f"x.{j}" for j in LABELERS])
+    patterns = staged(each.groupBy("k", *LABELERS).agg(F.count("*").cast("double").alias("n")), "pii-patterns")
+    hit = ", ".join(f"{len(VOTES) * i} + {j} + 1" for i, j in enumerate(LABELERS))
+    votes_ = ", ".join(f"'{j}', {j}" for j in LABELERS)
+    one = F.expr(f"named_struct('hit', array({hit}), 'n', n, 'score', {' + '.join(LABELERS)}, 'x', {inputs(f"named_struct('k', k, {votes_})")})")
+    kinds = patterns.groupBy("k").agg(F.sort_array(F.collect_list(one)).alias("pats"))
+    soft = kinds.select("k", F.expr(f"zip_with(pats, {label_model()}, (a, p) -> named_struct('n', a.n, 'p', p, 'x', a.x))").alias("pats"))
+    row = soft.agg(F.expr("flatten(transform(sort_array(collect_list(struct(k, pats))), g -> g.pats))").alias("pats")).select(F.expr(f"if(size(pats) = 0, array_repeat(0D, {INPUTS}), {train_classifier()})").alias("w")).first()
+    return [round(w, 9) for w in row["w"]]
 
 
 def with_spans(cands: DataFrame, weights: list[float], least: float = 0.5) -> DataFrame:
-    """Cands with base_ and all_: sorted arrays of (k, start, end), base spans and all spans."""
+    """Cands with base and all: sorted arrays of (k, start, end), base spans and all spans.
+
+    Of spans that the classifier adds, those stay that touch neither a base span nor an earlier one of their own.
+    """
     cut = log(least / (1 - least))
     narrow = "x -> named_struct('k', x.k, 'start', x.start, 'end', x.end)"
-    x = cands.withColumn("base_", F.expr(f"array_sort(transform(filter(spans_, x -> x.base), {narrow}))"))
-    chosen = F.filter("spans_", lambda c: ~c["base"] & (dot(weights, inputs(lambda f: c[f])) >= cut))
-    x = x.withColumn("more_", F.transform(chosen, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end"))))
-    free = "filter(more_, a -> NOT exists(base_, b -> b.start < a.end AND a.start < b.end) AND NOT exists(more_, b -> b.start < a.end AND a.start < b.end AND named_struct('s', b.start, 'k', b.k, 'e', b.end) < named_struct('s', a.start, 'k', a.k, 'e', a.end)))"
-    return x.withColumn("all_", F.expr(f"array_sort(array_distinct(concat(base_, {free})))")).drop("more_")
+    odds = total(f"zip_with({inputs('x')}, array({', '.join(f'{w!r}D' for w in weights)}), (u, v) -> u * v)")
+    x = cands.withColumn("base", F.expr(f"array_sort(transform(filter(spans, x -> x.base), {narrow}))"))
+    x = x.withColumn("more", F.expr(f"transform(filter(spans, x -> NOT x.base AND {odds} >= {cut!r}D), {narrow})"))
+    # by start, base spans first: the furthest end before each, and (from behind) the next base span's start
+    sort = "array_sort(concat(transform(base, x -> named_struct('start', x.start, 'own', 1, 'k', x.k, 'end', x.end)), transform(more, x -> named_struct('start', x.start, 'own', 2, 'k', x.k, 'end', x.end))))"
+    ends = before_each("transform(line, x -> x.end)", "-1L", "greatest(s, v)")
+    nexts = f"reverse({before_each('reverse(transform(line, x -> if(x.own = 1, x.start, 9223372036854775807L)))', '9223372036854775807L', 'least(s, v)')})"
+    free = "transform(filter(line, (x, i) -> x.own = 2 AND get(ends, i) <= x.start AND get(nexts, i) >= x.end), x -> named_struct('k', x.k, 'start', x.start, 'end', x.end))"
+    free = let(sort, "line", let(ends, "ends", let(nexts, "nexts", free)))
+    return x.withColumn("all", F.expr(f"if(size(more) = 0, base, array_sort(concat(base, {free})))")).drop("more")
 
 
 def spans_text(column: str) -> Column:
@@ -221,25 +239,40 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     null, rows are judged one by one; equal vote patterns are judged alike; without candidates nothing is
     trained and nothing is added; an empty table gives no rows; other columns are ignored.
     """
-    cands = candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").select("id", "spans_")
-    cands = staged(cands, "pii-candidates")
+    cands = staged(candidates(docs, text_col, col(id_col)).drop("t"), "pii-candidates")
     x = with_spans(cands, fit(cands))
-    count = {f"n_{k}": F.expr(f"cast(size(filter(base_, x -> x.k = {i})) as bigint)") for i, k in enumerate(KINDS[:4])}
-    return x.select(F.col("id").alias(id_col), *[c.alias(n) for n, c in count.items()], F.sha2(spans_text("base_"), 256).alias("base_sha256"), spans_text("all_").alias("spans"))
+    count = {f"n_{k}": F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint)") for i, k in enumerate(KINDS[:4])}
+    return x.select(F.col("keep").alias(id_col), *[c.alias(n) for n, c in count.items()], F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("all").alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """Docs with every span replaced by its kind in brackets; same columns, length_col set anew where a text changed."""
-    thin = staged(candidates(docs.select(text_col), None, text_col).select("spans_"), "pii-candidates")
-    x = with_spans(candidates(docs, None, text_col), fit(thin))
+def redacted() -> str:
+    """SQL: text t with all its spans replaced by their kinds in brackets; spans that touch become the first one's kind."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    order = "array_sort(transform(all_, x -> named_struct('start', x.start, 'end', x.end, 'k', x.k)))"
-    step = f"""(s, x) -> if(x.start < s.at, named_struct('at', greatest(s.at, x.end), 'out', s.out), named_struct('at', x.end,
-        'out', concat(s.out, substring({text_col}, int(s.at + 1), int(x.start - s.at)), element_at(array({names}), x.k + 1))))"""
-    new = f"aggregate({order}, named_struct('at', 0L, 'out', ''), {step}, s -> concat(s.out, substring({text_col}, int(s.at + 1))))"
-    text = F.when(F.size("all_") > 0, F.expr(new)).otherwise(F.col(text_col))
-    cols = [text.alias(c) if c == text_col else F.when(F.size("all_") > 0, F.length(text)).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return x.select(*cols)
+    cut = f"substring(array_join(slice(chunks, int(a div {CHUNK}) + 1, int(z div {CHUNK} - a div {CHUNK}) + 1), ''), int(a % {CHUNK}) + 1, int(z - a))"
+    text = lambda a, z: let(a, "a", let(z, "z", f"if(z > a, {cut}, '')"))
+    piece = f"if(x.start < get(ends, i), '', concat({text('get(ends, i)', 'x.start')}, element_at(array({names}), x.k + 1)))"
+    last = text("aggregate(line, 0L, (s, x) -> greatest(s, x.end))", "cast(length(t) as bigint)")
+    new = f"concat(array_join(transform(line, (x, i) -> {piece}), ''), {last})"
+    new = let(before_each("transform(line, x -> x.end)", "0L", "greatest(s, v)"), "ends", new)
+    new = let(f"regexp_extract_all(t, r'(?s).{{1,{CHUNK}}}', 0)", "chunks", new)
+    return let("array_sort(transform(all, x -> named_struct('start', x.start, 'end', x.end, 'k', x.k)))", "line", new)
+
+
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """Docs with every span replaced by its kind in brackets; same columns, length_col set anew where a text changed.
+
+    Cases: null texts stay null, texts without spans stay as they are; rows that repeat change alike; an empty table
+    stays empty; columns may have any names.
+    """
+    cands = staged(candidates(docs, text_col, F.struct(*[col(c) for c in docs.columns])), "pii-candidates")
+    x = with_spans(cands, fit(cands)).select("keep", F.expr(f"if(size(all) > 0, {redacted()}, null)").alias("new"))
+    types = dict(docs.dtypes)
+
+    def value(c: str) -> Column:
+        old = F.col("keep").getField(c)
+        return F.coalesce(F.col("new"), old) if c == text_col else F.coalesce(F.length("new").cast(types[c]), old) if c == length_col else old
+
+    return x.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

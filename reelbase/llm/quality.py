@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from operator import eq
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import col, held_out, table
 
 WORDS = 1 << 15
 BINS = 12
@@ -34,14 +35,14 @@ def bin_of(share: float) -> int:
 
 
 def inputs(text: str | None, metadata=()) -> tuple[np.ndarray, list[int]]:
-    """(hashed distinct words, active bins) of a text; bins lie above WORDS."""
+    """(hashed distinct words, active bins) of a text; bins lie above WORDS. Metadata that isn't finite counts as null."""
     raw = (text or "").encode()
     words = raw.split()
-    distinct = set(words)
+    distinct = Counter(words)
     n, size = len(words), max(len(raw), 1)
     lines = [x for x in raw.split(b"\n") if x]
     without = lambda chars: 1 - len(raw.translate(None, chars)) / size if raw else 0.0
-    top = words.count(max(distinct, key=len)) if n else 0
+    top = max(distinct.values(), default=0)
     values = (
         min(BINS - 1, n.bit_length()),
         bin_of(1 - len(distinct) / n) if n else 0,
@@ -57,7 +58,7 @@ def inputs(text: str | None, metadata=()) -> tuple[np.ndarray, list[int]]:
     bins = [WORDS + k * BINS + v for k, v in enumerate(values)]
     at = WORDS + len(STATS) * BINS
     for k, v in enumerate(metadata):
-        v = 0 if v is None else min(BINS - 1, 1 + int(abs(v)).bit_length() // 2) if isinstance(v, (int, float)) else 1 + zlib.crc32(str(v).encode()) % (BINS - 1)
+        v = 0 if v is None or isinstance(v, float) and not math.isfinite(v) else min(BINS - 1, 1 + int(abs(v)).bit_length() // 2) if isinstance(v, (int, float)) else 1 + zlib.crc32(str(v).encode()) % (BINS - 1)
         bins.append(at + k * BINS + v)
     hashed = np.fromiter(map(zlib.crc32, distinct), dtype=np.uint32, count=len(distinct)) % WORDS
     return hashed.astype(np.int32), bins
@@ -122,16 +123,22 @@ def best_cut(z: np.ndarray, y: np.ndarray, balanced: bool = True) -> float:
     return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, y): a bounded sample of the labelled rows that aren't held out, in hashed order; an id's largest label counts."""
-    x = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, *held))
-    return x.groupBy(F.col(id_col).alias("y__id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("y__id"), "y__id").limit(rows)
+def labelled(labels: DataFrame, label: str, held: tuple[int, int], rows: int, id_col: str = "doc_id") -> DataFrame:
+    """(y_id, y): a bounded sample of the labelled rows that aren't held out, in hashed order; an id's largest label counts."""
+    x = labels.where(col(label).isNotNull() & col(id_col).isNotNull() & ~held_out(id_col, *held))
+    return x.groupBy(col(id_col).alias("y_id")).agg(F.max(col(label)).cast("int").alias("y")).orderBy(F.xxhash64("y_id"), "y_id").limit(rows)
+
+
+def sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """(y, id, t, m0...): the chosen (y_id, y) rows of docs; of rows that share an id the first in the order of text and metadata."""
+    x = docs.select(col(id_col).alias("id"), F.struct(col(text_col).alias("t"), *[col(c).alias(f"m{k}") for k, c in enumerate(metadata)]).alias("row"))
+    x = x.join(F.broadcast(chosen), F.col("id") == F.col("y_id"))  # chosen has a bounded number of rows
+    return x.groupBy("y", "id").agg(F.min("row").alias("row")).select("y", "id", "row.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), held: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Train on at most sample_rows labelled rows. Without labels of both kinds the machine gives the same score to all."""
-    chosen = labelled(docs, labels, "quality", held, sample_rows, id_col)
-    x = docs.join(chosen, docs[id_col] == chosen["y__id"]).select("y", F.col(text_col).alias("t"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(metadata)])
+    x = sample(docs, labelled(labels, "quality", held, sample_rows, id_col), id_col, text_col, metadata).drop("id")
 
     def run(batches):
         for b in batches:
@@ -172,7 +179,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     kind = dict(docs.dtypes)[id_col]
-    x = docs.select(F.col(id_col).alias("id"), held_out(id_col, *held).alias("held_out"), F.col(text_col).alias("t"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(metadata)])
+    x = docs.select(col(id_col).alias("id"), held_out(id_col, *held).alias("held_out"), col(text_col).alias("t"), *[col(c).alias(f"m{k}") for k, c in enumerate(metadata)])
     return x.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 

@@ -1,10 +1,12 @@
 """Secret scan: base patterns, and a character convolutional network over every candidate and its context.
 
-Candidates are long mixed tokens and values of key-like names. The network (numpy) reads the characters before, in
-and after a candidate; candidates longer than one view are read in several, and the highest score counts. It is trained on
-findings labelled by the base patterns in a bounded sample of documents, together with drawn findings of forms that the
-patterns miss. The threshold is the highest that keeps the required recall on findings set aside, held
-between the calibrated probabilities 0.5 and 0.9.
+Candidates are the base patterns' spans, long mixed tokens and values of key-like names. The network (numpy) reads the
+characters before, in and after a candidate; candidates longer than one view are read in several, and the highest score
+counts. It is trained on findings labelled by the base patterns in a bounded sample of documents, together with drawn
+findings of forms that the patterns miss; other tokens of the sample are examples of what is no secret only where their
+form is that of a number, an address, a date or joined words, as secrets may be among the rest. Probabilities are
+calibrated on findings set aside. Base spans stay whatever their score, so the threshold decides on the others alone: it
+is the highest with which the required share of the set-aside secrets beyond the base patterns is found.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, table
 
 KINDS = ("assign", "access", "hex", "other")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -29,11 +31,16 @@ NAMES = (b"passw", b"secret", b"token", b"api")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
 VALUE = re.compile(r"""(?:pwd|pass|auth|bearer|credential|private[_ ]?key|access[_ ]?key|client[_ ]?secret)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", re.A | re.I)
 
+#: Forms that are no secret: numbers, addresses, dates and versions, and words joined by marks.
+HARMLESS = re.compile(r"[0-9.,:/_=+-]+|(?:https?:)?/?/?(?:[A-Za-z0-9-]+\.)+[a-z]{2,4}(?:/[A-Za-z0-9._-]*)*|(?:[a-z]+|[0-9]{1,4})(?:[-_./][0-9]*[a-z]+[0-9]{0,2}|[-_./][0-9]{1,4})+", re.A)
+
 BEFORE, INSIDE, AFTER = 24, 48, 8
 VIEW = BEFORE + INSIDE + AFTER
 EMBED, WIDTH, FILTERS = 8, 5, 16
-#: Documents that training findings are taken from, at most, and findings of each label.
-SAMPLE_DOCS, SAMPLE_FINDINGS = 4000, 3000
+#: Documents that training findings are taken from, at most; findings of each label; characters of a finding.
+SAMPLE_DOCS, SAMPLE_FINDINGS, SAMPLE_LENGTH = 4000, 3000, 4096
+#: Share of the secrets beyond the base patterns that the threshold keeps.
+RECALL = 0.98
 
 
 def base_spans(text: str, low: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -137,8 +144,8 @@ class Convolution:
                     first[k], second[k] = 0.9 * first[k] + 0.1 * v, 0.99 * second[k] + 0.01 * v * v
                     self.p[k] -= rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the recall-constrained threshold."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, decided: np.ndarray, recall: float) -> None:
+        """Platt scaling by Newton steps over all, then the recall-constrained threshold over the decided ones."""
         z, a, b = self.logits(x), 1.0, 0.0
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -147,8 +154,8 @@ class Convolution:
             da, db = np.linalg.solve(h, [(r * z).sum() - 1e-2 * (a - 1), r.sum()])
             a, b = a + float(np.clip(da, -1, 1)), b + float(np.clip(db, -1, 1))
         self.slope, self.shift = max(a, 0.05), b
-        kept = np.sort(self.scores(x)[y == 1])
-        self.threshold = min(max(0.5, float(kept[int((1 - recall) * len(kept))])), 0.9) if len(kept) else 0.5
+        kept = np.sort(self.scores(x)[(y == 1) & decided])
+        self.threshold = float(kept[int((1 - recall) * len(kept))]) if len(kept) else 0.5
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -30, 30)))
@@ -185,8 +192,8 @@ def drawn(n: int, seed: int = 8) -> tuple[list[tuple[str, int, int]], list[int]]
     return out, y
 
 
-def trained(texts: list[str], recall: float = 0.98) -> Convolution:
-    """Train on the base patterns' findings in texts and on drawn ones; a fifth is set aside for calibration."""
+def trained(texts: list[str], recall: float = RECALL) -> Convolution:
+    """Train on the base patterns' findings in texts and on drawn ones; a third of the drawn and a fifth of the others are set aside."""
     x, y = [], []
     for t in texts:
         base = base_spans(t)
@@ -196,27 +203,28 @@ def trained(texts: list[str], recall: float = 0.98) -> Convolution:
             x.append(views(t, a, b)[:1])
             y.append(1)
         for a, b in other_candidates(t, base):
-            if not VALUE.search(t, max(0, a - 32), b):  # values of key-like names are left to the drawn labels
+            # values of key-like names and free forms are left to the drawn labels
+            if HARMLESS.fullmatch(t, a, b) and not VALUE.search(t, max(0, a - 32), b):
                 x.append(views(t, a, b)[:1])
                 y.append(0)
     rng = np.random.default_rng(9)
     order = rng.permutation(len(x))
     pos, neg = [i for i in order if y[i]][:SAMPLE_FINDINGS], [i for i in order if not y[i]][:SAMPLE_FINDINGS]
-    findings, labels = drawn(2000)
+    findings, labels = drawn(3000)
     xs = np.concatenate([x[i] for i in (*pos, *neg)] + [views(*f)[:1] for f in findings])
     ys = np.array([1.0] * len(pos) + [0.0] * len(neg) + labels)
-    order = rng.permutation(len(xs))
-    aside = order[: len(order) // 5]
+    own = np.arange(len(xs)) >= len(pos) + len(neg)
+    aside = rng.random(len(xs)) < np.where(own, 1 / 3, 1 / 5)
     net = Convolution()
-    net.fit(xs[order[len(order) // 5 :]], ys[order[len(order) // 5 :]])
-    net.calibrate(xs[aside], ys[aside], recall)
+    net.fit(xs[~aside], ys[~aside])
+    net.calibrate(xs[aside], ys[aside], own[aside], recall)
     return net
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Convolution:
-    """Train on at most sample_docs documents, in hashed order; their context, not whole texts, reaches the driver."""
-    chosen = docs.select(F.col(id_col).alias("i")).where("i IS NOT NULL").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    x = docs.join(F.broadcast(chosen), docs[id_col] == chosen["i"]).select(F.col(text_col).alias("t"))
+    """Train on at most sample_docs documents, in hashed order; findings of at most SAMPLE_LENGTH characters with their context, not whole texts, reach the driver."""
+    chosen = docs.select(col(id_col).alias("c")).where("c IS NOT NULL").distinct().orderBy(F.xxhash64("c"), "c").limit(sample_docs)
+    x = docs.select(col(id_col).alias("i"), col(text_col).alias("t")).join(F.broadcast(chosen), F.col("i") == F.col("c")).select("t")
 
     def run(batches):  # a snippet of each finding
         for b in batches:
@@ -224,7 +232,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             for t in b.column(0).to_pylist():
                 base = base_spans(t or "")
                 spans = [(a, e) for a, _, e in base] + other_candidates(t or "", base)
-                out += [t[max(0, a - 48) : e + 16] for a, e in spans if e - a <= 4096]
+                out += [t[max(0, a - 48) : e + 16] for a, e in spans if e - a <= SAMPLE_LENGTH]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
 
     snippets = x.mapInArrow(run, "t string").distinct().orderBy(F.xxhash64("t")).limit(4 * SAMPLE_FINDINGS)
@@ -232,48 +240,67 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def scan(docs: DataFrame, net: Convolution, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(<id>, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs.
+    """(<id>, n_assign, n_access, n_hex, base_sha256, spans, scores) for every row of docs; scores are the spans' probabilities, in thousandths.
 
     Cases: null and empty texts have no spans (the digest is that of the empty string); repeated rows, ties and null
     ids are scanned row by row; an empty table gives no rows; other columns are ignored.
     """
 
-    def spans_of(text: str, more: list[tuple[int, int]], keep) -> tuple:
-        base = base_spans(text)
-        every = sorted(base + [(a, 3, b) for (a, b), k in zip(more, keep) if k])
-        show = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in xs)
+    def spans_of(base: list, more: list[tuple[int, int]], p: np.ndarray) -> tuple:
+        own, rest = p[: len(base)], p[len(base) :]
+        every = sorted([(*s, x) for s, x in zip(base, own)] + [(a, 3, b, x) for (a, b), x in zip(more, rest) if x >= net.threshold])
+        show = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, *_ in xs)
         n = [sum(k == i for _, k, _ in base) for i in range(3)]
-        return (*n, hashlib.sha256(show(base).encode()).hexdigest(), show(every))
+        return (*n, hashlib.sha256(show(base).encode()).hexdigest(), show(every), ",".join(str(round(1000 * x)) for *_, x in every))
+
+    kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "scores": pa.string()}
 
     def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                more = [other_candidates(t, base_spans(t)) for t in texts]
-                keep = kept(net, texts, more)
-                rows = [spans_of(t, m, k) for t, m, k in zip(texts, more, keep)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                base = [base_spans(t) for t in texts]
+                more = [other_candidates(t, x) for t, x in zip(texts, base)]
+                p = probabilities(net, texts, [[*((ASSIGN.match(t, a).start(2) if k == 0 else a, e) for a, k, e in x), *m] for t, x, m in zip(texts, base, more)])
+                rows = [spans_of(*x) for x in zip(base, more, p)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values()))], names=["id", *kinds])
 
     kind = dict(docs.dtypes)[id_col]
-    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return x.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
-
-
-def kept(net: Convolution, texts: list[str], more: list[list[tuple[int, int]]]) -> list[list[bool]]:
-    """For each text: which candidates score at least the threshold in any of their views."""
-    seen, owner = [], []
-    flat = [(i, a, b) for i, m in enumerate(more) for a, b in m]
-    for k, (i, a, b) in enumerate(flat):
-        v = views(texts[i], a, b)
-        seen.append(v)
-        owner.append(np.full(len(v), k))
-    best = np.zeros(len(flat))
-    if flat:
-        np.maximum.at(best, np.concatenate(owner), net.scores(np.concatenate(seen)))
-    ends = np.cumsum([0] + [len(m) for m in more])
-    return [(best[a:b] >= net.threshold).tolist() for a, b in zip(ends, ends[1:])]
+    x = docs.select(col(id_col).alias("id"), col(text_col).alias("t"))
+    return x.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores string").withColumnRenamed("id", id_col)
+
+
+#: Views that are scored at a time.
+BATCH = 4096
+
+
+def probabilities(net: Convolution, texts: list[str], spans: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+    """For each text: the highest probability among each span's views."""
+    out = [np.zeros(len(s)) for s in spans]
+    seen, owner, n = [], [], 0
+
+    def flush() -> None:
+        p = net.scores(np.concatenate(seen))
+        at = 0
+        for (i, k), v in zip(owner, seen):
+            out[i][k] = max(out[i][k], p[at : at + len(v)].max())
+            at += len(v)
+        seen.clear()
+        owner.clear()
+
+    for i, (t, s) in enumerate(zip(texts, spans)):
+        for k, (a, b) in enumerate(s):
+            for c in range(a, b, BATCH * INSIDE):  # a very long span in parts, each with its context
+                seen.append(views(t, c, min(b, c + BATCH * INSIDE)))
+                owner.append((i, k))
+                n += len(seen[-1])
+                if n >= BATCH:
+                    flush()
+                    n = 0
+    if seen:
+        flush()
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ A text's fingerprint is the bitwise majority of the hashes of its word shingles.
 The 64 bits are grouped into m partitions, correlated bits together. If every pair of partitions' distances
 exceeded its thresholds T_p with sum(T_p) = max_bits - m + 1, the total would exceed max_bits; so each pair of
 near fingerprints is within T_p in some partition p. m and the unequal T_p come from dynamic programming over
-candidate counts that are estimated from all fingerprints. Each fingerprint is stored under its own partition
+candidate counts that are estimated from the joint bit frequencies of all fingerprints. Each fingerprint is stored under its own partition
 values and probes all values within T_p of them; what meets under a value is verified on all 64 bits.
 
 Only distinct fingerprints are compared: copies join their class by equality. A value under which more than
@@ -18,7 +18,7 @@ propagation with pointer jumping over staged tables; nothing that grows with the
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import col, discard, staged
 
 BITS = 64
 #: Relative costs for the plan: a probe row that is shuffled, against one comparison of two fingerprints.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
 # --------------------------------------------------------------------------- the plan
@@ -91,13 +91,27 @@ def group_bits(joint: np.ndarray, n: float, m: int) -> list[list[int]]:
     return parts
 
 
-def distance_law(p: np.ndarray, bits: list[int]) -> np.ndarray:
-    """P(distance = d) over the bits, for two fingerprints with independent bits of these frequencies."""
-    law = np.array([1.0])
-    for i in bits:
-        q = 2 * p[i] * (1 - p[i])
-        law = np.convolve(law, [1 - q, q])
-    return law
+def distance_law(joint: np.ndarray, n: float, bits: list[int]) -> np.ndarray:
+    """P(distance = d) over the bits for two fingerprints drawn alike.
+
+    The distance's mean and variance follow from the joint frequencies; bits that go together spread it, so that
+    more pairs agree in all of them. A beta-binomial law has that mean and variance, the binomial law if nothing is spread.
+    """
+    w, p = len(bits), np.diag(joint)[bits] / max(n, 1)
+    both = joint[np.ix_(bits, bits)] / max(n, 1)
+    differ = 2 * p * (1 - p)
+    one = p[:, None] - both
+    pair = 2 * both * np.maximum(1 - p[:, None] - p[None, :] + both, 0) + 2 * one * one.T  # both bits differ
+    np.fill_diagonal(pair, differ)
+    mean = differ.sum()
+    variance = pair.sum() - mean**2
+    rate = min(max(mean / w, 1e-6), 1 - 1e-6)
+    spread = (variance / (w * rate * (1 - rate)) - 1) / max(w - 1, 1)
+    if spread < 1e-3:
+        return np.array([comb(w, d) * rate**d * (1 - rate) ** (w - d) for d in range(w + 1)])
+    a, b = (x * (1 / min(spread, 0.999) - 1) for x in (rate, 1 - rate))
+    beta = lambda u, v: lgamma(u) + lgamma(v) - lgamma(u + v)
+    return np.array([exp(log(comb(w, d)) + beta(d + a, w - d + b) - beta(a, b)) for d in range(w + 1)])
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -116,7 +130,6 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan_partitions(joint: np.ndarray, n: int, max_bits: int, counts=(2, 3, 4, 5)) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of the cheapest allocation; partitions with threshold -1 are left out."""
-    p = np.diag(joint) / max(n, 1)
     pairs = n * (n - 1) / 2.0
     best: tuple[float, list] = (float("inf"), [])
     for m in [c for c in counts if c <= max_bits + 1] or [1]:
@@ -124,7 +137,7 @@ def plan_partitions(joint: np.ndarray, n: int, max_bits: int, counts=(2, 3, 4, 5
         total = max_bits - m + 1
         costs = []
         for bits in parts:
-            law, row, ball = distance_law(p, bits), [0.0], 0
+            law, row, ball = distance_law(joint, n, bits), [0.0], 0
             for t in range(total + m):
                 ball += comb(len(bits), t)
                 near = min(1.0, law[: t + 1].sum()) if t < len(law) else 1.0
@@ -227,19 +240,19 @@ def links(classes: DataFrame, max_bits: int = 4, block: int = 512) -> DataFrame:
     parts = plan_partitions(joint, n, max_bits)
     shifts = []
     for bits, t in parts:
-        at = np.array([1 << k for k in range(len(bits))], dtype=np.int64)
+        at = np.array([1 << k for k in range(len(bits))], dtype=np.uint64)
         flips = [0] + [sum(1 << k for k in c) for d in range(1, t + 1) for c in combinations(range(len(bits)), d)]
-        shifts.append((bits, t, at, np.array(flips, dtype=np.int64)))
+        shifts.append((bits, t, at, np.array(flips, dtype=np.uint64)))
 
     def emit(batches):
         for b in batches:
             whole = b.column(0).to_numpy(zero_copy_only=False)
             for s in range(0, len(whole), 4096):
                 fps = whole[s : s + 4096]
-                x = _unpack(fps).astype(np.int64)
+                x = _unpack(fps).astype(np.uint64)
                 for p, (bits, _, at, flips) in enumerate(shifts):
                     own = x[:, bits] @ at
-                    values = (own[:, None] ^ flips[None, :]).ravel()
+                    values = (own[:, None] ^ flips[None, :]).ravel().view(np.int64)
                     probe = np.tile(np.arange(len(flips)) > 0, len(own))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(values), p)), pa.array(values), pa.array(np.repeat(fps, len(flips))), pa.array(probe)],
@@ -302,20 +315,30 @@ def _until_end(batches):
 
 # --------------------------------------------------------------------------- components
 def component_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): each node of the edges with the least node that it reaches."""
+    """(node, label): each node of the edges with the least node that it reaches. Tables of past rounds are removed."""
     both = staged(edges.union(edges.select("v", "u")).toDF("u", "v").distinct(), "simhash-edges")
     labels = staged(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), "simhash-labels")
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("low"))
+        near = both.join(labels.select("node", "label"), both.v == labels.node).groupBy("u").agg(F.min("label").alias("low"))
         mixed = staged(
             labels.join(near, labels.node == near.u, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label")), "simhash-mixed"
         )
         up = mixed.select(F.col("node").alias("label"), F.col("label").alias("above"))
         new = staged(mixed.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), "old"), "simhash-labels")
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new.select("node", "label")
+        discard(labels, mixed)
+        labels = new
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("node", "label")
+
+
+def class_labels(fps: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """(fp, rep, label): each distinct fingerprint of (id, fp) with its least id and the least fingerprint that it reaches."""
+    classes = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+    labels = component_labels(staged(links(classes, max_bits, block), "simhash-links"))
+    of = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    return staged(of, "simhash-of")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, block: int = 512, seed: int = 42) -> DataFrame:
@@ -328,36 +351,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored, whatever their names.
     """
     fps = staged(fingerprints(docs, id_col, text_col, words, seed), "simhash-fps")
-    classes = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    labels = component_labels(staged(links(classes, max_bits, block), "simhash-links"))
-    of = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    of = staged(of, "simhash-of")
+    of = class_labels(fps, max_bits, block)
     least = staged(of.groupBy("label").agg(F.min("rep").alias("component_id")), "simhash-least")
     final = staged(of.join(least, "label").select("fp", "component_id"), "simhash-final")
     return fps.join(final, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Docs with one document of each near-duplicate component, the one with the smallest id; same columns."""
-    return one_of_components(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, block: int = 512, seed: int = 42) -> DataFrame:
+    """Docs with one document of each near-duplicate component; same columns.
+
+    The row with the smallest id stays; of rows that share it the one with the smallest fingerprint, then the first
+    read. Rows with null ids come last, so one stays only where its component has no id. Cases otherwise as above.
+    """
+    rows = numbered(docs, id_col, text_col)
+    fps = staged(fingerprints(rows.withColumn("key", F.struct("id", "uid")), "key", "t", words, seed).select("id.*", "fp"), "simhash-fps")
+    of = class_labels(fps, max_bits, block)
+    return one_of_labels(docs, rows, fps.join(of.select("fp", "label"), "fp"), "fp", id_col, text_col)
 
 
-def one_of_components(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Docs with the document whose id is its component's, of (<id>, fingerprint, component_id).
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, rest, uid): docs staged with a number for each row; rest is a struct of the columns besides id and text."""
+    rest = [col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    x = docs.select(col(id_col).alias("id"), col(text_col).alias("t"), F.struct(*rest or [F.lit(0).alias("none")]).alias("rest"))
+    return staged(x.withColumn("uid", F.monotonically_increasing_id()), "numbered-rows")
 
-    Rows that repeat the kept id are one document: one of them stays. Rows with null ids stay only where
-    their component has no id at all.
-    """
-    found = staged(components, "simhash-found")
-    keep = staged(
-        found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count("*").alias("rows")).select(F.col(id_col).alias("keep__id"), "rows"),
-        "simhash-keep",
-    )
+
+def one_of_labels(docs: DataFrame, rows: DataFrame, labels: DataFrame, text_key: str, id_col: str, text_col: str) -> DataFrame:
+    """Of rows (docs, numbered) the first of each label of (id, uid, label, <text_key>), with docs' columns."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", text_key, "uid")).alias("first")
+    keep = staged(labels.groupBy("label").agg(first).select("first.uid"), "numbered-keep")
     # a merge join at every size: were small tables broadcast, cost would jump where they outgrow that
-    kept = docs.join(keep.select("keep__id").distinct().hint("merge"), docs[id_col].eqNullSafe(F.col("keep__id")), "left_semi")
-    if keep.where((F.col("rows") > 1) | F.col("keep__id").isNull()).limit(1).count() or keep.groupBy("keep__id").count().where("count > 1").limit(1).count():
-        return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return kept
+    kept = rows.join(keep.hint("merge"), "uid", "left_semi")
+    of = {c: f"rest.c{k}" for k, c in enumerate(docs.columns)} | {id_col: "id", text_col: "t"}
+    return kept.select(*[F.col(of[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

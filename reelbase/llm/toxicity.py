@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input vector joins what its characters and the whole word say: class evidence of its character
-n-grams (3 to 5) and of the word, counted on labelled rows, and trained embeddings of its character pairs and of the
+n-grams (4 to 8 bytes) and of the word, counted on labelled rows, and trained embeddings of its character pairs and of the
 hashed word. Texts are cut into overlapping windows of words; all are scored, and a text has its highest window's score.
 As a word's vector doesn't depend on its place, its products with the input weights are kept for the words seen.
 """
@@ -15,21 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
-from .quality import best_cut, labelled
+from .common import col, held_out, table
+from .quality import best_cut, labelled, sample
 
-WINDOW, STEP = 48, 36
-GRAMS, TABLE = (3, 4, 5), 1 << 16
+WINDOW, STEP = 160, 120
+GRAMS, TABLE = (4, 5, 6, 7, 8), 1 << 16
 PAIRS, PAIR_DIM, WORDS, WORD_DIM = 1024, 4, 4096, 4
 EVIDENCE = len(GRAMS) + 2
 INPUT = EVIDENCE + PAIR_DIM + WORD_DIM
-HIDDEN, ATTENTION = 8, 8
+HIDDEN, ATTENTION = 10, 8
 #: Labelled rows that the network is trained on, at most: of each class, and of text in all (characters).
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 24_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 #: Words whose products a worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 #: Words after which a group of texts is scored, and windows of a longer text's piece; a group has fewer than KEPT_WORDS.
-GROUP_WORDS, PIECE = 150_000, 2000
+GROUP_WORDS, PIECE = 40_000, 600
+#: Windows that go through the network at a time.
+BATCH = 1024
 EDGES = b".,;:!?\"'()[]{}<>*#%&$|-_"
 
 
@@ -280,12 +282,12 @@ class Detector:
             at += len(ids)
         flat = np.concatenate((*flat, np.zeros(WINDOW, dtype=np.int64)))
         starts, owner, lengths = np.concatenate(starts), np.concatenate(owner), np.concatenate(lengths)
-        for a in range(0, len(starts), 2048):
-            s, n = starts[a : a + 2048], lengths[a : a + 2048]
+        for a in range(0, len(starts), BATCH):
+            s, n = starts[a : a + BATCH], lengths[a : a + BATCH]
             t = np.arange(max(int(n.max()), 1))[:, None]
             mask = (t < n).astype(np.float32)
             index = np.where(mask > 0, flat[np.minimum(s + t, len(flat) - 1)], 0)
-            np.maximum.at(out, owner[a : a + 2048], self.network.forward(self.kept, index, mask))
+            np.maximum.at(out, owner[a : a + BATCH], self.network.forward(self.kept, index, mask))
 
     def scores(self, texts) -> np.ndarray:
         n = self.network
@@ -350,17 +352,18 @@ def fitted(texts: list[str | None], y: np.ndarray, epochs: int = 8, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: tuple[int, int] = (4, 2), sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Detector:
-    """Train on at most sample_rows labelled rows of each class and sample_chars characters; whole texts only."""
+    """Train on at most sample_rows labelled rows of each class and sample_chars characters, half of them of each class.
+
+    Rows are taken in hashed order, whole texts only: a text that no longer fits is passed over.
+    """
     parts = []
     for value in (0, 1):
-        chosen = labelled(docs, labels.where(F.col("toxic") == value), "toxic", held, sample_rows, id_col)
-        x = docs.join(chosen, docs[id_col] == chosen["y__id"]).select("y", F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        x = sample(docs, labelled(labels.where(col("toxic") == value), "toxic", held, sample_rows, id_col), id_col, text_col)
         room, taken = sample_chars // 2, []
-        for r in x.orderBy(F.length("t"), F.xxhash64("id")).toLocalIterator():
-            room -= len(r["t"] or "")
-            if room < 0:
-                break
-            taken.append((r["t"], r["y"]))
+        for r in x.where(F.coalesce(F.length("t"), F.lit(0)) <= room).orderBy(F.xxhash64("id"), "id").toLocalIterator():
+            if (n := len(r["t"] or "")) <= room:
+                room -= n
+                taken.append((r["t"], r["y"]))
         parts.append(taken)
     both = [*parts[0], *parts[1]]
     order = np.random.default_rng(5).permutation(len(both))
@@ -387,7 +390,7 @@ def score(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     kind = dict(docs.dtypes)[id_col]
-    x = docs.select(F.col(id_col).alias("id"), held_out(id_col, *held).alias("held_out"), F.col(text_col).alias("t"))
+    x = docs.select(col(id_col).alias("id"), held_out(id_col, *held).alias("held_out"), col(text_col).alias("t"))
     return x.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 

@@ -1,16 +1,18 @@
 """Operators with exact contracts against brute force over whole small tables and over awkward rows."""
 
+import gzip
 import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelbase.llm import packing, simhash, telephony, warc
+from reelbase.llm import near_copies, packing, simhash, telephony, warc
 
 AWKWARD = [
     (1, "one two three four five six", "a"),
@@ -77,11 +79,39 @@ def test_simhash_awkward_rows(spark):
     got = sorted((tuple(r) for r in simhash.near_duplicates(awkward(spark)).collect()), key=str)
     assert got == slow_components([(d, t) for d, t, _ in AWKWARD])
     assert simhash.near_duplicates(awkward(spark).limit(0)).count() == 0
+    exact = {r.doc_id: r for r in simhash.near_duplicates(awkward(spark), max_bits=0).collect()}
+    assert exact[5].component_id == exact[1].component_id == 1 and exact[9].component_id == 9
     kept = simhash.one_of_each(awkward(spark))
     assert kept.columns == ["doc_id", "text", "fp"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in got})
 
 
+LONG = " ".join(f"w{i}" for i in range(400))
+
+
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, near_copies.one_of_each])
+def test_one_row_of_each_component(spark, one_of_each):
+    a, b, c = "alpha beta gamma delta epsilon zeta", LONG, "one two three four five six seven"
+    rows = [(1, a), (None, a), (None, b), (None, b + " end"), (5, c), (5, a), (5, "quite another text with words of its own"), (7, c), (7, c), (8, None), (9, "")]
+    docs = spark.createDataFrame([(t, "x", i, 1.5) for i, t in rows], "text string, id string, doc_id long, `a.b` double")
+    got = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (5, c), (5, rows[6][1]), (8, None)], key=str) or got == sorted([(1, a), (None, b + " end"), (5, c), (5, rows[6][1]), (8, None)], key=str)
+    assert one_of_each(docs).columns == docs.columns and one_of_each(docs.limit(0)).count() == 0
+
+
+def test_law_of_distances_follows_correlation():
+    rng = np.random.default_rng(2)
+    shared = rng.random((4000, 1)) < 0.5
+    x = ((rng.random((4000, 64)) < 0.5) ^ False).astype(float)
+    x[:, :16] = np.where(rng.random((4000, 16)) < 0.7, shared, x[:, :16])
+    joint = x.T @ x
+    i, j = rng.integers(0, 4000, (2, 200_000))
+    for bits in (list(range(16)), list(range(20, 36))):
+        law = simhash.distance_law(joint, 4000, bits)
+        seen = np.bincount((x[i][:, bits] != x[j][:, bits]).sum(1), minlength=17) / len(i)
+        assert abs(law.sum() - 1) < 1e-6 and np.abs(np.cumsum(law) - np.cumsum(seen)).max() < 0.1
+
+
 @pytest.mark.parametrize("spread", [1, 3, 6])
 def test_hot_values_are_split_without_losing_links(spark, spread):
     rng = np.random.default_rng(spread)
@@ -221,24 +251,45 @@ def test_adpcm_blocks(data):
     assert telephony.decode_adpcm(data, 64).tolist() == [x for a in range(0, len(padded), 64) for x in slow_adpcm(padded[a : a + 64])]
 
 
-@pytest.mark.parametrize("tag", [telephony.MULAW, telephony.ALAW, telephony.IMA_ADPCM])
-def test_media_round_trip(spark, tag):
-    rows = telephony.read_back(telephony.encode_payload(awkward(spark), tag=tag)).collect()
-    want = []
-    for d, t, _ in AWKWARD:
-        raw = (t or "").encode()
-        x = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
-        want.append((d, len(raw), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:])))
-    assert sorted((tuple(r)[:5] for r in rows), key=str) == sorted(want, key=str)
+def slow_audio(text, tag):
+    """The contract's columns and the feature of one text, decoded sample by sample."""
+    raw = (text or "").encode()
+    x = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+    tag = telephony.chosen_coding(x) if tag is None else tag
+    if tag == telephony.IMA_ADPCM:
+        samples = [v for a in range(0, len(x), 64) for v in slow_adpcm(x[a : a + 64])]
+    else:
+        samples = [int(telephony.TABLES[tag][c]) for c in x]
+    low = samples[: 2 * (len(samples) // 2) : 2]  # 16000 to 8000 samples a second
+    crossings = sum((p < 0) != (q < 0) for p, q in zip(low, low[1:]))
+    return len(raw), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), f"{len(low)}:{sum(v * v for v in low)}:{max(map(abs, low))}:{crossings}"
+
+
+def check_audio(df, docs, tag=None):
+    rows = df.collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in rows), key=str)
+    assert got == sorted(((d, *slow_audio(t, tag)) for d, t in docs), key=str)
     assert len({(r.payload_sha256, r.media_sha256, r.feature, r.media_bytes) for r in rows}) == len({r.payload_sha256 for r in rows})
 
 
+@pytest.mark.parametrize("tag", [telephony.MULAW, telephony.ALAW, telephony.IMA_ADPCM, None])
+def test_media_round_trip(spark, tag):
+    check_audio(telephony.store_and_read(awkward(spark), tag=tag), [(d, t) for d, t, _ in AWKWARD], tag)
+
+
+def test_audio_whole_table(spark, sf):
+    check_audio(telephony.query(spark, sf), [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
 def test_pcm_store(spark):
-    media = telephony.encode_payload(awkward(spark)).unionByName(spark.createDataFrame([(99, 0, b"junk"), (98, 0, None)], "doc_id long, n_bytes long, media binary"))
+    stereo = bytearray(telephony.wav(b"\xff" * 64, telephony.MULAW, 8000))
+    stereo[22] = 2
+    extra = [(99, 0, b"junk"), (98, 0, None), (97, 0, bytes(stereo)), (96, 0, telephony.wav(b"ab", 0x55, 8000))]
+    media = telephony.encode_payload(awkward(spark), tag=telephony.MULAW, rate=8000).unionByName(spark.createDataFrame(extra, "doc_id long, n_bytes long, media binary"))
     got = {r.doc_id: r for r in telephony.to_pcm(media, rate=16000).collect()}
     tag, rate, align, data = telephony.parse_wav(got[9].pcm)
     assert (tag, rate, align, len(data)) == (telephony.PCM, 16000, 2, 64 * 2 * 2)
-    assert got[99].pcm is None and got[99].error and got[98].error
+    assert all(got[k].pcm is None and got[k].error for k in (96, 97, 98, 99)) and "2 channels" in got[97].error
     assert telephony.to_pcm(media.limit(0)).count() == 0
 
 
@@ -259,3 +310,29 @@ def test_warc_awkward_rows(spark, tmp_path):
     assert got == sorted(want, key=str)
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_warc_files_and_members(spark, tmp_path):
+    big = "y" * (warc.LARGE + 1)
+    rows = [(k, f"u{k}", f"page {k} " * 300) for k in range(20)] + [(50, "u", big), (51, "v", big), (52, "w", big + "z")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert len(got) == 23 and (got[50].record_type, got[50].refers_to, got[51].record_type) == ("revisit", 51, "response")
+    plain = [*tmp_path.glob("w/plain/*.txt")]
+    assert len(plain) == 2 and all(f.read_bytes().startswith(b"WARC/1.0") for f in plain)
+    seen = []
+    for f in tmp_path.glob("w/members/*.txt"):
+        data = f.read_bytes()
+        assert gzip.decompress(data).decode().count("WARC/1.0") == len([*warc.unpacked(data)])
+        seen += [*warc.unpacked(data)]
+    assert len(seen) == 21 and all(x.startswith(b"WARC/1.0") and x.endswith(b"\r\n\r\n") for x in seen)
+    back = next(x for x in seen if b"WARC-Type: revisit" in x)
+    assert b"WARC-Refers-To-Target-URI: v\r\n" in back and b"WARC-Refers-To-Date: " in back
+
+
+def test_warc_whole_table(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    want = con.sql(warc.SQL)
+    got = warc.query(spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)

@@ -9,14 +9,14 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from reelbase.llm import near_copies, quality, secrets, simhash, toxicity
+from reelbase.llm import near_copies, quality, secrets, toxicity
 
 ROWS = [(1, "plain words here and there"), (2, None), (3, ""), (4, " \n "), (5, "same"), (5, "same"), (None, "no id"), (8, "long text " * 9000), (9, "é\U0001f600 ñ " * 5)]
 SF = "/root/testdata/sf0.01"
 
 
 def frame(spark):
-    return spark.createDataFrame([(i, t, 7, "x", "x", 1.5) for i, t in ROWS], "doc_id long, text string, n_chars long, id string, held_out string, score double")
+    return spark.createDataFrame([(i, t, 7, "x", "x", 1.5) for i, t in ROWS], "doc_id long, text string, n_chars long, id string, held_out string, score double").selectExpr("*", "1 as y", "2 as y__id", "'t' as t", "'c' as c", "'i' as i", "0 as row")
 
 
 def labels(spark, sf=SF):
@@ -49,6 +49,8 @@ def test_quality_awkward_rows(spark):
     rows = quality.score(docs, m, metadata=()).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ROWS) and rows[0].__fields__ == ["doc_id", "held_out", "score", "predicted"]
     assert quality.score(docs.limit(0), m).count() == 0
+    nan = docs.selectExpr("doc_id", "text", "if(doc_id = 1, double('NaN'), double('Infinity')) as n_chars")
+    assert len(quality.score(nan, quality.train(nan, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"), metadata=("n_chars",)), metadata=("n_chars",)).collect()) == len(ROWS)
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert len({r.score for r in quality.score(docs, none).collect()}) >= 1
 
@@ -123,8 +125,8 @@ def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in toxicity.score(docs.join(y, "doc_id", "left_semi"), d).collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
     held = [(r.toxic, got[r.doc_id].predicted) for r in y.collect() if got[r.doc_id].held_out]
-    assert np.mean([a == b for a, b in held]) > 0.94
-    assert np.mean([b for a, b in held if a]) > 0.75
+    assert np.mean([a == b for a, b in held]) > 0.98
+    assert np.mean([b for a, b in held if a]) >= 0.9
 
 
 def test_toxicity_awkward_rows(spark):
@@ -186,6 +188,7 @@ def test_secrets_whole_table_and_awkward_rows(spark, sf):
     got = secrets.scan(odd, net).collect()
     check_secrets(SECRETS, got)
     assert "other:6:" in next(r.spans for r in got if r.doc_id is None)
+    assert all(len(r.scores.split(",")) == len(r.spans.split(",")) for r in got)
     assert secrets.scan(odd.limit(0), net).count() == 0
 
 
@@ -197,6 +200,19 @@ def test_secret_network_on_fresh_findings():
     assert (z[y]).mean() > 0.95 and (z[~y]).mean() < 0.05
 
 
+def test_spans_score_alike_in_parts_and_company():
+    net = secrets.trained([])
+    text = "auth: " + "aB3" * 9000 + " and key = Zz9Yy8Xx7Ww6Vv5Uu4"
+    spans = secrets.other_candidates(text, [])
+    alone = [net.scores(secrets.views(text, a, b)).max() for a, b in spans]
+    old, secrets.BATCH = secrets.BATCH, 16
+    try:
+        small = secrets.probabilities(net, [text, "", text], [spans, [], spans])
+    finally:
+        secrets.BATCH = old
+    assert np.allclose(small[0], alone) and np.allclose(small[2], alone) and not len(small[1])
+
+
 def test_convolution_gradients():
     rng = np.random.default_rng(2)
     net = secrets.Convolution(3)
@@ -225,7 +241,7 @@ def test_pipeline_stages(spark, tmp_path):
     scores = {r.doc_id: r.predicted for r in toxicity.query(spark, SF).collect()}
     clean = {r.doc_id for r in kept[0].select("doc_id").collect()}
     assert clean == {d for d, p in scores.items() if not p}
-    found = simhash.near_duplicates(kept[0]).collect()
+    found = near_copies.components(kept[0]).collect()
     assert {r.doc_id for r in kept[1].select("doc_id").collect()} == {r.component_id for r in found}
     a, b = ({r.doc_id: r for r in x.collect()} for x in kept[1:3])
     assert a.keys() == b.keys() and not any("@mail" in r.text for r in b.values()) and all(r.n_chars == len(r.text) for r in b.values())

@@ -1,7 +1,10 @@
 """Mixing, quality rules and personal data: against their SQL in DuckDB or brute force, over whole small tables and awkward rows."""
 
 import hashlib
+import math
+import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -68,6 +71,20 @@ def test_repeated_words(spark):
     assert got == {(d, slow_repeats(t)) for d, t, *_ in ROWS}
 
 
+def test_cutoffs_follow_their_group(spark):
+    word = lambda k, j: ("w" if j % 3 else "W") + chr(97 + (k * 7 + j) % 26) + str(k * 40 + j)
+    lines = lambda k: [" ".join(word(k, j).lower() for j in range(i, i + 4)) for i in range(0, 36, 4)]
+    plain = [(k, "\n".join([*lines(k), lines(k)[0]]), "en", "plain") for k in range(300)]  # a tenth of the lines twice
+    loud = [(1000 + k, " ".join(word(k, j).upper() if j % 2 else word(k, j) for j in range(40)), "en", "loud") for k in range(300)]
+    text = " ".join(f"{'Q' if k % 3 else 'q'}r{k}" for k in range(60))
+    marks = " ".join(f"#{k}$" for k in range(60))
+    rows = plain + loud + [(i, t, "en", s) for i, (t, s) in enumerate([(text, "plain"), (text, "loud"), (marks, "plain"), ("a b c d e f g h i j\n" * 3 + " ".join(f"z{i}" for i in range(70)), "plain")], 5000)]
+    got = {r.doc_id: r for r in rules.apply_rules(frame(spark, rows)).collect()}
+    assert (got[5000].kept, got[5000].failed_rules, got[5001].kept) == (False, "upper", True)
+    assert (got[5002].failed_rules, got[5003].failed_rules) == ("symbols", "dup_lines")
+    assert all(sum(got[i].kept for i, *_ in group) > 0.95 * len(group) for group in (plain, loud))
+
+
 def test_buckets_are_mergeable_and_ordered(spark):
     xs = [*range(300), 1000, 12345, 10**9, 10**15]
     rows = spark.createDataFrame([(x,) for x in xs], "x long").select("x", rules.bucket(F.col("x")).alias("b"), rules.bucket_floor(rules.bucket(F.col("x"))).alias("low")).collect()
@@ -91,8 +108,6 @@ def test_mixture_realises_the_plan(spark, sf):
 
 def test_entropy_target_and_budget(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    import math
-
     plan = mixing.mix_plan(docs, target_entropy=2.98).collect()
     weights = {r.source: r.weight for r in plan}
     assert abs(-sum(w * math.log(w) for w in weights.values()) - 2.98) < 1e-3
@@ -100,7 +115,14 @@ def test_entropy_target_and_budget(spark, sf):
     half = mixing.mix_plan(docs, budget_tokens=budget).collect()
     used = sum(r.n_tokens * r.copies for r in half)
     assert 0.7 * budget < used <= budget + 20
-    assert mixing.mix(frame(spark)).columns == frame(spark).columns
+    sharp = mixing.mix_plan(docs, target_entropy=2.6).collect()  # below the sources' own: alpha over 1
+    weights = {r.source: r.weight for r in sharp}
+    assert sharp[0].alpha > 1 and min(r.copies for r in sharp) >= 1
+    assert abs(-sum(w * math.log(w) for w in weights.values() if w) - 2.6) < 1e-3
+    with pytest.raises(ValueError, match="entropy can be"):
+        mixing.mix_plan(docs, target_entropy=9.0)
+    mixed = mixing.mix(frame(spark))
+    assert mixed.columns == frame(spark).columns and mixing.mix_plan(frame(spark).limit(0), target_entropy=1.0).count() == 0
 
 
 # --------------------------------------------------------------------------- personal data
@@ -162,6 +184,65 @@ def test_private_awkward_rows(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"a{i}@b.de, {i:013d}; " for i in range(50_000))
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    began = time.time()
+    row = pii.find(docs).first()
+    assert row.n_email == 50_000 and row.base_sha256 == hashlib.sha256(",".join(slow_base(text)).encode()).hexdigest()
+    out = pii.redact(docs).first()
+    assert out.text == re.sub(r"a\d+@b\.de", "[EMAIL]", text) and out.n_chars == len(out.text)
+    assert time.time() - began < 90
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.de now", "t", "s", 9, 1.0), (2, None, None, None, None, None)], "doc_id long, text string, t string, spans_ string, n_chars int, `x.y` double")
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert tuple(out[1]) == (1, "mail [EMAIL] now", "t", "s", 16, 1.0) and tuple(out[2]) == (2, None, None, None, None, None)
+    assert pii.redact(docs).dtypes == docs.dtypes and pii.redact(docs.limit(0)).count() == 0
+
+
+def slow_free(base, more):
+    """Of more the spans that touch no base span and no earlier one of more."""
+    more = sorted(set(more), key=lambda x: (x[1], x[0], x[2]))
+    hit = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    return sorted(base + [m for k, m in enumerate(more) if not any(hit(m, b) for b in base) and not any(hit(m, b) for b in more[:k])])
+
+
+def test_added_spans_against_all_pairs(spark):
+    rng = random.Random(4)
+    votes = {j: 1 for j in pii.LABELERS}
+    rows, want = [], []
+    for i in range(60):
+        spans = {(rng.randrange(5), a, a + rng.randrange(1, 9), rng.random() < 0.4) for a in (rng.randrange(80) for _ in range(rng.randrange(30)))}
+        rows.append((i, [{"k": k, "start": a, "end": e, "base": b, **votes} for k, a, e, b in spans]))
+        want.append(slow_free([s[:3] for s in spans if s[3]], [s[:3] for s in spans if not s[3]]))
+    kind = "array<struct<k:int,start:bigint,end:bigint,base:boolean," + ",".join(f"{j}:int" for j in pii.LABELERS) + ">>"
+    x = spark.createDataFrame(rows, f"keep int, spans {kind}")
+    got = {r.keep: [tuple(s) for s in r["all"]] for r in pii.with_spans(x, [1.0] * pii.INPUTS).collect()}
+    assert [got[i] for i in range(60)] == want
+
+
+def slow_model(patterns, rounds=12):
+    """Expectation maximisation over (votes, n) of one kind."""
+    p = [0.9 if sum(v) > 0 else 0.1 for v, _ in patterns]
+    for _ in range(rounds):
+        n, y = sum(k for _, k in patterns), sum(k * q for (_, k), q in zip(patterns, p))
+        share = lambda j, c, w, of: (sum(k * u for (v, k), u in zip(patterns, w) if v[j] == c) + 1) / (of + 3)
+        no = [1 - q for q in p]
+        p = [1 / (1 + math.exp(-(math.log((y + 1) / (n - y + 1)) + sum(math.log(share(j, c, p, y) / share(j, c, no, n - y)) for j, c in enumerate(v))))) for v, _ in patterns]
+    return p
+
+
+def test_label_model_against_plain_loops(spark):
+    rng = random.Random(7)
+    patterns = sorted({tuple(rng.choice((-1, 0, 1)) for _ in pii.LABELERS): rng.randrange(1, 90) for _ in range(25)}.items())
+    pats = [{"hit": [3 * j + c + 1 for j, c in enumerate(v)], "n": float(n), "score": sum(v)} for v, n in patterns]
+    x = spark.createDataFrame([(pats,)], "pats array<struct<hit:array<int>,n:double,score:int>>")
+    got = x.select(F.expr(pii.label_model()).alias("p")).first().p
+    assert max(abs(a - b) for a, b in zip(got, slow_model(patterns))) < 1e-9
+
+
 def test_method_adds_spans_and_redaction_uses_all(spark):
     good = [f"please write to user{i}@example.com or contact user{i} (at) example.com; call +1 (767) 555-{1000 + i}, phone 767-555-{1000 + i}" for i in range(40)]
     bad = [f"part 123-456-{1000 + i}x and number 4111 1111 1111 {1000 + i}" for i in range(40)]
