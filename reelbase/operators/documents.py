@@ -10,10 +10,14 @@ from ..sources.registry import root_element, suffix
 from .pick import by_file, head
 
 
-def xml(e: DataFrame) -> DataFrame:
-    """HTML by its suffix; XML by its first element, which must be well-formed as far as it goes."""
+#: First elements of XML documents that have a type of their own.
+ROOTS = ("image", "album")
+
+
+def xml(e: DataFrame, roots: tuple[str, ...] = ROOTS) -> DataFrame:
+    """HTML by its suffix; XML by its first element, which must be well-formed as far as it goes. ``roots`` are types of their own."""
     m = by_file(e, root=head(root_element)).withColumn("html", suffix(F.col("path")).isin("html", "htm"))
-    kind = F.when(F.col("html"), "text/html").when(F.col("root") == "image", "image/xml").when(F.col("root") == "album", "album/xml").when(F.col("root") == "freevo", "freevo/xml").otherwise("text/xml")
+    kind = F.when(F.col("html"), "text/html").when(F.col("root").isin(*roots), F.concat("root", F.lit("/xml"))).otherwise("text/xml")
     return m.select("*", F.when(F.col("html"), "text/html").otherwise("text/xml").alias("mime"), F.when(F.col("html"), "HTML file").otherwise(F.regexp_replace(kind, "/xml$", "")).alias("type")).drop("root", "html")
 
 

@@ -67,7 +67,7 @@ def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool =
         m = m.join(longest, "path", "left").withColumn("length", F.when(F.coalesce("length", F.lit(0.0)) == 0, F.coalesce("longest", "length")).otherwise(F.col("length"))).drop("longest")
     strings = [c for c, t in m.dtypes if t == "string" and c not in ("path", "url", "parser", "hash", "error")]
     m = m.withColumns({c: finalize(F.col(c)) for c in strings})
-    m = m.withColumns({"c__": resolve_codec(F.col("codec_raw")), "trackno": pad_track(F.col("trackno"), F.col("trackof")), "status": F.when(F.col("error").isNull(), "ok").otherwise("error"), "url": F.col("path")})
+    m = m.withColumns({"c__": resolve_codec(F.col("codec_raw")), "trackno": pad_track(F.col("trackno"), F.col("trackof")), "status": F.when(F.col("error").isNull(), "ok").when(F.col("error").startswith("left out"), "partial").otherwise("error"), "url": F.col("path")})
     m = m.withColumns({"fourcc": F.when(F.col("codec_raw").isNotNull(), F.col("c__.fourcc")), "codec": F.when(F.col("codec_raw").isNotNull(), F.col("c__.codec")), "bitrate_bps": F.col("bitrate") * F.when(F.col("parser").isin(*KILOBITS), 1000).otherwise(1)}).drop("c__")
     if split_names:
         stem = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.[^.]*$", "")

@@ -4,8 +4,9 @@ A file becomes rows (path, parser, n, up, id, place, at, size, body): its boxes,
 the numbers of their ancestors in ``up`` and their ids in ``place``. What the bytes of an element mean is left to column expressions
 (``audio``, ``video``, ``image``, ...). Element 0 has the head of the file as its body and the file's length as its size.
 
-A splitter reads by offset and skips media data, so a file of any length costs a few small reads; element bodies over ``LONGEST``
-bytes are left out (null) and the rest of the file is kept. A splitter that meets nonsense stops with what it has.
+A splitter reads by offset and skips media data, so a file of any length costs a few small reads. Element bodies over a limit
+(``LONGEST`` bytes, a parameter) are left out (null), the rest of the file is kept, and an ``error`` element that begins with
+``left out`` says how many there were. A splitter that meets nonsense stops with what it has.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ Read = Callable[[int, int], bytes]
 
 
 class Tree:
-    def __init__(self, read: Read, size: int):
-        self.read, self.size, self.rows = read, size, []
+    def __init__(self, read: Read, size: int, longest: int = LONGEST):
+        self.read, self.size, self.rows, self.longest, self.left_out = read, size, [], longest, 0
 
     def add(self, up: int | None, ident: str, at: int, size: int, body: bytes | None = None) -> int:
         ups, place = ([], "") if up is None else ([*self.rows[up][0], up], self.rows[up][2])
@@ -35,7 +37,8 @@ class Tree:
         return len(self.rows) - 1
 
     def leaf(self, up: int, ident: str, at: int, start: int, size: int) -> int:
-        return self.add(up, ident, at, size, self.read(start, size) if size <= LONGEST else None)
+        self.left_out += size > self.longest
+        return self.add(up, ident, at, size, self.read(start, size) if size <= self.longest else None)
 
     def boxes(self, up: int, at: int, end: int, header, inner: dict[str, int], skip=(), stop=lambda ident, n: False) -> None:
         """Boxes from ``at`` on. header gives (id, start of the body, its size, next box); inner has the containers and where their boxes begin."""
@@ -562,34 +565,34 @@ def file_hash(read: Read, size: int) -> bytes:
     return b"%016x" % (total % 2**64)
 
 
-def split(parser: str | None, read: Read, size: int) -> list[tuple]:
-    t = Tree(read, size)
+def split(parser: str | None, read: Read, size: int, longest: int = LONGEST) -> list[tuple]:
+    t, failed = Tree(read, size, longest), False
     t.add(None, "", 0, size, read(0, HEAD.get(parser, 512)))
     if parser in SPLIT:
         try:
             SPLIT[parser](t)
         except (ValueError, IndexError, TypeError, struct.error, zlib.error) as wrong:
             t.add(0, "error", 0, 0, f"{type(wrong).__name__}: {wrong}".encode())
+            failed = True
+    if t.left_out and not failed:
+        t.add(0, "error", 0, 0, f"left out: {t.left_out} elements of over {longest} bytes".encode())
     t.add(0, "hash", 0, 16, file_hash(read, size))
     return t.rows
 
 
 def opened(path: str) -> tuple[Read, int]:
-    """Reads by offset in a file that is mounted on all executors."""
-    import os
-
-    name = path.removeprefix("file:")
-    name = name.replace("//", "/", 1) if name.startswith("//") else name
-
-    def read(at: int, n: int) -> bytes:
-        with open(name, "rb") as f:
-            f.seek(at)
-            return f.read(n)
-
-    return read, os.path.getsize(name)
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads by offset in a file that all executors reach: on a mounted path, or in a store that Arrow knows (s3, gs, hdfs). One handle a file."""
+    if path.startswith(("file:", "/")):
+        name = path.removeprefix("file:")
+        store, name = fs.LocalFileSystem(), name.replace("//", "/", 1) if name.startswith("//") else name
+    else:
+        store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    f = store.open_input_file(name)
+    size = f.size()
+    return (lambda at, n: f.read_at(n, at) if 0 <= at < size and n > 0 else b""), size
+
+
+def _batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
     kinds = {"path": pa.string(), "parser": pa.string(), "n": pa.int32(), "up": pa.list_(pa.int32()), "id": pa.string(), "place": pa.string(), "at": pa.int64(), "size": pa.int64(), "body": pa.binary()}
     for batch in batches:
         held, weight = [], 0
@@ -598,7 +601,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parser is None:
                 continue
             read, size = opened(path) if b is None else ((lambda at, n, b=b: b[at : at + n] if at >= 0 and n > 0 else b""), len(b))
-            for n, (up, ident, place, at, much, body) in enumerate(split(parser, read, size)):
+            for n, (up, ident, place, at, much, body) in enumerate(split(parser, read, size, longest)):
                 held.append((path, parser, n, up, ident, place, at, min(much, 2**62), body))
                 weight += 100 + len(body or b"")
             if weight > 16_000_000:
@@ -608,7 +611,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-def elements(files: DataFrame, kinds=()) -> DataFrame:
+def elements(files: DataFrame, kinds=(), longest: int = LONGEST) -> DataFrame:
     """Elements of routed files (path, parser, content); files without content are read by offset at their path.
 
     Files without a parser, or with another than ``kinds``, go no further. They are dropped behind the scan and not by a filter on
@@ -616,4 +619,4 @@ def elements(files: DataFrame, kinds=()) -> DataFrame:
     """
     parser = F.when(F.col("parser").isin(*kinds), F.col("parser")) if kinds else F.col("parser")
     content = F.when(F.col("parser").isNotNull(), F.col("content")) if "content" in files.columns else F.lit(None).cast("binary")
-    return files.select("path", parser.alias("parser"), content.alias("content")).mapInArrow(_batches, SCHEMA)
+    return files.select("path", parser.alias("parser"), content.alias("content")).mapInArrow(lambda batches: _batches(batches, longest), SCHEMA)

@@ -383,7 +383,7 @@ def games(p: DataFrame) -> DataFrame:
 def markup(pages: DataFrame) -> DataFrame:
     """Pages as HTML for even keys, else XML with one of four first elements or none."""
     key = C("page_id")
-    root = F.array(F.lit("image"), F.lit("album"), F.lit("freevo"), F.lit("other"))[(F.floor(key / 2) % 4).cast("int")]
+    root = F.array(F.lit("image"), F.lit("album"), F.lit("library"), F.lit("other"))[(F.floor(key / 2) % 4).cast("int")]
     xml = F.when(key % 10 == 9, F.lit("no markup")).otherwise(F.concat(F.lit('<?xml version="1.0"?>\n<!-- <x> -->\n<'), root, F.lit(' a="b">text</'), root, F.lit(">")))
     return files(pages, "page_id", F.when(key % 2 == 0, "html").otherwise("xml"), raw(F.when(key % 2 == 0, F.coalesce("html", F.lit(""))).otherwise(xml)))
 

@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.walk import elements, opened
+from ..operators.walk import LONGEST, elements, opened
 from .registry import HEAD, REGISTRY, route, suffix
 
+#: Bytes up to which a file is read as a whole.
+WHOLE = 64 << 20
 #: Columns of Spark's binaryFile source, for streams.
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -34,21 +36,23 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequen
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([opened(row["path"][0].as_py())[0](0, HEAD)], pa.binary())], names=[*row.schema.names, "head"])
+        heads = [opened(p)[0](0, HEAD) for p in batch["path"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "head"])
 
 
-def read_elements(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequence[str] = (), force: bool = True, ranged: bool = False, kinds: Sequence[str] = ()) -> DataFrame:
+def read_elements(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequence[str] = (), force: bool = True, ranged: bool = False, kinds: Sequence[str] = (), whole: int = WHOLE, longest: int = LONGEST) -> DataFrame:
     """Elements of all files that a parser takes.
 
-    ``ranged`` reads by offset at paths that are mounted on every executor, which suits long videos: only heads, indexes and tails are
-    read. Otherwise Spark reads whole files, from any store that it knows. ``kinds`` keeps the named parsers only, before decoding.
+    Spark reads files of at most ``whole`` bytes as they are, from any store that it knows. Larger ones, or all with ``ranged``,
+    are read by offset (heads, indexes and tails only): on paths that are mounted on every executor, or in a store that Arrow
+    knows. ``kinds`` keeps the named parsers only, before decoding; element bodies over ``longest`` bytes are left out and flagged.
     """
-    files = list_files(spark, paths, suffixes, content=not ranged)
+    far = list_files(spark, paths, suffixes).select("path", "length")
+    far = far if ranged else far.where(F.col("length") > whole)
+    found = elements(route(far.repartition("path").mapInArrow(_heads, "path string, length bigint, head binary"), force), kinds, longest)
     if ranged:
-        files = files.select("path", "length").repartition("path").mapInArrow(_heads, "path string, length bigint, head binary")
-    return elements(route(files, force), kinds)
+        return found
+    return elements(route(list_files(spark, paths, suffixes, whole, content=True), force), kinds, longest).unionByName(found)
 
 
 def unidentified(spark: SparkSession, paths: str | Sequence[str], force: bool = True) -> DataFrame:

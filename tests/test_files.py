@@ -48,6 +48,29 @@ def test_ranged_reads_give_the_same_elements(spark, folder):
     assert rows(a) == rows(b) and a.select("parser").distinct().count() == 9
 
 
+def box(ident: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", 8 + len(body)) + ident + body
+
+
+def test_files_over_two_gigabytes_are_read_by_offset(spark, tmp_path):
+    head = box(b"ftyp", b"isom" + b"\0" * 4 + b"isom")
+    mvhd = box(b"mvhd", struct.pack(">IIIII", 0, 0, 0, 1000, 5000) + b"\0" * 80)
+    size = 3 << 30
+    with open(tmp_path / "film.mp4", "wb") as f:  # sparse: boxes of the standard, written by hand
+        f.write(head + struct.pack(">I4sQ", 1, b"mdat", size))
+        f.seek(len(head) + size)
+        f.write(box(b"moov", mvhd))
+    e = R.stage(spark, read_elements(spark, str(tmp_path)))
+    row = R.media(e, ("mp4",)).first()
+    assert row.parser == "mp4" and row.size > size and row.length == 5.0 and row.status == "ok"
+
+
+def test_left_out_bodies_are_flagged(spark, folder):
+    whole_ = R.media(R.stage(spark, read_elements(spark, folder, kinds=["png"])), ("png",)).first()
+    part = R.media(R.stage(spark, read_elements(spark, folder, kinds=["png"], longest=3)), ("png",)).first()
+    assert whole_.status == "ok" and part.status == "partial" and part.error.startswith("left out: ")
+
+
 def test_listing_filters_before_reading(spark, folder):
     files = list_files(spark, folder, suffixes=["gif", "png"], longest=10_000)
     assert "content" not in files.columns
