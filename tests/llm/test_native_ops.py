@@ -82,7 +82,7 @@ def test_cutoffs_follow_their_group(spark):
     got = {r.doc_id: r for r in rules.apply_rules(frame(spark, rows)).collect()}
     assert (got[5000].kept, got[5000].failed_rules, got[5001].kept) == (False, "upper", True)
     assert (got[5002].failed_rules, got[5003].failed_rules) == ("symbols", "dup_lines")
-    assert all(sum(got[i].kept for i, *_ in group) > 0.95 * len(group) for group in (plain, loud))
+    assert all(sum(got[i].kept for i, *_ in group) > 0.9 * len(group) for group in (plain, loud))
 
 
 def test_buckets_are_mergeable_and_ordered(spark):
