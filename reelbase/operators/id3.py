@@ -187,6 +187,25 @@ def comment_body(value: Column, language: str = "eng") -> Column:
     return join(b"\3" + language.encode() + b"\0", F.encode(value, "UTF-8"))
 
 
+def described_body(description: Column, value: Column) -> Column:
+    """TXXX: a text under a description."""
+    return join(b"\3", F.encode(description, "UTF-8"), b"\0", F.encode(value, "UTF-8"))
+
+
+def url_body(url: Column) -> Column:
+    return F.encode(url, "ISO-8859-1")
+
+
+def described_url_body(description: Column, url: Column) -> Column:
+    """WXXX: a link under a description."""
+    return join(b"\3", F.encode(description, "UTF-8"), b"\0", url_body(url))
+
+
+def picture_body(data: Column, mime: Column, description: Column, kind: int = 3) -> Column:
+    """APIC; kind 3 is the front cover."""
+    return join(b"\3", F.encode(mime, "ISO-8859-1"), b"\0" + bytes([kind]), F.encode(description, "UTF-8"), b"\0", data)
+
+
 def frame(name: str, body: Column, major: int) -> Column:
     """A frame's bytes; none for a null body."""
     size = {2: lambda n: to_be(n, 3), 3: lambda n: to_be(n, 4), 4: to_syncsafe}[major]

@@ -157,6 +157,22 @@ def test_id3_texts_round_trip(spark, major):
         assert [list(x.texts) for x in f] == [t.split("\0") for t in texts]
 
 
+def test_id3_other_bodies_round_trip(spark):
+    df = spark.createDataFrame([("a.mp3", "é 日", b"\0\xff\xe0pic\0\0", "http://x/y"), ("b.mp3", "", b"", "")], "path string, t string, data binary, u string")
+    bodies = {
+        "TXXX": id3.described_body(F.col("t"), F.col("u")), "WOAR": id3.url_body(F.col("u")), "WXXX": id3.described_url_body(F.col("t"), F.col("u")),
+        "APIC": id3.picture_body(F.col("data"), F.lit("image/png"), F.col("t"), 4),
+    }
+    tag = id3.id3v2_encode(bodies, 4)
+    f = {(x.path, x.frameid): x for x in id3.frames(elements(df.select("path", tag.alias("content"), F.lit("mp3").alias("parser")))).collect()}
+    txxx, woar, wxxx, apic = (f["a.mp3", k] for k in ("TXXX", "WOAR", "WXXX", "APIC"))
+    assert (txxx.description, list(txxx.texts), woar.url) == ("é 日", ["http://x/y"], "http://x/y")
+    # a link's description is in the frame's encoding, the link in Latin-1
+    assert (wxxx.description, wxxx.url) == ("é 日", "http://x/y")
+    assert (apic.mime, apic.picture_type, apic.description, bytes(apic.data)) == ("image/png", 4, "é 日", b"\0\xff\xe0pic\0\0")
+    assert f["b.mp3", "APIC"].picture_type == 4 and f["b.mp3", "WXXX"].url in ("", None)
+
+
 def test_registry_keeps_the_order_of_trial(spark):
     assert len(REGISTRY) == 25 and REGISTRY[0].name == "mp3" and REGISTRY[-1].name == "flac"
     by = [r.parser for r in registry(spark).where("suffix = 'mp4'").orderBy("place").collect()]
