@@ -6,6 +6,7 @@ and the files themselves are read once. The relations are plain DataFrames.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,11 +57,14 @@ def stage(spark: SparkSession, elements: DataFrame) -> DataFrame:
     return spark.read.schema(elements.schema).parquet(path).select(*elements.columns)
 
 
-def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool = False) -> DataFrame:
-    """One row a file, finalised: codes resolved, texts stripped, lengths of containers filled from their tracks."""
-    spark = elements.sparkSession
-    names = [k for k in DECODERS if not kinds or k in kinds] or ["adts"]
-    parts = [fit(DECODERS[k](elements.where(F.col("parser") == k)).withColumn("media_", F.lit(KIND.get(k))), MEDIA_COLUMNS.replace("media string", "media string, media_ string")) for k in names]
+def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool = False, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """One row a file, finalised: codes resolved, texts stripped, lengths of containers filled from their tracks.
+
+    ``decoders`` adds those of one's own parsers by name; each turns elements into rows of path and any columns of the relation.
+    """
+    spark, known = elements.sparkSession, DECODERS | (decoders or {})
+    names = [k for k in known if not kinds or k in kinds] or ["adts"]
+    parts = [fit(known[k](elements.where(F.col("parser") == k)).withColumn("media_", F.lit(KIND.get(k))), MEDIA_COLUMNS.replace("media string", "media string, media_ string")) for k in names]
     m = reduce(DataFrame.unionByName, parts).withColumn("media", F.coalesce("media", "media_")).drop("media_")
     if any(k in video.TRACKS for k in names):
         longest = tracks(elements, tuple(names), resolve=False).groupBy("path").agg(container_length(F.col("kind"), F.col("ordinal"), F.col("length")).alias("longest"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.walk import LONGEST, elements, opened
-from .registry import HEAD, REGISTRY, route, suffix
+from .registry import HEAD, REGISTRY, Parser, route, suffix
 
 #: Bytes up to which a file is read as a whole.
 WHOLE = 64 << 20
@@ -40,19 +40,20 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "head"])
 
 
-def read_elements(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequence[str] = (), force: bool = True, ranged: bool = False, kinds: Sequence[str] = (), whole: int = WHOLE, longest: int = LONGEST) -> DataFrame:
+def read_elements(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequence[str] = (), force: bool = True, ranged: bool = False, kinds: Sequence[str] = (), whole: int = WHOLE, longest: int = LONGEST, more: Sequence[Parser] = ()) -> DataFrame:
     """Elements of all files that a parser takes.
 
     Spark reads files of at most ``whole`` bytes as they are, from any store that it knows. Larger ones, or all with ``ranged``,
     are read by offset (heads, indexes and tails only): on paths that are mounted on every executor, or in a store that Arrow
     knows. ``kinds`` keeps the named parsers only, before decoding; element bodies over ``longest`` bytes are left out and flagged.
+    ``more`` adds parsers of one's own (see route).
     """
     far = list_files(spark, paths, suffixes).select("path", "length")
     far = far if ranged else far.where(F.col("length") > whole)
-    found = elements(route(far.repartition("path").mapInArrow(_heads, "path string, length bigint, head binary"), force), kinds, longest)
+    found = elements(route(far.repartition("path").mapInArrow(_heads, "path string, length bigint, head binary"), force, more), kinds, longest)
     if ranged:
         return found
-    return elements(route(list_files(spark, paths, suffixes, whole, content=True), force), kinds, longest).unionByName(found)
+    return elements(route(list_files(spark, paths, suffixes, whole, content=True), force, more), kinds, longest).unionByName(found)
 
 
 def unidentified(spark: SparkSession, paths: str | Sequence[str], force: bool = True) -> DataFrame:

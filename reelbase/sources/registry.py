@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,9 +91,9 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    """(place, parser, mime, suffix, media): a row for each suffix."""
-    rows = [(i, p.name, p.mime, s, p.media) for i, p in enumerate(REGISTRY) for s in p.suffixes]
+def registry(spark: SparkSession, more: Sequence[Parser] = ()) -> DataFrame:
+    """(place, parser, mime, suffix, media): a row for each suffix; ``more`` as in route."""
+    rows = [(i, p.name, p.mime, s, p.media) for i, p in enumerate((*REGISTRY, *more)) for s in p.suffixes]
     return spark.createDataFrame(rows, "place int, parser string, mime string, suffix string, media string")
 
 
@@ -106,24 +106,26 @@ def parser_by_suffix(suffix: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), suffix)
 
 
-def route(files: DataFrame, force: bool = True) -> DataFrame:
+def route(files: DataFrame, force: bool = True, more: Sequence[Parser] = ()) -> DataFrame:
     """Add ``parser``: the suffix's parsers are tried in order, then what the magic number says (no more, if that fails), then all.
 
-    Needs path and head (the first HEAD bytes) or content, and length. Unknown files get null.
+    Needs path and head (the first HEAD bytes) or content, and length. Unknown files get null. ``more`` adds parsers of one's own behind
+    the built-in ones: their files have the element of the head (512 bytes) and the hash, for a decoder in column expressions.
     """
+    parsers = (*REGISTRY, *more)
     own = files.columns
     head = F.col("head") if "head" in own else part(F.col("content"), 0, HEAD)
     length = F.col("length") if "length" in own else F.length("content")
     files = files.withColumns({"h__": head, "s__": suffix(F.col("path")), "n__": length.cast("long")})
     h, s, n = F.col("h__"), F.col("s__"), F.col("n__")
     # one flag for each parser, each worked out once
-    files = files.withColumns({f"t__{p.name}": F.coalesce(p.takes(s, h, n), F.lit(False)) for p in REGISTRY} | {"t__magic": F.coalesce(starts(h, b"OggS\0"), F.lit(False))})
-    takes, magic = {p.name: F.col(f"t__{p.name}") for p in REGISTRY}, F.col("t__magic")
+    files = files.withColumns({f"t__{p.name}": F.coalesce(p.takes(s, h, n), F.lit(False)) for p in parsers} | {"t__magic": F.coalesce(starts(h, b"OggS\0"), F.lit(False))})
+    takes, magic = {p.name: F.col(f"t__{p.name}") for p in parsers}, F.col("t__magic")
     found = F.when(F.lit(False), "")
-    for p in REGISTRY:
+    for p in parsers:
         found = found.when(s.isin(*p.suffixes) & takes[p.name], p.name)
     found = found.when(magic & takes["ogg"], "ogg").when(magic & takes["ogm"], "ogm")
     if force:
-        for p in REGISTRY:
+        for p in parsers:
             found = found.when(~magic & takes[p.name], p.name)
     return files.select(*own, found.alias("parser"))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from reelbase.functions import binary as B
 from reelbase.functions import text as T
 from reelbase.operators import id3, relations as R
+from reelbase.operators.pick import by_file, head
 from reelbase.operators.walk import SPLIT, elements, file_hash, split, syncsafe, varint
 from reelbase.plans import fixtures as X
 from reelbase.sources.files import list_files, read_elements, unidentified
-from reelbase.sources.registry import REGISTRY, registry, route
+from reelbase.sources.registry import REGISTRY, Parser, registry, route
 from reelbase.streaming.ingest import file_stream, land, landed
 
 
@@ -173,6 +174,21 @@ def test_id3_other_bodies_round_trip(spark):
     assert f["b.mp3", "APIC"].picture_type == 4 and f["b.mp3", "WXXX"].url in ("", None)
 
 
+def test_parsers_of_ones_own(spark, tmp_path):
+    """A further kind of picture, with its width in the head; the built-in kinds stay as they are."""
+    own = Parser("pix", "image/pix", ("pix",), lambda s, h, n: B.starts(h, b"PIX!"), "image")
+    (tmp_path / "a.pix").write_bytes(b"PIX!\x01\x02")
+    (tmp_path / "b.bin").write_bytes(b"PIX!\0\7rest")
+    (tmp_path / "c.pix").write_bytes(b"GIF89a\3\0\2\0")
+    decode = lambda e: by_file(e, width=head(lambda b: B.be(b, 4, 2))).withColumn("mime", F.lit("image/pix"))
+    for ranged in (False, True):
+        e = read_elements(spark, str(tmp_path), more=[own], ranged=ranged)
+        m = R.media(e, ("pix", "gif"), decoders={"pix": decode})
+        got = {os.path.basename(r.path): (r.parser, r.mime, r.width, r.status) for r in m.collect()}
+        assert got == {"a.pix": ("pix", "image/pix", 258, "ok"), "b.bin": ("pix", "image/pix", 7, "ok"), "c.pix": ("gif", "image/gif", 3, "ok")}
+    assert registry(spark, [own]).where("parser = 'pix'").first().place == 25
+
+
 def test_registry_keeps_the_order_of_trial(spark):
     assert len(REGISTRY) == 25 and REGISTRY[0].name == "mp3" and REGISTRY[-1].name == "flac"
     by = [r.parser for r in registry(spark).where("suffix = 'mp4'").orderBy("place").collect()]
