@@ -40,11 +40,22 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark's setting that an execution's shuffle files go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder (any executor can reread it) and return the table."""
+    """Cut the lineage: write to the shared folder (any executor can reread it) and return the table.
+
+    What was shuffled for it isn't needed once it is written, so its shuffle files are removed at once.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
