@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, packing, pii, quality, rules, secrets, simhash, telephony, toxicity, warc
+from . import infill, mixing, ngram_join, packing, pii, quality, rules, secrets, simhash, telephony, toxicity, warc, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,10 +18,14 @@ QUERIES = {
     "op8_warc_revisits": warc.query,
     "op9_toxicity": toxicity.query,
     "op10_secret_scan": secrets.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_ngram_jaccard_join": ngram_join.query,
+    "op13_fill_in_middle": infill.query,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.SQL,
     "op3_quality_rules": rules.SQL,
     "op8_warc_revisits": warc.SQL,
+    "op13_fill_in_middle": infill.SQL,
 }
