@@ -27,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, discard, staged, table
-from .near_copies import shingles_of
 from .simhash import component_labels, numbered, one_of_labels
 
 #: Keys that a map task settles among themselves before it passes them on, and keys that a task of the exchange should get.
-SETTLED, DEALT = 1 << 21, 1 << 21
+SETTLED, DEALT = 1 << 20, 1 << 21
+#: Words whose hashes a task remembers.
+REMEMBERED = 1 << 18
 #: Keys for each n-gram, about.
 RATE = 0.5
 SEGMENT, TOKEN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
@@ -48,6 +49,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class WordHashes(dict):
+    """Hashes of words, remembered: most words of a corpus come again."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+class Grams:
+    """Sorted distinct 64-bit hashes of a text's n-grams, from its words' hashes."""
+
+    def __init__(self, words: int):
+        self.words, self.known = words, WordHashes()
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not found:
+            return np.zeros(0, dtype=np.uint64)
+        known = self.known
+        codes, k = np.array([known[w] for w in found], dtype=np.uint64), min(self.words, len(found))
+        out = np.full(len(found) - k + 1, k, dtype=np.uint64)
+        for i in range(k):
+            out = out * np.uint64(0x9FB21C651E98DF25) + codes[i : len(codes) - k + 1 + i]
+        out = np.sort(mixed(out))
+        return out[begins(out)]
+
+
+def begins(*columns: np.ndarray) -> np.ndarray:
+    """True where a run of equal rows begins."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
 def of_band(band: int) -> np.uint64:
     return np.uint64(0x165667B19E3779F9 * (band + 1) % 2**64)
 
@@ -65,11 +102,15 @@ def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
     return [(g, difference((2 << g) - 1, (2 << g) - 1, percent) + 1, h) for g, b in out if (h := difference(n, b, percent))]
 
 
+def segment_of(found: np.ndarray, band: int, count: int) -> np.ndarray:
+    return (mixed(found + of_band(band)) % np.uint64(count)).astype(np.int64)
+
+
 class Segments:
     """A set's n-grams by segment of a band: the segments that have any, their sums, and each n-gram's share of its sum."""
 
     def __init__(self, found: np.ndarray, band: int, count: int):
-        at = (mixed(found + of_band(band)) % np.uint64(count)).astype(np.int64)
+        at = segment_of(found, band, count)
         order = np.argsort(at, kind="stable")
         self.token, at = mixed(found * TOKEN)[order], at[order]
         self.starts = np.flatnonzero(begins(at))
@@ -103,13 +144,14 @@ def set_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, k, digest, n, filled, most) of (id, t): k is a hash of the text; for each band, segments with n-grams and H to the largest partner."""
 
     def run(batches):
+        grams = Grams(words)
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part, rows = b.slice(s, 512), []
                 for t in part.column(2).to_pylist():
-                    x = shingles_of(t, words)
+                    x = grams(t)
                     of = bands(len(x), percent) if len(x) else []
-                    rows.append((digest_of(x) if len(x) else None, len(x), [len(Segments(x, g, m).at) for g, m, _ in of], [h for _, _, h in of]))
+                    rows.append((digest_of(x) if len(x) else None, len(x), [int(np.count_nonzero(np.bincount(segment_of(x, g, m)))) for g, m, _ in of], [h for _, _, h in of]))
                 digest, n, filled, most = zip(*rows, strict=True)
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -121,13 +163,6 @@ def set_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- keys that others have, too
-def begins(*columns: np.ndarray) -> np.ndarray:
-    """True where a run of equal rows begins."""
-    out = np.ones(len(columns[0]), dtype=bool)
-    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return out
-
-
 def settled(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, who) in order, and for each how many of its key come before it."""
     order = np.lexsort((who, keys))
@@ -157,10 +192,10 @@ def shared_counts(docs: DataFrame, words: int, percent: int, parts: int) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("done", pa.binary())]))
 
     def emit(batches):
-        keys, who, held = [], [], 0
+        grams, keys, who, held = Grams(words), [], [], 0
         for b in batches:
             for t in b.column(0):
-                x = shingles_of(t.as_py(), words)
+                x = grams(t.as_py())
                 digest = digest_of(x) if len(x) else 0
                 for place, (g, m, _) in enumerate(bands(len(x), percent) if len(x) else ()):
                     keys.append(Segments(x, g, m).subsets())
@@ -205,10 +240,11 @@ def contenders(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
     texts = docs.select(F.xxhash64("t").alias("k"), "t").groupBy("k").agg(F.first("t").alias("t"))
 
     def run(batches):
+        grams = Grams(words)
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                found = [shingles_of(t, words).view(np.int64) for t in part.column(4).to_pylist()]
+                found = [grams(t).view(np.int64) for t in part.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(found, pa.list_(pa.int64()))], names=["digest", "n", "bands", "weight", "shingles"])
 
     bands_ = "array<struct<place:int,filled:int,most:int>>"
@@ -238,31 +274,60 @@ def verified(pairs: DataFrame, of: DataFrame, percent: int, salts: int = 64) ->
     return both.where(F.col("same") * (100 + percent) >= F.col("total") * percent).select("u", "v")
 
 
-def alike_in_size(n: str, m: str, percent: int):
+def alike_in_size(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
 def subset_keys(of: DataFrame, percent: int) -> DataFrame:
-    """(digest, n, weight, place, key) of all segment subsets."""
+    """(digest, weight, place, key) of all segment subsets."""
 
     def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 256):
-                out = [(r["digest"], r["n"], r["weight"], place, x.subsets().view(np.int64)) for r, _, place, x in segments_of(b.slice(s, 256), percent, b.schema.names)]
+                out = [(r["digest"], r["weight"], place, x.subsets().view(np.int64)) for r, _, place, x in segments_of(b.slice(s, 256), percent, b.schema.names)]
                 if out:
                     columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.list_(pa.int64()))], names=["digest", "n", "weight", "place", "keys"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:2]), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int64()))], names=["digest", "weight", "place", "keys"])
+
+    placed = of.select("digest", "weight", F.col("bands.place").alias("places"), "shingles")
+    return placed.mapInArrow(run, "digest long, weight double, place int, keys array<long>").select("digest", "weight", "place", F.explode("keys").alias("key"))
+
+
+def outlines(of: DataFrame, percent: int) -> DataFrame:
+    """(digest, place, size, odd, several, singles) of sets: segments with several n-grams and with one, and an odd sketch.
 
-    placed = of.select("digest", "n", "weight", F.col("bands.place").alias("places"), "shingles")
-    return placed.mapInArrow(run, "digest long, n long, weight double, place int, keys array<long>").select("digest", "n", "weight", "place", F.explode("keys").alias("key"))
+    Its bits are those that an odd number of n-grams hit; two sets' sketches differ in no more bits than the sets in n-grams.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for row, x, place, of in segments_of(b, percent, b.schema.names):
+                width = max(64, 2 << of.band)
+                hit = np.bincount((mixed(x ^ TOKEN) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+                rows.append((row["digest"], place, len(x), np.packbits(hit.astype(np.uint8)).view(np.int64), int((of.sizes > 1).sum()), int((of.sizes == 1).sum())))
+            if rows:
+                digest, place, size, odd, several, singles = zip(*rows, strict=True)
+                columns = [pa.array(digest), pa.array(place, pa.int32()), pa.array(size), pa.array(odd, pa.list_(pa.int64())), pa.array(several), pa.array(singles)]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "place", "size", "odd", "several", "singles"])
 
+    return of.select("digest", F.col("bands.place").alias("places"), "shingles").mapInArrow(run, "digest long, place int, size long, odd array<long>, several long, singles long")
 
-def star(keys: DataFrame, percent: int) -> DataFrame:
+
+def may_be_alike(percent: int) -> Column:
+    """Not told apart by sizes (n, m) and sketches (odd, odd_)."""
+    differ = F.aggregate(F.zip_with("odd", "odd_", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return alike_in_size("n", "m", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
+def star(keys: DataFrame, outlined: DataFrame, percent: int) -> DataFrame:
     """(u, v): each set v with one that is central for it, namely of its keys' most shared holders the one that it meets most often."""
-    top = keys.groupBy("key").agg(F.max(F.struct("weight", "digest", "n")).alias("top"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high")
-    met = keys.join(top.select("key", F.col("top.digest").alias("hub"), F.col("top.n").alias("m")), "key").where((F.col("digest") != F.col("hub")) & alike_in_size("n", "m", percent))
-    best = met.groupBy("digest", "hub").agg(F.count("*").alias("times")).groupBy("digest").agg(F.max(F.struct("times", "hub")).alias("x"))
-    return best.select(F.col("x.hub").alias("u"), F.col("digest").alias("v"))
+    top = keys.groupBy("key").agg(F.max(F.struct("weight", "digest", "place")).alias("top"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high")
+    met = keys.join(top.select("key", F.col("top.digest").alias("hub"), F.col("top.place").alias("hub_place")), "key").where(F.col("digest") != F.col("hub"))
+    best = met.groupBy("digest", "place", "hub", "hub_place").agg(F.count("*").alias("times")).groupBy("digest").agg(F.max(F.struct("times", "hub", "hub_place", "place")).alias("x"))
+    mine = outlined.select("digest", "place", F.col("size").alias("n"), "odd")
+    pairs = best.select("digest", "x.*").join(mine, ["digest", "place"]).join(mine.toDF("hub", "hub_place", "m", "odd_"), ["hub", "hub_place"])
+    return pairs.where(may_be_alike(percent)).select(F.col("hub").alias("u"), F.col("digest").alias("v"))
 
 
 # --------------------------------------------------------------------------- allowances and candidates
@@ -270,9 +335,6 @@ def allowances(one: np.ndarray, two: np.ndarray, total: int) -> np.ndarray | Non
     """v of 0, 1 or 2 for each segment with sum(v) >= total and the least summed costs; None where the most that they allow is too little."""
     if np.where(two < NEVER, 2, 1).sum() < total:
         return None
-    free = np.where(two == 0, 2, np.where(one == 0, 1, 0))
-    if free.sum() >= total:
-        return free
     best = np.full(total + 2, NEVER, dtype=np.int64)  # by the sum of v, which needn't go over the total by more than one
     best[0] = 0
     chosen = np.zeros((len(one), total + 2), dtype=np.int8)
@@ -287,26 +349,29 @@ def allowances(one: np.ndarray, two: np.ndarray, total: int) -> np.ndarray | Non
     return out
 
 
-def involved(of: DataFrame, keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """(digest, label, places): sets that may have a partner with another label, and in which of their bands."""
+def involved(of: DataFrame, keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(digest, label, places, probes): sets that may have a partner with another label, in which of their bands, and whether in their own
+    they may be the larger of the two."""
     known = keys.select("digest", "place", "key").join(labels.toDF("digest", "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     apart = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     shared = known.join(apart, "key").groupBy("digest", "place").agg(F.count("*").alias("shared"))
-    by_band = of.select("digest", F.explode("bands").alias("x")).select("digest", "x.*")
-    still = by_band.join(shared, ["digest", "place"], "left").where("filled - coalesce(shared, 0) <= most").groupBy("digest").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return still.join(labels.toDF("digest", "label"), "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "places")
+    by_band = of.select("digest", "n", F.explode("bands").alias("x")).select("digest", "n", "x.*")
+    alone = by_band.join(shared, ["digest", "place"], "left").withColumn("alone", F.col("filled") - F.coalesce("shared", F.lit(0))).where("alone <= most")
+    larger = (F.col("place") == 0) & (F.col("alone") * (100 + percent) <= F.col("n") * 2 * (100 - percent))
+    still = alone.groupBy("digest").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max(larger).alias("probes"))
+    return still.join(labels.toDF("digest", "label"), "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "places", "probes")
 
 
 SUBSET, DELETION = 0, 1
 
 
 def index_rows(sets: DataFrame, percent: int, empty: bool = False) -> DataFrame:
-    """(digest, n, label, place, segment, single, kind, key) of sets: subsets and deletions, or the keys of segments without n-grams."""
-    schema = "digest long, n long, label long, place int, segment int, single boolean, kind int, key long"
+    """(digest, label, place, probes, segment, single, kind, key) of sets: subsets and deletions, or the keys of segments without n-grams."""
+    schema = "digest long, label long, place int, probes boolean, segment int, single boolean, kind int, key long"
 
     def run(batches):
         for b in batches:
-            for row, x, place, of in segments_of(b, percent, b.schema.names):
+            for row, _, place, of in segments_of(b, percent, b.schema.names):
                 if empty:
                     at, keys = of.empty()
                     kind, single = np.zeros(len(at), dtype=np.int32), np.ones(len(at), dtype=bool)
@@ -317,76 +382,66 @@ def index_rows(sets: DataFrame, percent: int, empty: bool = False) -> DataFrame:
                 size = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(size, row["digest"])), pa.array(np.full(size, len(x))), pa.array(np.full(size, row["label"])), pa.array(np.full(size, place, dtype=np.int32)),
+                        pa.array(np.full(size, row["digest"])), pa.array(np.full(size, row["label"])), pa.array(np.full(size, place, dtype=np.int32)), pa.array(np.full(size, row["probes"] and place == 0)),
                         pa.array(at.astype(np.int32)), pa.array(single), pa.array(kind), pa.array(keys.view(np.int64)),
                     ],
-                    names=["digest", "n", "label", "place", "segment", "single", "kind", "key"],
+                    names=["digest", "label", "place", "probes", "segment", "single", "kind", "key"],
                 )
 
-    return sets.select("digest", "label", "places", "shingles").mapInArrow(run, schema)
+    return sets.select("digest", "label", "places", "probes", "shingles").mapInArrow(run, schema)
 
 
 def allotted(costs: DataFrame, percent: int) -> DataFrame:
-    """(digest, segment, v) of (digest, n, of: array of (segment, one, two)); segment -1 where the segments without n-grams are needed, too."""
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                at, one, two = (np.array([x[k] for x in row["of"]], dtype=np.int64) for k in ("segment", "one", "two"))
-                v = allowances(one, two, difference(row["n"], row["n"], percent) + 1)
-                if v is None:
-                    at, v = np.append(at, -1), np.append(np.where(two < NEVER, 2, 1), 1)
-                at, v = at[v > 0], v[v > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["digest"])), pa.array(at.astype(np.int32)), pa.array(v.astype(np.int32))], names=["digest", "segment", "v"])
-
-    return costs.mapInArrow(run, "digest long, segment int, v int")
+    """(digest, segment, v) of (digest, size, several, singles, segment, one, two), the last three arrays of the segments that cost anything.
 
-
-def odd_sketches(sets: DataFrame, percent: int) -> DataFrame:
-    """(digest, place, odd): bits that are hit by an odd number of n-grams; in two sets they differ in no more bits than there are n-grams."""
+    The others are used for free and left out, as nobody else is there. Segment -1 means that those without n-grams are needed, too.
+    """
 
     def run(batches):
         for b in batches:
-            rows = []
-            for row, x, place, of in segments_of(b, percent, b.schema.names):
-                size = max(64, 2 << of.band)
-                hit = np.bincount((mixed(x ^ TOKEN) % np.uint64(size)).astype(np.int64), minlength=size) & 1
-                rows.append((row["digest"], place, np.packbits(hit.astype(np.uint8)).view(np.int64)))
-            if rows:
-                digest, place, odd = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(place, pa.int32()), pa.array(odd, pa.list_(pa.int64()))], names=["digest", "place", "odd"])
+            digest, size, several, singles = (b.column(k).to_pylist() for k in range(4))
+            arrays = zip(*(b.column(k) for k in (4, 5, 6)), strict=True)
+            for d, n, many, ones, of in zip(digest, size, several, singles, arrays, strict=True):
+                at, one, two = (x.values.to_numpy(zero_copy_only=False) for x in of)
+                paid = two == NEVER
+                left = difference(n, n, percent) + 1 - 2 * (many - int((~paid).sum())) - (ones - int(paid.sum()))
+                if left <= 0:
+                    continue
+                v = allowances(one, two, left)
+                if v is None:
+                    at, one, two, v = np.append(at, -1), np.append(one, 1), np.append(two, 1), np.append(np.where(paid, 1, 2), 1)
+                asks = np.where(v == 2, two, np.where(v == 1, one, 0)) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(asks.sum(), d)), pa.array(at[asks].astype(np.int32)), pa.array(v[asks].astype(np.int32))], names=["digest", "segment", "v"])
 
-    return sets.select("digest", "places", "shingles").mapInArrow(run, "digest long, place int, odd array<long>")
+    return costs.select("digest", "size", "several", "singles", "of.segment", "of.one", "of.two").mapInArrow(run, "digest long, segment int, v int")
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs with different labels, among them all that are similar enough, of sets (digest, label, places, shingles)."""
+def candidates(sets: DataFrame, outlined: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs with different labels, among them all that are similar enough, of sets (digest, label, places, probes, shingles)."""
     index = staged(index_rows(sets, percent), "join-index")
     # a probing set's subset meets subsets and others' deletions, its deletions meet subsets
     targets = F.when(F.col("kind") == SUBSET, F.array(F.lit(SUBSET), F.lit(DELETION))).otherwise(F.array(F.lit(SUBSET)))
     plain = (F.col("kind") == SUBSET) & (F.col("target") == SUBSET)
-    probes = index.where("place = 0").withColumn("target", F.explode(targets)).where(~F.col("single") | plain)
-    counts = index.groupBy("key", F.col("kind").alias("target")).agg(F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high"))
     others = (F.col("low") != F.col("high")) | (F.col("low") != F.col("label"))
-    costs = probes.join(counts.where("low != high or holders > 1"), ["key", "target"], "left").withColumn("cost", F.coalesce(F.when(others, F.col("holders")), F.lit(0)))
-    by_segment = costs.groupBy("digest", "n", "segment").agg(F.sum(F.when(plain, F.col("cost")).otherwise(0)).alias("one"), F.when(F.max("single"), F.lit(NEVER)).otherwise(F.sum("cost")).alias("two"))
-    chosen = staged(allotted(by_segment.groupBy("digest", "n").agg(F.collect_list(F.struct("segment", "one", "two")).alias("of")), percent), "join-allotted")
-    asked, held = probes.join(chosen.where("segment >= 0"), ["digest", "segment"]).where((F.col("v") == 2) | plain), index
+    probes = index.where("probes").select("digest", "label", "segment", "single", "kind", "key", F.explode(targets).alias("target")).where(~F.col("single") | plain)
+    counts = index.groupBy("key", F.col("kind").alias("target")).agg(F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high"))
+    costs = staged(probes.join(counts, ["key", "target"]).where(others).drop("low", "high"), "join-costs")
+    by_segment = costs.groupBy("digest", "segment").agg(F.sum(F.when(plain, F.col("holders")).otherwise(0)).alias("one"), F.when(F.max("single"), F.lit(NEVER)).otherwise(F.sum("holders")).alias("two"))
+    by_set = by_segment.groupBy("digest").agg(F.collect_list(F.struct("segment", "one", "two")).alias("of"))
+    chosen = staged(allotted(outlined.where("place = 0").join(by_set, "digest"), percent), "join-allotted")
+    asked, held = costs.join(chosen, ["digest", "segment"]).where((F.col("v") == 2) | plain).select("digest", "label", "key", "target"), index
     if chosen.where("segment < 0").limit(1).count():  # the n-grams of some small set all fall into so few segments
         none = index_rows(sets, percent, empty=True)
-        asked = asked.unionByName(none.where("place = 0").join(chosen.where("segment < 0").select("digest", "v"), "digest").withColumn("target", F.lit(SUBSET)).select(asked.columns))
+        asked = asked.unionByName(none.where("probes").join(chosen.where("segment < 0").select("digest"), "digest").select("digest", "label", "key", F.lit(SUBSET).alias("target")))
         held = index.unionByName(none)
-        counts = held.groupBy("key", F.col("kind").alias("target")).agg(F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high"))
-    asked = staged(asked.join(counts, ["key", "target"]).where(others).select("digest", "place", "label", "n", "key", "target"), "join-asked")
-    held = held.withColumnRenamed("kind", "target").join(asked.select("key", "target").distinct(), ["key", "target"], "left_semi")
-    odd = staged(odd_sketches(sets, percent), "join-odd")
-    other = held.join(odd, ["digest", "place"]).select(F.col("digest").alias("other"), F.col("label").alias("label_"), F.col("n").alias("m"), "key", "target", F.col("odd").alias("odd_"))
-    differ = F.aggregate(F.zip_with("odd", "odd_", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    alike = (F.col("label") != F.col("label_")) & (F.col("m") <= F.col("n")) & alike_in_size("n", "m", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
-    mine = asked.join(odd, ["digest", "place"]).drop("place")
-    met = mine.join(other, (mine.key == other.key) & (mine.target == other.target) & alike)
+    asked = staged(asked, "join-asked")
+    odd = outlined.select("digest", "place", "size", "odd")
+    other = held.withColumnRenamed("kind", "target").join(asked.select("key", "target").distinct(), ["key", "target"], "left_semi").join(odd, ["digest", "place"])
+    other = other.select(F.col("digest").alias("other"), F.col("label").alias("label_"), F.col("size").alias("m"), "key", "target", F.col("odd").alias("odd_"))
+    mine = asked.join(odd.where("place = 0").drop("place").withColumnRenamed("size", "n"), "digest")
+    met = mine.join(other, (mine.key == other.key) & (mine.target == other.target) & (F.col("label") != F.col("label_")) & (F.col("m") <= F.col("n")) & may_be_alike(percent))
     out = staged(met.select(F.least("digest", "other").alias("u"), F.greatest("digest", "other").alias("v")).distinct(), "join-pairs")
-    discard(index, chosen, asked, odd)
+    discard(index, costs, chosen, asked)
     return out
 
 
@@ -397,14 +452,14 @@ def class_labels(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         raise ValueError("the similarity must be between 50 and 100 per cent")
     sets = staged(set_rows(docs, words, percent), "join-rows")
     of = contenders(docs, sets, words, percent)
-    keys = staged(subset_keys(of, percent), "join-keys")
-    links = staged(verified(staged(star(keys, percent), "join-star"), of, percent), "join-links")
-    still = staged(involved(of, keys, component_labels(links)), "join-involved")
+    keys, outlined = staged(subset_keys(of, percent), "join-keys"), staged(outlines(of, percent), "join-outlines")
+    links = staged(verified(staged(star(keys, outlined, percent), "join-star"), of, percent), "join-links")
+    still = staged(involved(of, keys, component_labels(links), percent), "join-involved")
     discard(keys)
-    pairs = candidates(of.join(still, "digest").select("digest", "label", "places", "shingles"), percent)
+    pairs = candidates(of.join(still, "digest").select("digest", "label", "places", "probes", "shingles"), outlined, percent)
     more = staged(verified(pairs, of, percent), "join-links")
     labels = component_labels(links.unionByName(more))
-    discard(of, pairs, still)
+    discard(of, outlined, pairs, still)
     return sets, labels
 
 
