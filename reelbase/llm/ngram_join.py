@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, discard, staged, table
-from .simhash import component_labels, numbered, one_of_labels
+from .simhash import component_labels
 
 #: Keys that a map task settles among themselves before it passes them on, and keys that a task of the exchange should get.
 SETTLED, DEALT = 1 << 20, 1 << 21
@@ -478,16 +478,5 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Docs with one document of each component; same columns. Texts without words count as copies of each other.
-
-    Which row stays, and the cases: as for fingerprints (simhash.one_of_each).
-    """
-    rows = numbered(docs, id_col, text_col)
-    sets, labels = class_labels(rows.select(F.struct("id", "uid").alias("id"), "t"), words, percent)
-    named = sets.select("id.*", F.coalesce("digest", F.lit(0)).alias("digest")).join(labels.toDF("digest", "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    return one_of_labels(docs, rows, named, "digest", id_col, text_col)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))

@@ -255,8 +255,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert max(room.values()) <= 2048
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_duplicate_stage_reaches_similarity(spark, block):
+def test_near_duplicate_stage_reaches_similarity(spark):
     rng = np.random.default_rng(9)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     for size, changed in ((60, 1), (60, 2), (300, 6), (300, 12), (40, 1)):  # families of edited copies, few and many edits
@@ -290,10 +289,9 @@ def test_near_duplicate_stage_reaches_similarity(spark, block):
     for i, j in links:
         a, b = sorted((root(i), root(j)))
         label[b] = a
-    got = {r.doc_id: r.component_id for r in near_copies.components(docs, block=block).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.components(docs).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
-    if block == 512:
-        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(got.values())
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(got.values())
 
 
 @pytest.mark.parametrize("k", range(5))
