@@ -4,16 +4,20 @@ A file becomes rows (path, parser, n, up, id, place, at, size, body): its boxes,
 the numbers of their ancestors in ``up`` and their ids in ``place``. What the bytes of an element mean is left to column expressions
 (``audio``, ``video``, ``image``, ...). Element 0 has the head of the file as its body and the file's length as its size.
 
-A splitter reads by offset and skips media data, so a file of any length costs a few small reads. Element bodies over a limit
-(``LONGEST`` bytes, a parameter) are left out (null), the rest of the file is kept, and an ``error`` element that begins with
-``left out`` says how many there were. A splitter that meets nonsense stops with what it has.
+A splitter reads by offset and skips media data, so a file of any length costs a few small reads; the ``hash`` element's ``at`` has the
+bytes that were read. What a splitter may spend on a file is its ``Budget``. Where it ends before the file does, what was found is kept and
+an ``error`` element that begins with ``left out`` names the limit that was met; ``EXACT`` has no limits. A splitter that meets nonsense
+stops with what it has, and a file that can't be opened or read has an ``error`` element only.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 5_000_000
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What a splitter may spend on a file; None is without limit."""
+
+    body: int | None = LONGEST  #: bytes of an element's body, else it is left out
+    inflated: int | None = LONGEST  #: bytes of what a packed body becomes, else it is cut
+    entries: int | None = 200  #: entries of an image's directory
+    tags: int | None = 10  #: FLV tags, until those that the header announces are seen
+    pages: int | None = 64  #: Ogg pages, until each stream's headers are whole
+    tail: int | None = 49_000  #: bytes searched for an Ogg file's last pages
+    pictures: int | None = 5 << 20  #: bytes of AVI data searched for the first pictures
+    program: int | None = 110_000  #: bytes of an MPEG file's beginning
+    program_tail: int | None = 500_000  #: bytes of its end
+
+    def over(self, name: str, n: int) -> bool:
+        most = getattr(self, name)
+        return most is not None and n > most
+
+    def within(self, name: str, n: int) -> int:
+        most = getattr(self, name)
+        return n if most is None else min(n, most)
+
+
+EXACT = Budget(**dict.fromkeys(("body", "inflated", "entries", "tags", "pages", "tail", "pictures", "program", "program_tail")))
 HEAD = {"snes": 66_100, "ac3": 2_016, "xml": 65_536, "cue": 65_536, "mpeg": 4, "gameboy": 400}
 SCHEMA = "path string, parser string, n int, up array<int>, id string, place string, at long, size long, body binary"
 Read = Callable[[int, int], bytes]
 
 
 class Tree:
-    def __init__(self, read: Read, size: int, longest: int = LONGEST):
-        self.read, self.size, self.rows, self.longest, self.left_out = read, size, [], longest, 0
+    def __init__(self, read: Read, size: int, budget: Budget = Budget()):
+        self.read, self.size, self.rows, self.budget, self.met = read, size, [], budget, Counter()
+
+    def over(self, name: str, n: int) -> bool:
+        """Whether n is over that limit, which is then noted."""
+        self.met[name] += self.budget.over(name, n)
+        return self.budget.over(name, n)
 
     def add(self, up: int | None, ident: str, at: int, size: int, body: bytes | None = None) -> int:
         ups, place = ([], "") if up is None else ([*self.rows[up][0], up], self.rows[up][2])
@@ -37,8 +72,13 @@ class Tree:
         return len(self.rows) - 1
 
     def leaf(self, up: int, ident: str, at: int, start: int, size: int) -> int:
-        self.left_out += size > self.longest
-        return self.add(up, ident, at, size, self.read(start, size) if size <= self.longest else None)
+        return self.add(up, ident, at, size, None if self.over("body", size) else self.read(start, size))
+
+    def inflated(self, b: bytes) -> bytes:
+        d, most = zlib.decompressobj(), self.budget.inflated
+        out = d.decompress(b, most or 0)
+        self.met["inflated"] += bool(most and d.unconsumed_tail and d.decompress(d.unconsumed_tail, 1))
+        return out
 
     def boxes(self, up: int, at: int, end: int, header, inner: dict[str, int], skip=(), stop=lambda ident, n: False) -> None:
         """Boxes from ``at`` on. header gives (id, start of the body, its size, next box); inner has the containers and where their boxes begin."""
@@ -79,7 +119,9 @@ def riff(t: Tree) -> None:
     t.boxes(0, 0, t.size, riff_head, kids, ("movi", "data", "JUNK", "idx1"))
     for n, (_, ident, _, at, size, _) in enumerate(list(t.rows)):
         if ident == "movi":
-            t.boxes(n, at + 12, min(at + 8 + size, at + 5 * 2**20), riff_head, {}, (), enough)
+            t.boxes(n, at + 12, at + t.budget.within("pictures", 8 + size), riff_head, {}, (), enough)
+            if not seen[0]:
+                t.over("pictures", 8 + size)
 
 
 def iff_head(read: Read, at: int, end: int):
@@ -113,7 +155,7 @@ def atoms(t: Tree) -> None:
                 at += 4 + size
         if ident == "cmvd" and body:
             packed = next((x for x in (body[4:], body) if x[:1] == b"\x78"), b"")
-            whole = zlib.decompressobj().decompress(packed, LONGEST)
+            whole = t.inflated(packed)
             t.read = lambda at, size, whole=whole: whole[at : at + size]
             t.boxes(n, 0, len(whole), atom_head, ATOMS)
 
@@ -227,12 +269,15 @@ def real(t: Tree) -> None:
 
 
 def flv(t: Tree) -> None:
-    at = 13
-    for _ in range(10):
-        if len(b := t.read(at, 11)) < 11:
+    at, k, announced = 13, 0, int.from_bytes(t.read(4, 1), "big")
+    unseen = {kind for kind, bit in (("audio", 4), ("video", 1)) if announced & bit}
+    while len(b := t.read(at, 11)) == 11:
+        if t.budget.over("tags", k := k + 1):
+            t.met["tags"] += bool(unseen)
             return
         size = int.from_bytes(b[1:4], "big")
         kind = {8: "audio", 9: "video", 18: "meta"}.get(b[0], "other")
+        unseen.discard(kind)
         body = t.read(at + 11, size if kind == "meta" else 16)
         n = t.add(0, kind, at, size, body)
         if kind == "meta":
@@ -275,14 +320,10 @@ def png(t: Tree) -> None:
                 packed, method, rest = rest[0], rest[1], rest[2:].partition(b"\0")[2].partition(b"\0")[2]
             else:
                 packed, method, rest = 1, rest[0], rest[1:]
-            value = (b"\0" + (inflated(rest) if packed else rest)) if not (packed and method) else b""
+            value = (b"\0" + (t.inflated(rest) if packed else rest)) if not (packed and method) else b""
             t.rows[k] = (ups, ident, place, at, size, name + value)
 
 
-def inflated(b: bytes) -> bytes:
-    return zlib.decompressobj().decompress(b, LONGEST)
-
-
 def jpeg(t: Tree) -> None:
     at = 2
     while len(b := t.read(at, 4)) == 4 and b[0] == 0xFF and b[1] != 0xDA:
@@ -291,7 +332,7 @@ def jpeg(t: Tree) -> None:
             continue
         size = int.from_bytes(b[2:], "big") - 2
         n = t.leaf(0, f"{b[1]:02X}", at, at + 4, size)
-        body = t.rows[n][5]
+        body = t.rows[n][5] or b""
         if b[1] == 0xE1 and body.startswith(b"Exif\0"):
             directories(t, n, lambda at, size, body=body: body[6 + at : 6 + at + size])
         if b[1] == 0xED and body.startswith(b"Photoshop 3.0\0"):
@@ -319,29 +360,29 @@ def directory(t: Tree, up: int, name: str, base: int, read: Read, order: str) ->
     """Entries of one directory; the directories that it leads to."""
     number = lambda at, n: int.from_bytes(read(at, n), order)
     count, found, more = number(base, 2), {}, []
-    if count > (200 if name == "MakerNote" else 100):
-        return []
     n = t.add(up, name, base, count)
-    for k in range(count):
+    many = t.budget.within("entries", count)
+    t.over("entries", many + bool(read(base + 2 + 12 * many, 12)) if many < count else 0)
+    for k in range(min(many, len(read(base + 2, 12 * many)) // 12)):
         at = base + 2 + 12 * k
         tag, kind, many = number(at, 2), number(at + 2, 2), number(at + 4, 4)
         if not 0 < kind < len(WIDTHS):
             continue
         size = WIDTHS[kind] * many
         where = at + 8 if size <= 4 else number(at + 8, 4)
-        body = read(where, size) if size <= LONGEST else b""
+        body = None if t.over("body", size) else read(where, size)
         unit = 4 if kind in (5, 10) else WIDTHS[kind]
-        if order == "little" and unit > 1:
+        if order == "little" and unit > 1 and body:
             body = np.frombuffer(body[: len(body) // unit * unit], dtype=f"<u{unit}").astype(f">u{unit}").tobytes()
-        found[tag] = int.from_bytes(body[:4], "big") if kind in (3, 4) and many == 1 else None
+        found[tag] = int.from_bytes(body[:4], "big") if kind in (3, 4) and many == 1 and body else None
         t.add(n, f"{tag:04X}", kind, many, body)
         if tag == 0x927C and name == "EXIF":
             more.append(("MakerNote", *maker_note(where, read, order)))
     more += [(SUB[name, tag], value, read, order) for tag, value in found.items() if (name, tag) in SUB and value]
-    if name == "Image" and 0 < (after := number(base + 2 + 12 * count, 4)) <= 10_000:
+    if name == "Image" and 0 < (after := number(base + 2 + 12 * count, 4)):
         more.append(("Thumbnail", after, read, order))
     if name == "Thumbnail" and found.get(0x0201) and found.get(0x0202):
-        t.add(n, "jpeg", found[0x0201], found[0x0202], read(found[0x0201], found[0x0202]))
+        t.add(n, "jpeg", found[0x0201], found[0x0202], None if t.over("body", found[0x0202]) else read(found[0x0201], found[0x0202]))
     return more
 
 
@@ -403,9 +444,6 @@ def comments(t: Tree, up: int, b: bytes) -> None:
         at, many = at + 4 + size, many - 1
 
 
-PAGES, TAIL = 64, 49_000
-
-
 def ogg(t: Tree) -> None:
     """First pages with the packets that they complete (``at`` is the stream's serial number), then the pages of the tail."""
 
@@ -416,9 +454,10 @@ def ogg(t: Tree) -> None:
         table = t.read(at + 27, b[26])
         return b, table, at + 27 + b[26], at + 27 + b[26] + sum(table)
 
-    at, open_, made = 0, {}, {}
-    for _ in range(PAGES):
-        if not (p := page(at)):
+    at, open_, made, k_ = 0, {}, {}, 0
+    while p := page(at):
+        if t.budget.over("pages", k_ := k_ + 1):
+            t.met["pages"] += any(made.get(x, 0) < 3 for x in open_)
             break
         b, table, start, after = p
         serial = struct.unpack("<I", b[14:18])[0]
@@ -434,7 +473,7 @@ def ogg(t: Tree) -> None:
                     if packet[:7] in (b"\x03vorbis", b"\x81theora"):
                         comments(t, n, packet[7:])
         at = after
-    at = max(at, t.size - TAIL)
+    at = max(at, t.size - t.budget.within("tail", t.size))
     tail = t.read(at, t.size - at) if t.size > at else b""
     up, k = t.add(0, "tail", at, len(tail)), tail.find(b"OggS")
     while k >= 0:
@@ -471,14 +510,14 @@ def id3(t: Tree) -> None:
                 length = safe if not follows.strip(b"\0") or follows.isalnum() else length
             head = 6 if major == 2 else 10
             fl = int.from_bytes(data[at + 8 : at + 10], "big") if major > 2 else 0
-            t.add(n, latin(data[at : at + wide]), fl, length, frame_body(data[at + head : at + head + length], major, fl))
+            t.add(n, latin(data[at : at + wide]), fl, length, frame_body(t, data[at + head : at + head + length], major, fl))
             at += head + length
     start = t.read(after, 4096)
     t.add(0, "sync", after, len(start), start)
     t.add(0, "tail", max(0, t.size - 128), 128, t.read(max(0, t.size - 128), 128))
 
 
-def frame_body(b: bytes, major: int, flags: int) -> bytes | None:
+def frame_body(t: Tree, b: bytes, major: int, flags: int) -> bytes | None:
     """Undo what the flags say; null for encrypted frames."""
     packed, hidden, grouped = (flags & 0x80, flags & 0x40, flags & 0x20) if major == 3 else (flags & 8, flags & 4, flags & 0x40)
     if hidden:
@@ -486,16 +525,16 @@ def frame_body(b: bytes, major: int, flags: int) -> bytes | None:
     b = b[bool(grouped) + 4 * bool(packed if major == 3 else major == 4 and flags & 1) :]
     if major == 4 and flags & 2:
         b = b.replace(b"\xff\0", b"\xff")
-    return inflated(b) if packed else b
+    return t.inflated(b) if packed else b
 
 
 def mpeg(t: Tree) -> None:
     """Start codes (or starts of packets in a transport stream) with what follows them, at both ends."""
-    head = t.read(0, 110_000)
+    head = t.read(0, t.budget.within("program", t.size))
     step = 188 if head[:1] == b"G" and head[188:189] in (b"G", b"") else 0
     parts = [("head", 0, head)]
     if t.size > len(head):
-        at = max(len(head), t.size - 500_000)
+        at = max(len(head), t.size - t.budget.within("program_tail", t.size))
         at += -at % step if step else 0
         parts.append(("tail", at, t.read(at, t.size - at)))
     for name, base, b in parts:
@@ -565,8 +604,8 @@ def file_hash(read: Read, size: int) -> bytes:
     return b"%016x" % (total % 2**64)
 
 
-def split(parser: str | None, read: Read, size: int, longest: int = LONGEST) -> list[tuple]:
-    t, failed = Tree(read, size, longest), False
+def split(parser: str | None, read: Read, size: int, budget: Budget = Budget()) -> list[tuple]:
+    t, failed = Tree(read, size, budget), False
     t.add(None, "", 0, size, read(0, HEAD.get(parser, 512)))
     if parser in SPLIT:
         try:
@@ -574,44 +613,94 @@ def split(parser: str | None, read: Read, size: int, longest: int = LONGEST) ->
         except (ValueError, IndexError, TypeError, struct.error, zlib.error) as wrong:
             t.add(0, "error", 0, 0, f"{type(wrong).__name__}: {wrong}".encode())
             failed = True
-    if t.left_out and not failed:
-        t.add(0, "error", 0, 0, f"left out: {t.left_out} elements of over {longest} bytes".encode())
-    t.add(0, "hash", 0, 16, file_hash(read, size))
+    if (met := +t.met) and not failed:
+        t.add(0, "error", 0, 0, ("left out: " + ", ".join(f"{name} over {getattr(budget, name)} ({n})" for name, n in sorted(met.items()))).encode())
+    digest = file_hash(read, size)
+    t.add(0, "hash", getattr(read, "bytes", 0), 16, digest)
     return t.rows
 
 
-def opened(path: str) -> tuple[Read, int]:
-    """Reads by offset in a file that all executors reach: on a mounted path, or in a store that Arrow knows (s3, gs, hdfs). One handle a file."""
+class Reader:
+    """Reads by offset, in blocks that are kept for a while: splitters ask for many neighbouring bytes. ``bytes`` and ``reads`` say what it took."""
+
+    def __init__(self, fetch: Read, size: int, block: int = 1 << 15, kept: int = 16):
+        self.fetch, self.size, self.block, self.kept, self.blocks, self.bytes, self.reads = fetch, size, block, kept, {}, 0, 0
+
+    def take(self, at: int, n: int) -> bytes:
+        b = self.fetch(at, min(n, self.size - at))
+        self.bytes, self.reads = self.bytes + len(b), self.reads + 1
+        return b
+
+    def __call__(self, at: int, n: int) -> bytes:
+        if not 0 <= at < self.size or n <= 0:
+            return b""
+        n = min(n, self.size - at)
+        first, last = at // self.block, (at + n - 1) // self.block
+        if last - first >= self.kept // 2:
+            return self.take(at, n)
+        for k in range(first, last + 1):
+            if k not in self.blocks:
+                while len(self.blocks) >= self.kept:
+                    del self.blocks[next(iter(self.blocks))]
+                self.blocks[k] = self.take(k * self.block, self.block)
+        return b"".join(self.blocks[k] for k in range(first, last + 1))[at - first * self.block :][:n]
+
+
+@contextmanager
+def opened(path: str) -> Iterator[Reader]:
+    """Reads by offset in a file that all executors reach: on a mounted path, or in a store that Arrow knows (s3, gs, hdfs)."""
     if path.startswith(("file:", "/")):
         name = path.removeprefix("file:")
         store, name = fs.LocalFileSystem(), name.replace("//", "/", 1) if name.startswith("//") else name
     else:
         store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    f = store.open_input_file(name)
-    size = f.size()
-    return (lambda at, n: f.read_at(n, at) if 0 <= at < size and n > 0 else b""), size
+    with store.open_input_file(name) as f:
+        size = f.size()
+        yield Reader(lambda at, n: f.read_at(n, at), size)
+
 
+def unreadable(wrong: Exception) -> list[tuple]:
+    """The elements of a file that can't be opened or read."""
+    t = Tree(lambda at, n: b"", 0)
+    t.add(None, "", 0, 0, b"")
+    t.add(0, "error", 0, 0, f"{type(wrong).__name__}: {wrong}".encode())
+    return t.rows
+
+
+def file_elements(path: str, parser: str, content: bytes | None, budget: Budget) -> list[tuple]:
+    """Elements of a file's content, or of the file at the path; what can't be read becomes an ``error`` element."""
+    if content is not None:
+        return split(parser, Reader(lambda at, n: content[at : at + n], len(content)), len(content), budget)
+    try:
+        with opened(path) as read:
+            return split(parser, read, read.size, budget)
+    except (OSError, pa.ArrowException) as wrong:
+        return unreadable(wrong)
 
-def _batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+
+def _batches(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[pa.RecordBatch]:
     kinds = {"path": pa.string(), "parser": pa.string(), "n": pa.int32(), "up": pa.list_(pa.int32()), "id": pa.string(), "place": pa.string(), "at": pa.int64(), "size": pa.int64(), "body": pa.binary()}
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
     for batch in batches:
         held, weight = [], 0
         for path, parser, content in zip(*batch.columns, strict=True):
-            path, parser, b = path.as_py(), parser.as_py(), content.as_py()
-            if parser is None:
+            if not parser.is_valid:
                 continue
-            read, size = opened(path) if b is None else ((lambda at, n, b=b: b[at : at + n] if at >= 0 and n > 0 else b""), len(b))
-            for n, (up, ident, place, at, much, body) in enumerate(split(parser, read, size, longest)):
+            path, parser = path.as_py(), parser.as_py()
+            for n, (up, ident, place, at, much, body) in enumerate(file_elements(path, parser, content.as_py(), budget)):
                 held.append((path, parser, n, up, ident, place, at, min(much, 2**62), body))
                 weight += 100 + len(body or b"")
             if weight > 16_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                yield made(held)
                 held, weight = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+            yield made(held)
 
 
-def elements(files: DataFrame, kinds=(), longest: int = LONGEST) -> DataFrame:
+def elements(files: DataFrame, kinds=(), budget: Budget = Budget()) -> DataFrame:
     """Elements of routed files (path, parser, content); files without content are read by offset at their path.
 
     Files without a parser, or with another than ``kinds``, go no further. They are dropped behind the scan and not by a filter on
@@ -619,4 +708,4 @@ def elements(files: DataFrame, kinds=(), longest: int = LONGEST) -> DataFrame:
     """
     parser = F.when(F.col("parser").isin(*kinds), F.col("parser")) if kinds else F.col("parser")
     content = F.when(F.col("parser").isNotNull(), F.col("content")) if "content" in files.columns else F.lit(None).cast("binary")
-    return files.select("path", parser.alias("parser"), content.alias("content")).mapInArrow(lambda batches: _batches(batches, longest), SCHEMA)
+    return files.select("path", parser.alias("parser"), content.alias("content")).mapInArrow(lambda batches: _batches(batches, budget), SCHEMA)
