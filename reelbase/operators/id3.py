@@ -86,6 +86,7 @@ def fields(ident: Column, b: Column) -> Column:
         return from_ + F.when(wide, broad).otherwise(narrow).cast("int")
 
     pic = F.length(mime) + 3
+    linked = lambda at: F.substring_index(F.decode(part(b, at), "ISO-8859-1"), "\0", 1)
     is_ = lambda *names: shape.isin(*names)
     desc_at = F.when(is_("picture"), pic).when(is_("old_picture"), 5)
     values = {
@@ -93,12 +94,13 @@ def fields(ident: Column, b: Column) -> Column:
         "texts": F.when(is_("text"), texts(b)).when(is_("described"), F.slice(two, 2, 1)).when(is_("comment"), F.slice(after_lang, 2, 1)).when(is_("terms"), after_lang),
         "description": F.when(is_("described", "described_url"), two[0]).when(is_("comment"), after_lang[0]).when(is_("picture", "old_picture"), F.get(listed(decoded(part(b, desc_at, past(desc_at) - desc_at), code)), F.lit(0))),
         "language": F.when(is_("comment", "terms"), F.decode(part(b, 1, 3), "ISO-8859-1")),
-        "url": F.when(is_("url"), owner).when(is_("described_url"), F.substring_index(F.decode(part(b, past(F.lit(1))), "ISO-8859-1"), "\0", 1)).when(is_("link"), F.substring_index(F.decode(part(b, 4), "ISO-8859-1"), "\0", 1)),
-        "owner": F.when(is_("owned", "rating"), owner),
+        "url": F.when(is_("url"), owner).when(is_("described_url"), F.substring_index(F.decode(part(b, past(F.lit(1))), "ISO-8859-1"), "\0", 1)).when(is_("link"), linked(4)).when(is_("old_link"), linked(3)),
+        "owner": F.when(is_("owned", "rating"), owner).when(is_("link"), F.decode(part(b, 0, 4), "ISO-8859-1")).when(is_("old_link"), F.decode(part(b, 0, 3), "ISO-8859-1")),
         "mime": F.when(is_("picture", "object"), mime).when(is_("old_picture"), F.decode(part(b, 1, 3), "ISO-8859-1")),
         "picture_type": F.when(is_("picture"), be(b, pic - 1, 1)).when(is_("old_picture"), be(b, 4, 1)).cast("int"),
         "number": F.when(is_("count"), be(b, 0, 4)).when(is_("rating"), be(b, F.length(owner) + 1, 1)),
-        "data": F.when(is_("picture", "old_picture"), part(b, past(desc_at))).when(is_("owned"), part(b, F.length(owner) + 1)).when(is_("binary", "object"), b),
+        "data": F.when(is_("picture", "old_picture"), part(b, past(desc_at))).when(is_("owned"), part(b, F.length(owner) + 1)).when(is_("rating"), part(b, F.length(owner) + 2))
+        .when(is_("link"), part(b, F.length(linked(4)) + 5)).when(is_("old_link"), part(b, F.length(linked(3)) + 4)).when(is_("binary", "object"), b),
     }
     return F.struct(*[c.alias(k) for k, c in values.items()])
 

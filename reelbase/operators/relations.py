@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import languages
 from ..functions.text import finalize, pad_track, resolve_codec, resolve_language, series as split_series
 from ..shared import shared_path
-from . import audio, discs, documents, games, id3, image, video
+from . import audio, discs, documents, games, id3, id3_edit, image, video
 from .pick import body_
 
 DECODERS = audio.MEDIA | video.MEDIA | image.MEDIA | games.MEDIA | discs.MEDIA | documents.MEDIA
@@ -86,9 +86,10 @@ def container_length(kind: Column, ordinal: Column, length: Column) -> Column:
     return F.when(first_video > 0, F.max(F.when(kind.isin("video", "audio"), length)))
 
 
-def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = True) -> DataFrame:
-    """Video, audio and subtitle streams and chapters, numbered within their kind."""
-    parts = [fit(f(elements.where(F.col("parser") == k)), TRACK_COLUMNS) for k, fs in video.TRACKS.items() if not kinds or k in kinds for f in fs]
+def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = True, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Video, audio and subtitle streams and chapters, numbered within their kind. ``decoders``: as for media."""
+    own = {k: [f] for k, f in (decoders or {}).items()}
+    parts = [fit(f(elements.where(F.col("parser") == k)), TRACK_COLUMNS) for k, fs in (video.TRACKS | own).items() if not kinds or k in kinds for f in fs]
     if not parts:
         return fit(elements.limit(0).withColumn("path", F.col("path")), TRACK_COLUMNS)
     t = reduce(DataFrame.unionByName, parts)
@@ -98,16 +99,23 @@ def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = Tru
     return fit(resolve_language(t, "language_raw", languages(elements.sparkSession)), TRACK_COLUMNS)
 
 
-def tags(elements: DataFrame) -> DataFrame:
-    """(path, scope, scope_ordinal, tag_path, n, value, binary_value, langcode, language) of Matroska's and ID3's tags."""
+def tags(elements: DataFrame, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(path, scope, scope_ordinal, tag_path, n, value, binary_value, langcode, language) of Matroska's and ID3's tags.
+
+    ``decoders`` adds those of one's own parsers by name; each turns elements into (path, n, name, value).
+    """
     of = lambda k: elements.where(F.col("parser") == k)
     m = video.mkv_scoped_tags(of("mkv")).select("path", "scope", "scope_ordinal", "tag_path", "n", "value", "binary_value", F.col("langcode").alias("language_raw"))
-    i = id3.tags(of("mp3")).select("path", F.lit("file").alias("scope"), F.lit(None).cast("int").alias("scope_ordinal"), F.array("name").alias("tag_path"), "n", "value", F.lit(None).cast("binary").alias("binary_value"), F.lit("und").alias("language_raw"))
-    return resolve_language(m.unionByName(i), "language_raw", languages(elements.sparkSession)).drop("language_raw")
+    flat = lambda df: df.select("path", F.lit("file").alias("scope"), F.lit(None).cast("int").alias("scope_ordinal"), F.array("name").alias("tag_path"), "n", "value", F.lit(None).cast("binary").alias("binary_value"), F.lit("und").alias("language_raw"))
+    m = reduce(DataFrame.unionByName, [m, flat(id3.tags(of("mp3"))), *(flat(f(of(k))) for k, f in (decoders or {}).items())])
+    return resolve_language(m, "language_raw", languages(elements.sparkSession)).drop("language_raw")
 
 
-def tables(elements: DataFrame) -> DataFrame:
-    """(path, table_name, key, value): raw entries of all formats; of repeated keys the last counts."""
+def tables(elements: DataFrame, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(path, table_name, key, value): raw entries of all formats; of repeated keys the last counts.
+
+    ``decoders`` adds those of one's own parsers by name; each turns elements into (path, n, table_name, key, value).
+    """
     of = lambda *k: elements.where(F.col("parser").isin(*k))
     put = lambda df, name, key="key", value="value": df.select("path", (name if isinstance(name, Column) else F.lit(name)).alias("table_name"), F.col(key).alias("key"), F.col(value).alias("value"), "n")
     parts = [
@@ -116,6 +124,7 @@ def tables(elements: DataFrame) -> DataFrame:
         put(of("flv").where(F.col("place").startswith("meta/")).select("path", "n", F.col("id").alias("key"), video.amf_text(body_()).alias("value")), "FLVINFO"),
         put(of("riff").where(F.col("place").rlike("/INFO/[^/]*$")).select("path", "n", F.col("id").alias("key"), F.trim(F.replace(F.decode(body_(), "ISO-8859-1"), F.lit("\0"), F.lit(""))).alias("value")), "AVIINFO"),
     ]
+    parts += [f(of(k)).select("path", "table_name", "key", "value", "n") for k, f in (decoders or {}).items()]
     return reduce(DataFrame.unionByName, parts).where("value is not null").groupBy("path", "table_name", "key").agg(F.max_by("value", "n").alias("value"))
 
 
@@ -138,7 +147,7 @@ def collect(spark: SparkSession, elements: DataFrame) -> dict[str, DataFrame]:
     """All relations of the elements, registered as temporary views of the same names."""
     e = stage(spark, elements)
     kinds = present(e)
-    out = {"media": media(e, kinds), "tracks": tracks(e, kinds), "tags": tags(e), "tables": tables(e), "artifacts": artifacts(e)}
+    out = {"media": media(e, kinds), "tracks": tracks(e, kinds), "tags": tags(e), "tables": tables(e), "artifacts": artifacts(e), "warnings": id3_edit.warnings(e.where(F.col("parser") == "mp3"))}
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out

@@ -589,6 +589,40 @@ def voc(t: Tree) -> None:
             at += 4 + int.from_bytes(b[1:4], "little")
 
 
+@dataclass(frozen=True)
+class Grammar:
+    """A chunked format as data, from which its splitter is made: where the first chunk begins, and how a chunk's head is laid out.
+
+    A head of ``head`` bytes has an id of ``id_size`` bytes at ``id_at`` and a size of ``size_bytes`` at ``size_at`` in ``order`` ("big" or
+    "little"); ``counted`` of the head's bytes are in the size; a chunk with its head fills a multiple of ``align`` bytes. Chunks named in ``inner`` hold chunks,
+    behind so many bytes of their own; those in ``skip`` aren't read. Ids are texts, or hexadecimal with ``hexadecimal``.
+    """
+
+    start: int = 0
+    head: int = 8
+    id_at: int = 0
+    id_size: int = 4
+    size_at: int = 4
+    size_bytes: int = 4
+    order: str = "big"
+    counted: int = 0
+    align: int = 1
+    inner: tuple[tuple[str, int], ...] = ()
+    skip: tuple[str, ...] = ()
+    hexadecimal: bool = False
+
+    def chunk(self, read: Read, at: int, end: int):
+        b = read(at, self.head)
+        if len(b) < self.head:
+            return None
+        ident, size = b[self.id_at : self.id_at + self.id_size], int.from_bytes(b[self.size_at : self.size_at + self.size_bytes], self.order) - self.counted
+        whole = self.head + size
+        return (ident.hex() if self.hexadecimal else latin(ident), at + self.head, size, at + whole + -whole % self.align) if size >= 0 else None
+
+    def split(self, t: Tree) -> None:
+        t.boxes(0, self.start, t.size, self.chunk, dict(self.inner), self.skip)
+
+
 SPLIT = {
     "mp3": id3, "m4a": atoms, "mp4": atoms, "ogg": ogg, "ogm": ogg, "pcm": voc, "asf": asf, "flv": flv, "mkv": ebml, "mpeg": mpeg, "real": real,
     "riff": riff, "iso": disc, "jpeg": jpeg, "png": png, "tiff": tiff, "flac": flac, "ifo": ifo,
@@ -604,12 +638,13 @@ def file_hash(read: Read, size: int) -> bytes:
     return b"%016x" % (total % 2**64)
 
 
-def split(parser: str | None, read: Read, size: int, budget: Budget = Budget()) -> list[tuple]:
+def split(parser: str | None, read: Read, size: int, budget: Budget = Budget(), grammars: dict[str, Grammar] = {}) -> list[tuple]:  # noqa: B006
     t, failed = Tree(read, size, budget), False
     t.add(None, "", 0, size, read(0, HEAD.get(parser, 512)))
-    if parser in SPLIT:
+    splitter = grammars[parser].split if parser in grammars else SPLIT.get(parser)
+    if splitter:
         try:
-            SPLIT[parser](t)
+            splitter(t)
         except (ValueError, IndexError, TypeError, struct.error, zlib.error) as wrong:
             t.add(0, "error", 0, 0, f"{type(wrong).__name__}: {wrong}".encode())
             failed = True
@@ -667,18 +702,18 @@ def unreadable(wrong: Exception) -> list[tuple]:
     return t.rows
 
 
-def file_elements(path: str, parser: str, content: bytes | None, budget: Budget) -> list[tuple]:
+def file_elements(path: str, parser: str, content: bytes | None, budget: Budget, grammars: dict[str, Grammar]) -> list[tuple]:
     """Elements of a file's content, or of the file at the path; what can't be read becomes an ``error`` element."""
     if content is not None:
-        return split(parser, Reader(lambda at, n: content[at : at + n], len(content)), len(content), budget)
+        return split(parser, Reader(lambda at, n: content[at : at + n], len(content)), len(content), budget, grammars)
     try:
         with opened(path) as read:
-            return split(parser, read, read.size, budget)
+            return split(parser, read, read.size, budget, grammars)
     except (OSError, pa.ArrowException) as wrong:
         return unreadable(wrong)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], budget: Budget, grammars: dict[str, Grammar]) -> Iterator[pa.RecordBatch]:
     kinds = {"path": pa.string(), "parser": pa.string(), "n": pa.int32(), "up": pa.list_(pa.int32()), "id": pa.string(), "place": pa.string(), "at": pa.int64(), "size": pa.int64(), "body": pa.binary()}
 
     def made(held: list[tuple]) -> pa.RecordBatch:
@@ -690,7 +725,7 @@ def _batches(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[pa.R
             if not parser.is_valid:
                 continue
             path, parser = path.as_py(), parser.as_py()
-            for n, (up, ident, place, at, much, body) in enumerate(file_elements(path, parser, content.as_py(), budget)):
+            for n, (up, ident, place, at, much, body) in enumerate(file_elements(path, parser, content.as_py(), budget, grammars)):
                 held.append((path, parser, n, up, ident, place, at, min(much, 2**62), body))
                 weight += 100 + len(body or b"")
             if weight > 16_000_000:
@@ -700,12 +735,14 @@ def _batches(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[pa.R
             yield made(held)
 
 
-def elements(files: DataFrame, kinds=(), budget: Budget = Budget()) -> DataFrame:
+def elements(files: DataFrame, kinds=(), budget: Budget = Budget(), grammars: dict[str, Grammar] | None = None) -> DataFrame:
     """Elements of routed files (path, parser, content); files without content are read by offset at their path.
 
+    ``grammars`` has those of one's own parsers, by name; they are sent to the workers as data.
+
     Files without a parser, or with another than ``kinds``, go no further. They are dropped behind the scan and not by a filter on
     ``parser``: as a filter, the routing's long expression would be taken into every constraint that the planner infers.
     """
     parser = F.when(F.col("parser").isin(*kinds), F.col("parser")) if kinds else F.col("parser")
     content = F.when(F.col("parser").isNotNull(), F.col("content")) if "content" in files.columns else F.lit(None).cast("binary")
-    return files.select("path", parser.alias("parser"), content.alias("content")).mapInArrow(lambda batches: _batches(batches, budget), SCHEMA)
+    return files.select("path", parser.alias("parser"), content.alias("content")).mapInArrow(lambda batches: _batches(batches, budget, grammars or {}), SCHEMA)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.binary import join, le, let, starts, to_le, to_syncsafe, zeros
 from ..functions.codes import GENRES, codec_table, languages
-from ..operators import audio, discs as D, documents, id3, image, relations as R, video
-from ..operators.walk import elements
-from ..sources.registry import parser_by_suffix, route, suffix
+from ..operators import audio, discs as D, documents, id3, id3_edit, image, relations as R, video
+from ..operators.pick import at, by_file, by_part, head, numbered
+from ..operators.walk import Grammar, elements
+from ..sources.registry import Parser, parser_by_suffix, route, suffix
 from ..streaming.ingest import decode_stream
 from . import fixtures as X
 
@@ -185,6 +188,102 @@ def id3_rewrite(spark, d):
     return R.media(e, ("mp3",)).join(version, "path").select(key("c_custkey"), "title", "artist", "version")
 
 
+SHAPE_IDS = sorted({k for k in id3.SHAPES if len(k) == 4} | {v for v in id3.OLD.values() if v[0] in "TW"})
+SHAPE_SQL = "CASE list_extract([" + ", ".join(f"'{k}'" for k in SHAPE_IDS) + f"], CAST(c_custkey % {len(SHAPE_IDS)} + 1 AS INT))"
+
+
+def _shape(name: str) -> str:
+    return id3.SHAPES.get(name) or ("text" if name[0] == "T" else "url")
+
+
+@query(
+    "id3_every_frame",
+    f"SELECT c_custkey, f AS frameid, shape, CASE WHEN shape IN ('text', 'described', 'comment', 'terms') THEN c_name END AS said, CASE WHEN shape IN ('url', 'described_url', 'link') THEN 'http://x/' || c_custkey END AS url, CASE WHEN shape = 'count' THEN c_custkey WHEN shape = 'rating' THEN c_custkey % 256 END AS number, TRUE AS same "
+    f"FROM (SELECT c_custkey, c_name, {SHAPE_SQL} {' '.join(f"WHEN '{k}' THEN '{k}'" for k in SHAPE_IDS)} END AS f, {SHAPE_SQL} {' '.join(f"WHEN '{k}' THEN '{_shape(k)}'" for k in SHAPE_IDS)} END AS shape FROM customer)",
+)
+def id3_every_frame(spark, d):
+    """A frame of each kind, in each version's encodings: from fields to bytes, to fields, and to the same bytes again."""
+    c = X.table(spark, d, "customer").withColumn("name", F.array(*map(F.lit, SHAPE_IDS))[(C("c_custkey") % len(SHAPE_IDS)).cast("int")])
+    shape = F.create_map(*[F.lit(x) for k in SHAPE_IDS for x in (k, _shape(k))])[C("name")]
+    link = F.concat(F.lit("http://x/"), C("c_custkey").cast("string"))
+    f = F.struct(
+        shape.alias("shape"), F.array("c_name").alias("texts"), F.lit("what").alias("description"), F.lit("deu").alias("language"), link.alias("url"), F.when(shape == "link", "TIT2").otherwise("me").alias("owner"),
+        F.lit("image/png").alias("mime"), F.lit(4).alias("picture_type"), F.when(shape == "rating", C("c_custkey") % 256).otherwise(C("c_custkey")).alias("number"), F.encode("c_mktsegment", "UTF-8").alias("data"),
+    )
+    code = C("c_custkey") % 3
+    body = F.when(code == 0, id3_edit.encoded(f, 3)).when(code == 1, id3_edit.encoded(f, 1)).otherwise(id3_edit.encoded(f, 0))
+    one = let(body, lambda b: join(C("name"), to_syncsafe(F.length(b)), b"\0\0", b))
+    tagged = X.files(c.withColumn("one", one), "c_custkey", "mp3", let(C("one"), lambda b: join(b"ID3\4\0\0", to_syncsafe(F.length(b)), b)))
+    e = split(tagged).where(C("place").rlike("^ID3v2[.]4/")).select("path", C("id").alias("frameid"), C("body"), id3.own_fields(C("body")).alias("f"))
+    k = F.regexp_extract("path", "[0-9]+", 0).cast("long") % 3
+    again = F.when(k == 0, id3_edit.encoded(C("f"), 3)).when(k == 1, id3_edit.encoded(C("f"), 1)).otherwise(id3_edit.encoded(C("f"), 0))
+    return e.select(key("c_custkey"), "frameid", C("f.shape").alias("shape"), F.array_join("f.texts", "/").alias("said"), C("f.url").alias("url"), C("f.number").alias("number"), (again == C("body")).alias("same"))
+
+
+@query("id3_set_frame", "SELECT c_custkey, 'v' || CAST(c_custkey % 3 + 2 AS VARCHAR) AS version, upper(c_mktsegment) AS title, CAST(7 AS BIGINT) AS frames, TRUE AS others_same, TRUE AS sound_same FROM customer")
+def id3_set_frame(spark, d):
+    """Set the title and take the comment away in tags of all versions; every other frame keeps its bytes, and so does what follows the tag."""
+    c = X.table(spark, d, "customer")
+    files = reduce(DataFrame.unionByName, [X.mp3(c.where(C("c_custkey") % 3 == m - 2), m) for m in (2, 3, 4)])
+    files = files.join(c.select(F.concat(F.lit("c_custkey/"), C("c_custkey").cast("string"), F.lit(".mp3")).alias("path"), "c_mktsegment"), "path")
+    before = once(files.select("path", "content"))
+    after = id3_edit.changed(files, before, {"TIT2": id3.text_body(F.upper("c_mktsegment"), 1), "COMM": None}).select("path", "content")
+    e = once(after)
+    gone = ("TIT2", "TT2", "COMM", "COM")
+    digest = lambda files, e: id3_edit.tag_parts(files, e).select("path", F.transform(F.filter("frames", lambda f: ~f["id"].isin(*gone)), lambda f: F.md5(f["raw"])).alias("digests"), F.md5(id3.without_tag(C("content"))).alias("sound"))
+    a, b = digest(files.select("path", "content"), before), digest(after, e).toDF("path", "digests_", "sound_")
+    tag = e.where(C("id").startswith("ID3v2.")).select("path", F.concat(F.lit("v"), F.substring("id", 7, 1)).alias("version"))
+    f = id3.modern(id3.frames(e)).groupBy("path").agg(F.max(F.when(C("frameid") == "TIT2", F.array_join("texts", ""))).alias("title"), F.count("*").alias("frames"))
+    return f.join(tag, "path").join(a, "path").join(b, "path").select(key("c_custkey"), "version", "title", "frames", (C("digests") == C("digests_")).alias("others_same"), (C("sound") == C("sound_")).alias("sound_same"))
+
+
+STAMP_SQL = "(1970 + c_custkey % 50) || '-' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || 'T' || lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0')"
+YEAR_SQL, DAY_SQL, CLOCK_SQL = "CAST(1970 + c_custkey % 50 AS VARCHAR)", "lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0')", "lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0')"
+
+
+def _fates(to: str, rows) -> str:
+    quoted = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+    return " UNION ALL ".join(f"SELECT c_custkey, '{v}' AS version, '{to}' AS to_version, '{was}' AS was, {quoted(new)} AS frameid, '{fate}' AS fate, {value} AS value FROM customer" for v, was, new, fate, value in rows)
+
+
+@query(
+    "id3_converted",
+    _fates("2.4", [("2.2", "TT2", "TIT2", "renamed", "c_name"), ("2.2", "TYE", "TDRC", "joined", STAMP_SQL), ("2.2", "TSI", None, "dropped", "'9'"), ("2.3", "TIT2", "TIT2", "kept", "c_name"), ("2.3", "TYER", "TDRC", "joined", STAMP_SQL), ("2.3", "TORY", "TDOR", "renamed", YEAR_SQL), ("2.3", "TSIZ", None, "dropped", "'9'"), ("2.4", "TIT2", "TIT2", "kept", "c_name"), ("2.4", "TDRC", "TDRC", "kept", STAMP_SQL), ("2.4", "TDOR", "TDOR", "kept", STAMP_SQL), ("2.4", "TMOO", "TMOO", "kept", "c_mktsegment")])
+    + " UNION ALL " + _fates("2.3", [("2.2", "TT2", "TIT2", "renamed", "c_name"), ("2.2", "TYE", "TYER", "renamed", YEAR_SQL), ("2.2", "TDA", "TDAT", "renamed", DAY_SQL), ("2.2", "TIM", "TIME", "renamed", CLOCK_SQL), ("2.2", "TSI", "TSIZ", "renamed", "'9'"), ("2.3", "TIT2", "TIT2", "kept", "c_name"), ("2.3", "TYER", "TYER", "kept", YEAR_SQL), ("2.3", "TDAT", "TDAT", "kept", DAY_SQL), ("2.3", "TIME", "TIME", "kept", CLOCK_SQL), ("2.3", "TORY", "TORY", "kept", YEAR_SQL), ("2.3", "TSIZ", "TSIZ", "kept", "'9'"), ("2.4", "TIT2", "TIT2", "kept", "c_name"), ("2.4", "TDRC", "TYER", "split", YEAR_SQL), ("2.4", "TDRC", "TDAT", "split", DAY_SQL), ("2.4", "TDRC", "TIME", "split", CLOCK_SQL), ("2.4", "TDOR", "TORY", "renamed", YEAR_SQL), ("2.4", "TMOO", None, "dropped", "c_mktsegment")])
+    + " UNION ALL " + _fates("2.2", [("2.2", "TT2", "TT2", "kept", "c_name"), ("2.2", "TYE", "TYE", "kept", YEAR_SQL), ("2.2", "TDA", "TDA", "kept", DAY_SQL), ("2.2", "TIM", "TIM", "kept", CLOCK_SQL), ("2.2", "TSI", "TSI", "kept", "'9'"), ("2.3", "TIT2", "TT2", "renamed", "c_name"), ("2.3", "TYER", "TYE", "renamed", YEAR_SQL), ("2.3", "TDAT", "TDA", "renamed", DAY_SQL), ("2.3", "TIME", "TIM", "renamed", CLOCK_SQL), ("2.3", "TORY", "TOR", "renamed", YEAR_SQL), ("2.3", "TSIZ", "TSI", "renamed", "'9'"), ("2.4", "TIT2", "TT2", "renamed", "c_name"), ("2.4", "TDRC", "TYE", "split", YEAR_SQL), ("2.4", "TDRC", "TDA", "split", DAY_SQL), ("2.4", "TDRC", "TIM", "split", CLOCK_SQL), ("2.4", "TDOR", "TOR", "renamed", YEAR_SQL), ("2.4", "TMOO", None, "dropped", "c_mktsegment")]),
+)
+def id3_converted(spark, d):
+    """Tags of each version with dates, as each version names and cuts them."""
+    c = X.table(spark, d, "customer")
+    two = lambda x, n, more=0: F.lpad((x % n + more).cast("string"), 2, "0")
+    k = C("c_custkey")
+    year, day, clock = (1970 + k % 50).cast("string"), F.concat(two(k, 28, 1), two(k, 12, 1)), F.concat(two(k, 24), two(k, 60))
+    stamp = F.concat(year, F.lit("-"), two(k, 12, 1), F.lit("-"), two(k, 28, 1), F.lit("T"), two(k, 24), F.lit(":"), two(k, 60))
+    t = lambda x: id3.text_body(x, 0)
+    bodies = {
+        2: {"TT2": t(C("c_name")), "TYE": t(year), "TDA": t(day), "TIM": t(clock), "TSI": t(F.lit("9"))}, 3: {"TIT2": t(C("c_name")), "TYER": t(year), "TDAT": t(day), "TIME": t(clock), "TORY": t(year), "TSIZ": t(F.lit("9"))},
+        4: {"TIT2": t(C("c_name")), "TDRC": t(stamp), "TDOR": t(stamp), "TMOO": t(C("c_mktsegment"))},
+    }
+    files = reduce(DataFrame.unionByName, [X.files(c.withColumn("v", F.lit(m)), "c_custkey", "mp3", id3.id3v2_encode(b, m)).withColumn("path", F.concat(F.lit(f"v{m}/"), C("path"))) for m, b in bodies.items()])
+    f = id3.frames(once(files))
+    out = [id3_edit.converted(f, to).withColumn("to_version", F.lit(to)) for to in ("2.2", "2.3", "2.4")]
+    number = F.regexp_extract("path", "/([0-9]+)[.]", 1).cast("long").alias("c_custkey")
+    return reduce(DataFrame.unionByName, out).select(number, "version", "to_version", "was", "frameid", "fate", F.array_join("texts", "").alias("value"))
+
+
+@query(
+    "id3_warnings",
+    "SELECT c_custkey, element, code FROM (SELECT c_custkey, 'TIT2' AS element, list_extract(['unknown_encoding', 'bad_utf8', 'odd_utf16', NULL], CAST(c_custkey % 4 + 1 AS INT)) AS code FROM customer UNION ALL SELECT c_custkey, 'COMM', list_extract(['unknown_language', 'short', NULL], CAST(c_custkey % 3 + 1 AS INT)) FROM customer UNION ALL SELECT c_custkey, 'QQQQ', 'unknown_frame' FROM customer) WHERE code IS NOT NULL",
+)
+def id3_warnings(spark, d):
+    """Frames that are garbled in several ways, and some that aren't."""
+    k = C("c_custkey")
+    title = F.when(k % 4 == 0, join(b"\7", C("c_name"))).when(k % 4 == 1, F.lit(bytearray(b"\3\xff\xfe\xff"))).when(k % 4 == 2, F.lit(bytearray(b"\1\xff\xfeabc"))).otherwise(join(b"\3", C("c_name")))
+    comment = F.when(k % 3 == 0, join(b"\3\1\2\3\0", C("c_name"))).when(k % 3 == 1, F.lit(bytearray(b"\3en"))).otherwise(join(b"\3eng\0", C("c_name")))
+    files = X.files(X.table(spark, d, "customer"), "c_custkey", "mp3", id3.id3v2_encode({"TIT2": title, "COMM": comment, "QQQQ": join(C("c_name"))}, 4))
+    return id3_edit.warnings(split(files)).select(key("c_custkey"), "element", "code")
+
+
 @query("id3v1_fields", f"SELECT p_partkey, p_name AS title, p_brand AS artist, p_type AS album, '1999' AS year, 'note' AS comment, p_size AS track, {GENRE_SQL.format('p_size')} AS genre FROM part")
 def id3v1_fields(spark, d):
     return X.id3v1(X.table(spark, d, "part")).select(key("p_partkey"), id3.id3v1(F.expr("right(content, 128)")).alias("t")).select("p_partkey", "t.*")
@@ -623,3 +722,45 @@ def incremental_ingest(spark, d):
     p = X.table(spark, d, "part")
     arriving = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/part.parquet*")
     return image.gif(decode_stream(spark, X.gif(arriving))).select(key("p_partkey"), "width", "height")
+
+
+# --------------------------------------------------------------------------- a format of one's own
+#: Chunks with two bytes of id, then a flag and three bytes of size that count the head of six; each fills a multiple of four bytes.
+OWN_GRAMMAR = Grammar(start=8, head=6, id_at=0, id_size=2, size_at=3, size_bytes=3, order="little", counted=6, align=4, inner=(("IN", 0), ("TR", 2)), skip=("XX",))
+OWN_PARSER = Parser("reel", "video/reel", ("reel",), lambda s, h, n: starts(h, b"REEL"), "av", OWN_GRAMMAR)
+
+
+def _own_files(orders: DataFrame) -> DataFrame:
+    """A title and a clerk in IN, two tracks with rates and sizes, data that isn't read."""
+
+    def chunk(ident: bytes, *xs):
+        return let(join(*xs), lambda b: let(join(ident, b"\0", to_le(F.length(b) + 6, 3), b), lambda c: F.concat(c, F.substring(zeros(4), 1, (4 - F.length(c) % 4) % 4))))
+
+    k = C("o_orderkey")
+    info = chunk(b"IN", chunk(b"TI", C("o_orderpriority")), chunk(b"CL", C("o_orderstatus")))
+    video_ = chunk(b"TR", b"\1\0", chunk(b"WH", to_le(k % 1000, 2), to_le(k % 700, 2)), chunk(b"CO", b"DIVX"))
+    audio_ = chunk(b"TR", b"\2\0", chunk(b"RA", to_le(F.lit(8000) + k % 40_000, 4)))
+    return X.files(orders, "o_orderkey", "reel", F.concat(join(b"REEL", to_le(k % 100_000, 4)), info, chunk(b"XX", zeros(50)), video_, audio_))
+
+
+def _own_relations(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    media_of = lambda e: by_file(e, title=at("IN/TI", lambda b: F.decode(b, "UTF-8")), length=head(lambda b: le(b, 4, 4) / 10)).withColumn("mime", F.lit("video/reel"))
+    track = lambda e: by_part(
+        e, "TR", codec_raw=at("TR/CO", lambda b: F.decode(b, "UTF-8")), width=at("TR/WH", lambda b: le(b, 0, 2)), height=at("TR/WH", lambda b: le(b, 2, 2)), samplerate=at("TR/RA", lambda b: le(b, 0, 4).cast("double"))
+    ).withColumn("kind", F.when(C("width").isNotNull(), "video").otherwise("audio"))
+    tags_of = lambda e: e.where("place = 'IN/CL'").select("path", "n", F.lit("author").alias("name"), F.decode("body", "UTF-8").alias("value"))
+    return R.media(e, ("reel",), decoders={"reel": media_of}), R.tracks(e, ("reel",), decoders={"reel": lambda e: numbered(track(e))}), R.tags(e, decoders={"reel": tags_of})
+
+
+@query(
+    "own_format",
+    "SELECT o_orderkey, 'video/reel' AS mime, o_orderpriority AS title, (o_orderkey % 100000) / 10::DOUBLE AS length, o_orderstatus AS author, CAST(o_orderkey % 1000 AS INT) AS width, CAST(o_orderkey % 700 AS INT) AS height, 'DivX' AS codec, CAST(8000 + o_orderkey % 40000 AS DOUBLE) AS samplerate, 'ok' AS status FROM orders",
+)
+def own_format(spark, d):
+    """Media, tracks and tags of a chunked format that is given as a grammar."""
+    files = route(_own_files(X.table(spark, d, "orders")), more=[OWN_PARSER])
+    m, t, g = _own_relations(R.stage(spark, elements(files, grammars={"reel": OWN_GRAMMAR})))
+    one = lambda kind, c: F.max(F.when((C("kind") == kind) & (C("ordinal") == 0), C(c))).alias(c)
+    t = t.groupBy("path").agg(one("video", "width"), one("video", "height"), one("video", "codec"), one("audio", "samplerate"))
+    m = m.select("path", key("o_orderkey"), "mime", "title", "length", "status")
+    return m.join(t, "path").join(g.select("path", C("value").alias("author")), "path").drop("path")

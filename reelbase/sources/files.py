@@ -77,14 +77,15 @@ def read_elements(spark: SparkSession, paths: str | Sequence[str], suffixes: Seq
     if whole is None:
         whole = SMALL if all(map(reachable, [paths] if isinstance(paths, str) else paths)) else WHOLE
     budget = replace(budget, body=longest) if longest != LONGEST else budget
+    grammars = {p.name: p.grammar for p in more if p.grammar}
     far = list_files(spark, paths, suffixes).select("path", "length")
     far = far if ranged else far.where(F.col("length") > whole)
     heads = planned(far).mapInArrow(_heads, "path string, length bigint, head binary")
     routed = route(heads, force, more)
-    found = elements(routed.withColumn("parser", F.when(F.col("head").isNull(), parser_by_suffix(suffix(F.col("path")))).otherwise(F.col("parser"))), kinds, budget)
+    found = elements(routed.withColumn("parser", F.when(F.col("head").isNull(), parser_by_suffix(suffix(F.col("path")))).otherwise(F.col("parser"))), kinds, budget, grammars)
     if ranged:
         return found
-    return elements(route(list_files(spark, paths, suffixes, whole, content=True), force, more), kinds, budget).unionByName(found)
+    return elements(route(list_files(spark, paths, suffixes, whole, content=True), force, more), kinds, budget, grammars).unionByName(found)
 
 
 def bytes_read(elements: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import be, bits, le, part, starts
+from ..operators.walk import Grammar
 
 #: Bytes that routing needs of a file.
 HEAD = 66_100
@@ -16,13 +17,14 @@ HEAD = 66_100
 
 @dataclass(frozen=True)
 class Parser:
-    """``takes`` says from the suffix, head and length whether the bytes are of this kind; ``relation`` names the decoder."""
+    """``takes`` says from the suffix, head and length whether the bytes are of this kind; ``grammar`` cuts files of a kind of one's own."""
 
     name: str
     mime: str
     suffixes: tuple[str, ...]
     takes: Callable[[Column, Column, Column], Column]
     media: str | None
+    grammar: Grammar | None = None
 
 
 def sync(head: Column, at: int = 0) -> Column:
@@ -110,7 +112,8 @@ def route(files: DataFrame, force: bool = True, more: Sequence[Parser] = ()) ->
     """Add ``parser``: the suffix's parsers are tried in order, then what the magic number says (no more, if that fails), then all.
 
     Needs path and head (the first HEAD bytes) or content, and length. Unknown files get null. ``more`` adds parsers of one's own behind
-    the built-in ones: their files have the element of the head (512 bytes) and the hash, for a decoder in column expressions.
+    the built-in ones: their files have the element of the head (512 bytes), the hash, and what their grammar cuts, for decoders in column
+    expressions.
     """
     parsers = (*REGISTRY, *more)
     own = files.columns
