@@ -681,14 +681,18 @@ class Reader:
         return b"".join(self.blocks[k] for k in range(first, last + 1))[at - first * self.block :][:n]
 
 
-@contextmanager
-def opened(path: str) -> Iterator[Reader]:
-    """Reads by offset in a file that all executors reach: on a mounted path, or in a store that Arrow knows (s3, gs, hdfs)."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path that all executors reach, and its name there: a mounted path, or a store that Arrow knows (s3, gs, hdfs)."""
     if path.startswith(("file:", "/")):
         name = path.removeprefix("file:")
-        store, name = fs.LocalFileSystem(), name.replace("//", "/", 1) if name.startswith("//") else name
-    else:
-        store, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        return fs.LocalFileSystem(), "/" + name.lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+@contextmanager
+def opened(path: str) -> Iterator[Reader]:
+    """Reads by offset in a file."""
+    store, name = located(path)
     with store.open_input_file(name) as f:
         size = f.size()
         yield Reader(lambda at, n: f.read_at(n, at), size)
