@@ -114,6 +114,44 @@ MAKER_NAMES = {
     "FUJIFILM": {0x0000: "NoteVersion", 0x1000: "Quality", 0x1001: "Sharpness", 0x1002: "WhiteBalance", 0x1003: "Color", 0x1004: "Tone", 0x1010: "FlashMode", 0x1011: "FlashStrength", 0x1020: "Macro", 0x1021: "FocusMode", 0x1030: "SlowSync", 0x1031: "PictureMode", 0x1300: "BlurWarning", 0x1301: "FocusWarning", 0x1302: "AEWarning"},
     "CANON": {0x0001: "CameraSettings", 0x0004: "ShotInfo", 0x0006: "ImageType", 0x0007: "FirmwareVersion", 0x0008: "ImageNumber", 0x0009: "OwnerName", 0x000C: "SerialNumber"},
 }
+# What makers keep in arrays of 16-bit numbers: (make, tag), then position: (name, names of values).
+MAKER_ARRAYS = {
+    ("CANON", 0x0001): {
+        1: ("Macromode", {1: "Macro", 2: "Normal"}),
+        2: ("SelfTimer", {}),
+        3: ("Quality", {2: "Normal", 3: "Fine", 5: "Superfine"}),
+        4: ("FlashMode", {0: "Flash Not Fired", 1: "Auto", 2: "On", 3: "Red-Eye Reduction", 4: "Slow Synchro", 5: "Auto + Red-Eye Reduction", 6: "On + Red-Eye Reduction", 16: "external flash"}),
+        5: ("ContinuousDriveMode", {0: "Single Or Timer", 1: "Continuous"}),
+        7: ("FocusMode", {0: "One-Shot", 1: "AI Servo", 2: "AI Focus", 3: "MF", 4: "Single", 5: "Continuous", 6: "MF"}),
+        10: ("ImageSize", {0: "Large", 1: "Medium", 2: "Small"}),
+        11: ("EasyShootingMode", {0: "Full Auto", 1: "Manual", 2: "Landscape", 3: "Fast Shutter", 4: "Slow Shutter", 5: "Night", 6: "B&W", 7: "Sepia", 8: "Portrait", 9: "Sports", 10: "Macro/Close-Up", 11: "Pan Focus"}),
+        12: ("DigitalZoom", {0: "None", 1: "2x", 2: "4x"}),
+        13: ("Contrast", {0xFFFF: "Low", 0: "Normal", 1: "High"}),
+        14: ("Saturation", {0xFFFF: "Low", 0: "Normal", 1: "High"}),
+        15: ("Sharpness", {0xFFFF: "Low", 0: "Normal", 1: "High"}),
+        16: ("ISO", {0: "See ISOSpeedRatings Tag", 15: "Auto", 16: "50", 17: "100", 18: "200", 19: "400"}),
+        17: ("MeteringMode", {3: "Evaluative", 4: "Partial", 5: "Center-weighted"}),
+        18: ("FocusType", {0: "Manual", 1: "Auto", 3: "Close-Up (Macro)", 8: "Locked (Pan Mode)"}),
+        19: ("AFPointSelected", {0x3000: "None (MF)", 0x3001: "Auto-Selected", 0x3002: "Right", 0x3003: "Center", 0x3004: "Left"}),
+        20: ("ExposureMode", {0: "Easy Shooting", 1: "Program", 2: "Tv-priority", 3: "Av-priority", 4: "Manual", 5: "A-DEP"}),
+        23: ("LongFocalLengthOfLensInFocalUnits", {}),
+        24: ("ShortFocalLengthOfLensInFocalUnits", {}),
+        25: ("FocalUnitsPerMM", {}),
+        28: ("FlashActivity", {0: "Did Not Fire", 1: "Fired"}),
+        29: ("FlashDetails", {14: "External E-TTL", 13: "Internal Flash", 11: "FP Sync Used", 7: '2nd("Rear")-Curtain Sync Used', 4: "FP Sync Enabled"}),
+        32: ("FocusMode", {0: "Single", 1: "Continuous"}),
+    },
+    ("CANON", 0x0004): {
+        7: ("WhiteBalance", {0: "Auto", 1: "Sunny", 2: "Cloudy", 3: "Tungsten", 4: "Fluorescent", 5: "Flash", 6: "Custom"}),
+        9: ("SequenceNumber", {}),
+        14: ("AFPointUsed", {}),
+        15: ("FlashBias", {
+            0xFFC0: "-2 EV", 0xFFCC: "-1.67 EV", 0xFFD0: "-1.50 EV", 0xFFD4: "-1.33 EV", 0xFFE0: "-1 EV", 0xFFEC: "-0.67 EV", 0xFFF0: "-0.50 EV", 0xFFF4: "-0.33 EV", 0x0000: "0 EV",
+            0x000C: "0.33 EV", 0x0010: "0.50 EV", 0x0014: "0.67 EV", 0x0020: "1 EV", 0x002C: "1.33 EV", 0x0030: "1.50 EV", 0x0034: "1.67 EV", 0x0040: "2 EV",
+        }),
+        19: ("SubjectDistance", {}),
+    },
+}
 # The parts of Olympus' special mode.
 SPECIAL_MODES = ("Normal", "Unknown", "Fast", "Panorama")
 PANORAMA = ("Non-panoramic", "Left to right", "Right to left", "Bottom to top", "Top to bottom")

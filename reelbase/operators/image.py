@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import be, le, let, part, starts, utf8_or_latin1
-from ..functions.codes import EXIF_NAMES, GPS_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, MAKER_NAMES, ORIENTATIONS, lookup, pick
+from ..functions.codes import EXIF_NAMES, GPS_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, MAKER_ARRAYS, MAKER_NAMES, ORIENTATIONS, lookup, pick
 from ..functions.text import exif_time, exposure_bias, ratio, rotation, special_mode
 from .pick import body_, built, n_, place_, at, by_file, first, head, last, words
 
@@ -43,11 +43,16 @@ def exif(e: DataFrame) -> DataFrame:
     return mine.select("path", "n", where.alias("directory"), F.col("id").alias("tag"), F.coalesce(name, F.concat(F.lit("Tag 0x"), "id")).alias("name"), shown.alias("value"), body_().alias("data"))
 
 
-def maker_notes(e: DataFrame) -> DataFrame:
-    """(path, make, tag, name, value) of makers' notes: entries are named by the make that the file's first directory has."""
+def _made_notes(e: DataFrame) -> DataFrame:
+    """Entries of makers' notes with the make that the file's first directory has."""
     x = exif(e)
     makes = x.where("directory = 'Image' and tag = '010F'").select("path", F.upper(F.regexp_extract("value", "^[A-Za-z]+", 0)).alias("make"))
-    notes = x.where("directory = 'MakerNote'").join(makes, "path")
+    return x.where("directory = 'MakerNote'").join(makes, "path")
+
+
+def maker_notes(e: DataFrame) -> DataFrame:
+    """(path, make, tag, name, value) of makers' notes: entries are named by the make that the file's first directory has."""
+    notes = _made_notes(e)
     tag = F.conv("tag", 16, 10).cast("int")
     name = F.lit(None).cast("string")
     for make, names in MAKER_NAMES.items():
@@ -62,6 +67,32 @@ def maker_notes(e: DataFrame) -> DataFrame:
     return notes.select("path", "n", "make", "tag", F.coalesce(name, F.concat(F.lit("Tag 0x"), "tag")).alias("name"), value.alias("value"))
 
 
+def array_names(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(make, tag, position, name) and (make, tag, position, code, meaning): what makers' arrays hold; rows of one's own can be added to both."""
+    names = [(make, f"{tag:04X}", place, name) for (make, tag), places in MAKER_ARRAYS.items() for place, (name, _) in places.items()]
+    codes = [(make, f"{tag:04X}", place, code, text) for (make, tag), places in MAKER_ARRAYS.items() for place, (_, values) in places.items() for code, text in values.items()]
+    return spark.createDataFrame(names, "make string, tag string, position int, name string"), spark.createDataFrame(codes, "make string, tag string, position int, code int, meaning string")
+
+
+def maker_arrays(e: DataFrame, names: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """(path, make, tag, position, name, number, value): the 16-bit numbers of makers' arrays, each a row, position 0 (the length) left out.
+
+    A position without a name has none, and its number is its value; a number without a meaning, where its position has some, is Unknown.
+    The names and meanings are relations (``array_names``), joined on make, tag and position: small, so broadcast under Spark's threshold.
+    """
+    known = array_names(e.sparkSession)
+    names, codes = names if names is not None else known[0], codes if codes is not None else known[1]
+    arrays = _made_notes(e).join(names.select("make", "tag").distinct(), ["make", "tag"], "left_semi")
+    many = (F.length("data") / 2).cast("int")
+    numbers = F.transform(F.sequence(F.lit(1), many - 1), lambda k: F.struct(k.alias("position"), be(F.col("data"), k * 2, 2).cast("int").alias("number")))
+    each = arrays.where(many > 1).select("path", "make", "tag", F.explode(numbers).alias("x")).select("path", "make", "tag", "x.*")
+    coded = codes.select("make", "tag", "position").distinct().withColumn("coded", F.lit(True))
+    key = ["make", "tag", "position"]
+    found = each.join(names, key, "left").join(coded, key, "left").join(codes.withColumnRenamed("code", "number"), [*key, "number"], "left")
+    value = F.coalesce("meaning", F.when(F.col("coded"), "Unknown"), F.col("number").cast("string"))
+    return found.select("path", *key, "name", "number", value.alias("value"))
+
+
 def iptc(e: DataFrame) -> DataFrame:
     """(path, n, name, value): IPTC datasets of record 2, empty ones left out."""
     dataset = F.split("id", ":")
