@@ -32,11 +32,21 @@ def bins_fields(content: Column) -> Column:
     return F.when(root_element(content).isin("image", "album"), F.map_from_entries(one))
 
 
+def image_sidecars(files: DataFrame, *more: str) -> DataFrame:
+    """(image_path, fields) of ``<image>.xml`` files, and ``more`` of their columns."""
+    return files.where(F.lower("path").endswith(".xml")).select(F.regexp_replace("path", r"(?i)\.xml$", "").alias("image_path"), bins_fields(F.col("content")).alias("fields"), *more)
+
+
+def overridden(images: DataFrame, joined: DataFrame) -> DataFrame:
+    """Images with the values that their sidecars' ``fields`` have; all of these are in ``sidecar``."""
+    mine = [F.coalesce(F.col("fields")[c], images[c]).alias(c) if t == "string" and c != "path" else images[c] for c, t in images.dtypes]
+    return joined.select(*mine, F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("sidecar"))
+
+
 def with_image_sidecars(images: DataFrame, files: DataFrame) -> DataFrame:
     """Attributes of ``<image>.xml`` beside an image, which override its own; images without one stay as they are."""
-    side = files.where(F.lower("path").endswith(".xml")).select(F.regexp_replace("path", r"(?i)\.xml$", "").alias("image_path"), bins_fields(F.col("content")).alias("fields"))
-    j = images.join(side, images["path"] == side["image_path"], "left")
-    return j.select(*[F.coalesce(F.col("fields")[c], F.col(c)).alias(c) if t == "string" and c != "path" else F.col(c) for c, t in images.dtypes], F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("sidecar"))
+    side = image_sidecars(files)
+    return overridden(images, images.join(side, images["path"] == side["image_path"], "left"))
 
 
 def subtitle_sidecars(videos: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.documents import image_sidecars, overridden
 from ..operators.walk import SCHEMA, elements
 from ..shared import shared_path
 from ..sources.files import BINARY_FILE
@@ -41,3 +42,23 @@ def decode_stream(spark: SparkSession, files: DataFrame) -> DataFrame:
 def arrivals(files: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(window, parser, n, bytes) of a stream of files by their modification time; later arrivals than ``late`` are left out."""
     return route(files).withWatermark("modificationTime", late).groupBy(F.window("modificationTime", window), "parser").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+def with_late_sidecars(images: DataFrame, files: DataFrame, within: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """A stream of images (path, modificationTime and attributes) joined with a stream of files among which their sidecars are.
+
+    An image and its ``<image>.xml`` may come in any order and in different batches, if their times are at most ``within`` apart. The image's row
+    comes once: with the sidecar's values as soon as both are there, else unchanged when the watermark (``late`` behind the latest times of both
+    streams) says that none can come any more. State is kept until then: an image's attributes and a sidecar's fields, not their contents.
+    """
+    images = images.withWatermark("modificationTime", late)
+    side = image_sidecars(files.withColumn("side_time", F.col("modificationTime")), "side_time").withWatermark("side_time", late)
+    apart = F.expr(f"INTERVAL {within}")
+    near = (side["side_time"] >= images["modificationTime"] - apart) & (side["side_time"] <= images["modificationTime"] + apart)
+    return overridden(images, images.join(side, (images["path"] == side["image_path"]) & near, "leftOuter"))
+
+
+def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """All that a stream gives until what is there has been read, as a table; run again with the same folders, it goes on from there."""
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
