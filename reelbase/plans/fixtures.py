@@ -101,6 +101,24 @@ def jpeg_maker(p: DataFrame) -> DataFrame:
     return files(p, "p_partkey", "jpg", join(b"\xff\xd8", segment(0xE1, join(b"Exif\0\0", exif)), b"\xff\xda"))
 
 
+def jpeg_canon(p: DataFrame) -> DataFrame:
+    """Canon's notes: two arrays of 16-bit numbers, some of which follow the key."""
+    key = C("p_partkey")
+
+    def array(n: int, values: dict[int, Column]) -> Column:
+        return all_of(to_be(2 * n, 2), *[to_be(values.get(k, F.lit(0)), 2) for k in range(1, n)])
+
+    level = F.when(key % 3 == 0, 0xFFFF).otherwise(key % 3 - 1)
+    bias = F.when(key % 3 == 0, 0xFFE0).when(key % 3 == 1, 0).otherwise(0x0C)
+    settings = array(33, {1: key % 3, 2: C("p_size"), 4: key % 7, 6: key % 5, 13: level, 17: key % 4 + 3, 29: F.lit(14), 32: key % 2})
+    shot = array(20, {7: key % 7, 9: C("p_size"), 15: bias})
+    note = ifd([(0x1, 3, F.lit(33), to_be(300, 4)), (0x4, 3, F.lit(20), to_be(366, 4)), (0x8, 4, F.lit(1), to_be(key, 4))])
+    pad = lambda b, n: F.substring(F.concat(b, zeros(n)), 1, n)
+    head = join(b"MM\0*", to_be(8, 4), ifd([(0x10F, 2, F.lit(6), to_be(60, 4)), (0x8769, 4, F.lit(1), to_be(90, 4))]))
+    exif = all_of(pad(head, 60), pad(join(b"Canon"), 30), pad(ifd([(0x927C, 7, F.lit(100), to_be(120, 4))]), 30), pad(note, 180), settings, shot)
+    return files(p, "p_partkey", "jpg", join(b"\xff\xd8", segment(0xE1, join(b"Exif\0\0", exif)), b"\xff\xda"))
+
+
 def jpeg_iptc(c: DataFrame) -> DataFrame:
     dataset = lambda n, x: join(bytes([0x1C, 2, n]), lv(raw(x), 2))
     block = all_of(dataset(105, C("c_name")), dataset(90, C("c_mktsegment")), dataset(25, F.lower("c_mktsegment")), dataset(25, C("c_nationkey").cast("string")), dataset(80, F.lit("")))

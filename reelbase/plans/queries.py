@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.binary import join, le, let, starts, to_le, to_syncsafe, zeros
 from ..functions.codes import GENRES, codec_table, languages
+from ..functions.table_functions import table_functions
 from ..operators import audio, discs as D, documents, id3, id3_edit, image, relations as R, video
 from ..operators.pick import at, by_file, by_part, head, numbered
 from ..operators.walk import Grammar, elements
+from ..shared import shared_path
+from ..sources.media_files import media_source
 from ..sources.registry import Parser, parser_by_suffix, route, suffix
-from ..streaming.ingest import decode_stream
+from ..streaming.ingest import decode_stream, run_to_end, with_late_sidecars
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +113,28 @@ def maker_notes(spark, d):
     return image.maker_notes(once(X.jpeg_maker(X.table(spark, d, "part")))).select(key("p_partkey"), "name", "value")
 
 
+@query(
+    "maker_arrays",
+    """WITH k AS (SELECT p_partkey, p_partkey AS k, p_size AS s FROM part)
+    SELECT p_partkey, 1 AS position, 'Macromode' AS name, CASE k % 3 WHEN 1 THEN 'Macro' WHEN 2 THEN 'Normal' ELSE 'Unknown' END AS value FROM k
+    UNION ALL SELECT p_partkey, 2, 'SelfTimer', CAST(s AS VARCHAR) FROM k
+    UNION ALL SELECT p_partkey, 4, 'FlashMode', list_extract(['Flash Not Fired', 'Auto', 'On', 'Red-Eye Reduction', 'Slow Synchro', 'Auto + Red-Eye Reduction', 'On + Red-Eye Reduction'], CAST(k % 7 + 1 AS INT)) FROM k
+    UNION ALL SELECT p_partkey, 6, NULL, CAST(k % 5 AS VARCHAR) FROM k
+    UNION ALL SELECT p_partkey, 13, 'Contrast', list_extract(['Low', 'Normal', 'High'], CAST(k % 3 + 1 AS INT)) FROM k
+    UNION ALL SELECT p_partkey, 17, 'MeteringMode', list_extract(['Evaluative', 'Partial', 'Center-weighted', 'Unknown'], CAST(k % 4 + 1 AS INT)) FROM k
+    UNION ALL SELECT p_partkey, 29, 'FlashDetails', 'External E-TTL' FROM k
+    UNION ALL SELECT p_partkey, 32, 'FocusMode', list_extract(['Single', 'Continuous'], CAST(k % 2 + 1 AS INT)) FROM k
+    UNION ALL SELECT p_partkey, 107, 'WhiteBalance', list_extract(['Auto', 'Sunny', 'Cloudy', 'Tungsten', 'Fluorescent', 'Flash', 'Custom'], CAST(k % 7 + 1 AS INT)) FROM k
+    UNION ALL SELECT p_partkey, 109, 'SequenceNumber', CAST(s AS VARCHAR) FROM k
+    UNION ALL SELECT p_partkey, 115, 'FlashBias', list_extract(['-1 EV', '0 EV', '0.33 EV'], CAST(k % 3 + 1 AS INT)) FROM k""",
+)
+def maker_arrays(spark, d):
+    """Positions of Canon's arrays with their names and meanings; those of the second one counted from 100."""
+    a = image.maker_arrays(once(X.jpeg_canon(X.table(spark, d, "part"))))
+    a = a.withColumn("position", C("position") + F.when(C("tag") == "0004", 100).otherwise(0)).where(C("position").isin(1, 2, 4, 6, 13, 17, 29, 32, 107, 109, 115))
+    return a.select(key("p_partkey"), "position", "name", "value")
+
+
 # --------------------------------------------------------------------------- audio
 RATE = "list_extract([8000, 11025, 16000, 22050, 44100, 48000], CAST({} % 6 + 1 AS INT))"
 
@@ -724,6 +749,45 @@ def incremental_ingest(spark, d):
     return image.gif(decode_stream(spark, X.gif(arriving))).select(key("p_partkey"), "width", "height")
 
 
+@query(
+    "late_sidecars",
+    """WITH i AS (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 1000) AS t FROM orders),
+    s AS (SELECT o_orderkey, t + to_days(CASE o_orderkey % 3 WHEN 0 THEN 1 ELSE 9 END) AS t FROM i WHERE o_orderkey % 3 < 2),
+    w AS (SELECT least((SELECT max(t) FROM i), (SELECT max(t) FROM s)) - to_days(1) AS w)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'S' || o_orderkey ELSE o_orderpriority END AS title FROM orders JOIN i USING (o_orderkey), w WHERE o_orderkey % 3 = 0 OR t + to_days(3) < w""",
+)
+def late_sidecars(spark, d):
+    """Images and their sidecars as two streams: of three sidecars one comes in time, one too late and one never. Images that may still get one are not given yet."""
+    o = X.table(spark, d, "orders")
+    arriving = lambda: spark.readStream.schema(o.schema).parquet(f"{d}/orders.parquet*").withColumn("modificationTime", F.timestamp_seconds(F.unix_timestamp("o_orderdate") + C("o_orderkey") % 1000))
+    path = F.concat(F.lit("o/"), C("o_orderkey").cast("string"), F.lit(".gif"))
+    images = arriving().select(path.alias("path"), "modificationTime", C("o_orderpriority").alias("title"))
+    text = F.concat(F.lit('<image><field name="title">S'), C("o_orderkey").cast("string"), F.lit("</field></image>"))
+    days = F.when(C("o_orderkey") % 3 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 9 DAYS"))
+    sides = arriving().where("o_orderkey % 3 < 2").select(F.concat(path, F.lit(".xml")).alias("path"), (C("modificationTime") + days).alias("modificationTime"), F.encode(text, "UTF-8").alias("content"))
+    paired = run_to_end(with_late_sidecars(images, sides, "3 days", "1 day"), shared_path(spark, "paired"), shared_path(spark, "pairing"))
+    return paired.select(key("o_orderkey"), "title")
+
+
+@query("source_files", f"SELECT p_partkey, 'audio/wav' AS mime, CAST(r AS DOUBLE) AS samplerate, p_size * 4 / (r * 4.0) AS length, 'ok' AS status FROM (SELECT *, {RATE.format('p_partkey')} AS r FROM part) WHERE p_size <= 25")
+def source_files(spark, d):
+    """Files written by the data source, then read through it in SQL: of all that were written, the filter leaves WAV files of up to 156 bytes."""
+    p, folder = X.table(spark, d, "part"), shared_path(spark, "files")
+    media_source(spark)
+    X.wav(p).unionByName(X.gif(p)).write.format("reel_files").mode("append").save(folder)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW source_files USING reel_files OPTIONS (path '{folder}')")
+    files = spark.sql("SELECT path, length, head FROM source_files WHERE suffix = 'wav' AND length <= 156")
+    return R.media(once(files), ("riff",)).select(key("p_partkey"), "mime", "samplerate", "length", "status")
+
+
+@query("id3_lateral", "SELECT c_custkey, 'TIT2' AS frameid, CAST(NULL AS VARCHAR) AS description, c_name AS said FROM customer UNION ALL SELECT c_custkey, 'TPE1', NULL, c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'TXXX', 'balance', CAST(c_custkey AS VARCHAR) FROM customer")
+def id3_lateral(spark, d):
+    """Frames by a table function beside the files' contents, in SQL."""
+    X.mp3(X.table(spark, d, "customer"), 3).createOrReplaceTempView("mp3_files")
+    found = table_functions(spark).sql("SELECT path, f.frameid, f.description, array_join(f.texts, '') AS said FROM mp3_files, LATERAL id3_frames(content) AS f WHERE f.frameid IN ('TIT2', 'TPE1', 'TXXX')")
+    return found.select(key("c_custkey"), "frameid", "description", "said")
+
+
 # --------------------------------------------------------------------------- a format of one's own
 #: Chunks with two bytes of id, then a flag and three bytes of size that count the head of six; each fills a multiple of four bytes.
 OWN_GRAMMAR = Grammar(start=8, head=6, id_at=0, id_size=2, size_at=3, size_bytes=3, order="little", counted=6, align=4, inner=(("IN", 0), ("TR", 2)), skip=("XX",))
