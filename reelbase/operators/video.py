@@ -256,20 +256,35 @@ def asf_value(kind: Column, b: Column) -> Column:
 
 
 def asf_tracks(e: DataFrame) -> DataFrame:
-    """Streams, joined with the properties and languages that refer to them by number, in whatever order they stand."""
+    """Streams with the properties and languages that refer to them by number, in whatever order they stand.
+
+    A file has at most 127 streams: they, the properties and the languages are gathered by one aggregate on the path and matched as arrays, so the
+    elements are shuffled once, decoded, and no join or window follows.
+    """
     b = F.col("body")
     kind = F.lower(F.hex(part(b, 0, 16)))
-    s = e.where((F.col("id") == STREAM) & (F.col("parser") == "asf")).select(
-        "path", F.col("n").alias("part"), F.when(kind == VIDEO, "video").when(kind == AUDIO, "audio").alias("kind"), le(b, 48, 2).bitwiseAND(0x7F).alias("stream"), (F.shiftright(le(b, 48, 2), 15) == 1).alias("encrypted"),
-        F.when(kind == VIDEO, le(b, 54, 4)).alias("w_"), F.when(kind == VIDEO, le(b, 65 + 4, 4)).cast("int").alias("width"), F.when(kind == VIDEO, le(b, 73, 4)).cast("int").alias("height"),
-        F.when(kind == VIDEO, F.decode(part(b, 81, 4), "ISO-8859-1")).when(kind == AUDIO, F.concat(F.lit("0x"), F.lower(F.hex(le(b, 54, 2))))).alias("codec_raw"),
-        F.when(kind == AUDIO, le(b, 56, 2)).cast("int").alias("channels"), F.when(kind == AUDIO, le(b, 58, 4)).cast("double").alias("samplerate"), F.when(kind == AUDIO, le(b, 62, 4) * 8).cast("double").alias("own_rate"), F.when(kind == AUDIO, le(b, 68, 2)).cast("int").alias("samplebits"),
-    ).drop("w_").where(F.col("kind").isNotNull())
-    x = e.where((F.col("id") == EXTENDED) & (F.col("parser") == "asf")).groupBy("path", le(b, 48, 2).alias("stream")).agg(F.max_by(F.struct(le(b, 16, 4).alias("rate"), le(b, 50, 2).alias("lang"), le64(b, 52).alias("time")), n_()).alias("x"))
-    lang = e.where(place_().endswith(f"{LANGUAGES}/language")).select("path", F.col("at").alias("lang"), body_().cast("string").alias("language_raw"))
-    j = s.join(x, ["path", "stream"], "left").withColumn("lang", F.col("x.lang")).join(lang, ["path", "lang"], "left")
+    is_video, is_audio = kind == VIDEO, kind == AUDIO
+    stream = F.struct(
+        n_().alias("part"), F.when(is_video, "video").otherwise("audio").alias("kind"), le(b, 48, 2).bitwiseAND(0x7F).alias("stream"), (F.shiftright(le(b, 48, 2), 15) == 1).alias("encrypted"),
+        F.when(is_video, le(b, 69, 4)).cast("int").alias("width"), F.when(is_video, le(b, 73, 4)).cast("int").alias("height"),
+        F.when(is_video, F.decode(part(b, 81, 4), "ISO-8859-1")).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(le(b, 54, 2))))).alias("codec_raw"),
+        F.when(is_audio, le(b, 56, 2)).cast("int").alias("channels"), F.when(is_audio, le(b, 58, 4)).cast("double").alias("samplerate"), F.when(is_audio, le(b, 62, 4) * 8).cast("double").alias("own_rate"), F.when(is_audio, le(b, 68, 2)).cast("int").alias("samplebits"),
+    )
+    extended = F.struct(n_(), le(b, 48, 2).alias("stream"), le(b, 16, 4).alias("rate"), le(b, 50, 2).alias("lang"), le64(b, 52).alias("time"))
+    spoken = place_().endswith(f"{LANGUAGES}/language")
+    mine = e.where((F.col("parser") == "asf") & (F.col("id").isin(STREAM, EXTENDED) | spoken))
+    files = mine.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.when((F.col("id") == STREAM) & (is_video | is_audio), stream))).alias("s"), F.collect_list(F.when(F.col("id") == EXTENDED, extended)).alias("x"),
+        F.collect_list(F.when(spoken, F.struct(F.col("at").alias("lang"), b.cast("string").alias("name")))).alias("l"),
+    )
+    each = files.select("path", "s", "x", "l", F.posexplode("s").alias("k", "t"))
+    # of repeated properties the last counts, which is the largest by its number
+    each = each.withColumn("x", F.array_max(F.filter("x", lambda y: y["stream"] == F.col("t.stream"))))
+    language = F.get(F.filter("l", lambda y: y["lang"] == F.col("x.lang")), F.lit(0))["name"]
+    ordinal = F.size(F.filter(F.slice("s", F.lit(1), F.col("k")), lambda y: y["kind"] == F.col("t.kind")))
     time = F.when(F.col("x.time") == 0, 10_000).otherwise(F.col("x.time"))
-    return numbered(j.select("path", "part", "kind", F.col("stream").cast("string").alias("id"), "encrypted", "width", "height", "codec_raw", "channels", "samplerate", "samplebits", F.coalesce(F.col("x.rate").cast("double"), "own_rate").alias("bitrate"), (1e7 / time).alias("fps"), "language_raw"))
+    same = [F.col(f"t.{c}") for c in ("encrypted", "width", "height", "codec_raw", "channels", "samplerate", "samplebits")]
+    return each.select("path", "t.part", "t.kind", F.col("t.stream").cast("string").alias("id"), *same, F.coalesce(F.col("x.rate").cast("double"), F.col("t.own_rate")).alias("bitrate"), (1e7 / time).alias("fps"), language.alias("language_raw"), ordinal.alias("ordinal"))
 
 
 def asf_tables(e: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def media(files: DataFrame, *kinds: str) -> DataFrame:
 
 
 def tracks(files: DataFrame, *kinds: str) -> DataFrame:
-    return R.tracks((once if any(len(video.TRACKS[k]) > 1 or k in ("asf", "riff", "mpeg", "ogm") for k in kinds) else split)(files), kinds)
+    return R.tracks((once if any(len(video.TRACKS[k]) > 1 or k in ("riff", "mpeg", "ogm") for k in kinds) else split)(files), kinds)
 
 
 # --------------------------------------------------------------------------- images
