@@ -89,13 +89,35 @@ IPTC_ATTRIBUTES = {
 
 # TIFF and EXIF tags.
 EXIF_NAMES = {
-    0x0100: "ImageWidth", 0x0101: "ImageLength", 0x0102: "BitsPerSample", 0x0103: "Compression", 0x0106: "PhotometricInterpretation", 0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0111: "StripOffsets",
-    0x0112: "Orientation", 0x0115: "SamplesPerPixel", 0x0116: "RowsPerStrip", 0x0117: "StripByteCounts", 0x011A: "XResolution", 0x011B: "YResolution", 0x0128: "ResolutionUnit", 0x0131: "Software", 0x0132: "DateTime",
-    0x013B: "Artist", 0x013E: "WhitePoint", 0x013F: "PrimaryChromaticities", 0x0201: "JPEGInterchangeFormat", 0x0202: "JPEGInterchangeFormatLength", 0x0213: "YCbCrPositioning", 0x8298: "Copyright", 0x829A: "ExposureTime",
-    0x829D: "FNumber", 0x8769: "ExifOffset", 0x8822: "ExposureProgram", 0x8825: "GPSInfo", 0x8827: "ISOSpeedRatings", 0x9000: "ExifVersion", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized", 0x9201: "ShutterSpeedValue",
-    0x9202: "ApertureValue", 0x9203: "BrightnessValue", 0x9204: "ExposureBiasValue", 0x9205: "MaxApertureValue", 0x9206: "SubjectDistance", 0x9207: "MeteringMode", 0x9208: "LightSource", 0x9209: "Flash", 0x920A: "FocalLength",
-    0x927C: "MakerNote", 0x9286: "UserComment", 0xA000: "FlashPixVersion", 0xA001: "ColorSpace", 0xA002: "ExifImageWidth", 0xA003: "ExifImageLength", 0xA005: "InteroperabilityOffset", 0xA20E: "FocalPlaneXResolution",
-    0xA20F: "FocalPlaneYResolution", 0xA217: "SensingMethod", 0xA300: "FileSource", 0xA301: "SceneType", 0xA402: "ExposureMode", 0xA403: "WhiteBalance", 0xA404: "DigitalZoomRatio", 0xA405: "FocalLengthIn35mmFilm", 0xA406: "SceneCaptureType",
+    0x0100: "ImageWidth", 0x0101: "ImageLength", 0x0102: "BitsPerSample", 0x0103: "Compression", 0x0106: "PhotometricInterpretation", 0x010A: "FillOrder", 0x010D: "DocumentName", 0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model",
+    0x0111: "StripOffsets", 0x0112: "Orientation", 0x0115: "SamplesPerPixel", 0x0116: "RowsPerStrip", 0x0117: "StripByteCounts", 0x011A: "XResolution", 0x011B: "YResolution", 0x011C: "PlanarConfiguration", 0x0128: "ResolutionUnit",
+    0x012D: "TransferFunction", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x013E: "WhitePoint", 0x013F: "PrimaryChromaticities", 0x0156: "TransferRange", 0x0200: "JPEGProc", 0x0201: "JPEGInterchangeFormat",
+    0x0202: "JPEGInterchangeFormatLength", 0x0211: "YCbCrCoefficients", 0x0212: "YCbCrSubSampling", 0x0213: "YCbCrPositioning", 0x0214: "ReferenceBlackWhite", 0x828D: "CFARepeatPatternDim", 0x828E: "CFAPattern", 0x828F: "BatteryLevel",
+    0x8298: "Copyright", 0x829A: "ExposureTime", 0x829D: "FNumber", 0x83BB: "IPTC/NAA", 0x8769: "ExifOffset", 0x8773: "InterColorProfile", 0x8822: "ExposureProgram", 0x8824: "SpectralSensitivity", 0x8825: "GPSInfo", 0x8827: "ISOSpeedRatings",
+    0x8828: "OECF", 0x9000: "ExifVersion", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized", 0x9101: "ComponentsConfiguration", 0x9102: "CompressedBitsPerPixel", 0x9201: "ShutterSpeedValue", 0x9202: "ApertureValue",
+    0x9203: "BrightnessValue", 0x9204: "ExposureBiasValue", 0x9205: "MaxApertureValue", 0x9206: "SubjectDistance", 0x9207: "MeteringMode", 0x9208: "LightSource", 0x9209: "Flash", 0x920A: "FocalLength", 0x9214: "SubjectArea",
+    0x927C: "MakerNote", 0x9286: "UserComment", 0x9290: "SubSecTime", 0x9291: "SubSecTimeOriginal", 0x9292: "SubSecTimeDigitized", 0xA000: "FlashPixVersion", 0xA001: "ColorSpace", 0xA002: "ExifImageWidth", 0xA003: "ExifImageLength",
+    0xA005: "InteroperabilityOffset", 0xA20B: "FlashEnergy", 0xA20C: "SpatialFrequencyResponse", 0xA20E: "FocalPlaneXResolution", 0xA20F: "FocalPlaneYResolution", 0xA210: "FocalPlaneResolutionUnit", 0xA214: "SubjectLocation",
+    0xA215: "ExposureIndex", 0xA217: "SensingMethod", 0xA300: "FileSource", 0xA301: "SceneType", 0xA302: "CFAPattern", 0xA401: "CustomRendered", 0xA402: "ExposureMode", 0xA403: "WhiteBalance", 0xA404: "DigitalZoomRatio",
+    0xA405: "FocalLengthIn35mmFilm", 0xA406: "SceneCaptureType", 0xA407: "GainControl", 0xA408: "Contrast", 0xA409: "Saturation", 0xA40A: "Sharpness", 0xA40C: "SubjectDistanceRange",
+}
+# Tags of the directory of interoperability.
+INTEROP_NAMES = {0x0001: "InteroperabilityIndex", 0x0002: "InteroperabilityVersion", 0x1000: "RelatedImageFileFormat", 0x1001: "RelatedImageWidth", 0x1002: "RelatedImageLength"}
+# What the numbers of TIFF and EXIF entries mean, by tag.
+EXIF_MEANINGS = {
+    0x0103: {1: "Uncompressed TIFF", 6: "JPEG Compressed"},
+    0x0128: {1: "Not Absolute", 2: "Pixels/Inch", 3: "Pixels/Centimeter"},
+    0x8822: {0: "Unidentified", 1: "Manual", 2: "Program Normal", 3: "Aperture Priority", 4: "Shutter Priority", 5: "Program Creative", 6: "Program Action", 7: "Portrait Mode", 8: "Landscape Mode"},
+    0x9101: {0: "", 1: "Y", 2: "Cb", 3: "Cr", 4: "Red", 5: "Green", 6: "Blue"},
+    0x9207: {0: "Unidentified", 1: "Average", 2: "CenterWeightedAverage", 3: "Spot", 4: "MultiSpot"},
+    0x9208: {0: "Unknown", 1: "Daylight", 2: "Fluorescent", 3: "Tungsten", 10: "Flash", 17: "Standard Light A", 18: "Standard Light B", 19: "Standard Light C", 20: "D55", 21: "D65", 22: "D75", 255: "Other"},
+    0x9209: {
+        0: "No", 1: "Fired", 5: "Fired (?)", 7: "Fired (!)", 9: "Fill Fired", 13: "Fill Fired (?)", 15: "Fill Fired (!)", 16: "Off", 24: "Auto Off", 25: "Auto Fired", 29: "Auto Fired (?)", 31: "Auto Fired (!)", 32: "Not Available",
+    },
+    0xA300: {3: "Digital Camera"},
+    0xA301: {1: "Directly Photographed"},
+    0xA402: {0: "Auto Exposure", 1: "Manual Exposure", 2: "Auto Bracket"},
+    0xA403: {0: "Auto", 1: "Manual"},
 }
 GPS_NAMES = dict(enumerate(
     "GPSVersionID GPSLatitudeRef GPSLatitude GPSLongitudeRef GPSLongitude GPSAltitudeRef GPSAltitude GPSTimeStamp GPSSatellites GPSStatus GPSMeasureMode GPSDOP GPSSpeedRef GPSSpeed GPSTrackRef GPSTrack GPSImgDirectionRef "
@@ -181,19 +203,31 @@ def pick(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.when(index >= 0, index).cast("int"))
 
 
-def languages(spark: SparkSession) -> DataFrame:
-    """(code, language): two- and three-letter codes, from the Java runtime's locale registry."""
+def languages(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(code, language): two- and three-letter codes, from the Java runtime's locale registry. ``more`` has rows that go before it."""
     locale = spark.sparkContext._jvm.java.util.Locale
     english, rows = locale.ENGLISH, dict(SPECIAL)
     for two in locale.getISOLanguages():
         one = locale.forLanguageTag(two)
         rows[two] = rows[one.getISO3Language()] = one.getDisplayLanguage(english)
     rows |= {b: rows[two] for b, two in BIBLIOGRAPHIC.items()}
-    return spark.createDataFrame(sorted(rows.items()), "code string, language string")
+    own = spark.createDataFrame(sorted(rows.items()), "code string, language string")
+    return own if more is None else _first(more.select(F.lower("code").alias("code"), "language"), own, "language")
 
 
 def codec_table(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """(code, codec): hexadecimal tags as 0x.. and upper-case four-character codes."""
+    """(code, codec): hexadecimal tags as 0x.. and upper-case four-character codes. ``more`` has rows that go before the built-in ones."""
     rows = [(hex(k), v) for k, v in TWOCC.items()] + list(FOURCC.items())
     own = spark.createDataFrame(rows, "code string, codec string")
-    return own if more is None else more.select(F.upper("code").alias("code"), "codec").unionByName(own).dropDuplicates(["code"])
+    return own if more is None else _first(more.select(codec_key(F.col("code")).alias("code"), "codec"), own, "codec")
+
+
+def codec_key(code: Column) -> Column:
+    """A code as registries' rows are found by: tags as 0x.. without leading zeros, all else in upper case."""
+    return F.when(code.rlike("^0[xX][0-9a-fA-F]{1,8}$"), F.concat(F.lit("0x"), F.lower(F.hex(F.conv(F.substring(code, 3, 8), 16, 10).cast("long"))))).otherwise(F.upper(code))
+
+
+def _first(more: DataFrame, own: DataFrame, value: str) -> DataFrame:
+    """One row a code: the smallest of ``more``'s values, else the own one."""
+    both = more.select("code", F.lit(0).alias("r__"), value).unionByName(own.select("code", F.lit(1).alias("r__"), value))
+    return both.where(F.col("code").isNotNull() & F.col(value).isNotNull()).groupBy("code").agg(F.min(F.struct("r__", value))[value].alias(value))

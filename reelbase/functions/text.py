@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binary import let
-from .codes import FOURCC, GENRES, PANORAMA, SPECIAL_MODES, TWOCC, lookup, pick
+from .codes import FOURCC, GENRES, PANORAMA, SPECIAL_MODES, TWOCC, codec_key, lookup, pick
 
 SERIES = r"^(.+?)[\. _-]+[sS]?([0-9]|[0-9][0-9])[xeE]([0-9]|[0-9][0-9])[\. _-]+(.+)$"
 
@@ -51,14 +51,25 @@ def resolve_codec(code: Column) -> Column:
     )
 
 
-def resolve_codec_by(df: DataFrame, code_col: str, codecs: DataFrame) -> DataFrame:
-    """Add fourcc and codec as ``resolve_codec`` does, and for four-character codes that it doesn't know as the table (code, codec) has them.
+def with_codec(df: DataFrame, code_col: str, codecs: DataFrame | None = None) -> DataFrame:
+    """Add fourcc and codec as ``resolve_codec`` does, and for codes that it doesn't know as the table (code, codec) has them.
 
-    A registry has some hundreds of rows; it is broadcast if its size is below Spark's threshold.
+    A registry has some hundreds of rows; it is broadcast if its size is below Spark's threshold. Of a code's rows the smallest name counts.
     """
-    names = codecs.select(F.upper("code").alias("c__code"), F.col("codec").alias("c__name"))
-    x = df.withColumn("c__", resolve_codec(F.col(code_col))).join(names, (F.length(code_col) == 4) & (F.upper(code_col) == F.col("c__code")), "left")
-    return x.withColumns({"fourcc": F.coalesce("c__.fourcc", "c__code"), "codec": F.when(F.col("c__.fourcc").isNotNull(), F.col("c__.codec")).otherwise(F.coalesce("c__name", "c__.codec"))}).drop("c__", "c__code", "c__name", code_col)
+    x = df.withColumn("c__", resolve_codec(F.col(code_col)))
+    if codecs is None:
+        return x.withColumns({"fourcc": F.col("c__.fourcc"), "codec": F.col("c__.codec")}).drop("c__")
+    names = codecs.groupBy(codec_key(F.col("code")).alias("c__code")).agg(F.min("codec").alias("c__name"))
+    own = F.coalesce(F.col("c__.fourcc"), F.when(F.length(code_col) == 4, F.col(code_col)))
+    x = x.withColumn("c__key", F.when(F.col("c__.codec") == "Unknown", codec_key(own)).otherwise(F.when(F.col("c__.fourcc").isNull() & (F.length(code_col) == 4), codec_key(own))))
+    x = x.join(names, F.col("c__key") == F.col("c__code"), "left")
+    fourcc = F.coalesce("c__.fourcc", F.when(F.col("c__name").isNotNull(), F.col("c__key")))
+    return x.withColumns({"fourcc": fourcc, "codec": F.coalesce("c__name", "c__.codec")}).drop("c__", "c__key", "c__code", "c__name")
+
+
+def resolve_codec_by(df: DataFrame, code_col: str, codecs: DataFrame) -> DataFrame:
+    """``with_codec`` with fourcc and codec in place of the code."""
+    return with_codec(df, code_col, codecs).drop(code_col)
 
 
 def genre(value: Column) -> Column:
@@ -68,11 +79,14 @@ def genre(value: Column) -> Column:
     return F.when(number.isNotNull(), F.coalesce(pick(GENRES, number), F.lit("Unknown"))).otherwise(value)
 
 
-def series(name: Column) -> Column:
-    """struct<series, season, episode, title> of a file name without suffix, null without exactly one match."""
-    again = F.regexp_extract(name, SERIES, 4).rlike(SERIES)
-    parts = F.struct(*[F.regexp_extract(name, SERIES, i).alias(k) if i in (1, 4) else F.regexp_extract(name, SERIES, i).try_cast("int").alias(k) for i, k in enumerate(("series", "season", "episode", "title"), 1)])
-    return F.when(name.rlike(SERIES) & ~again, parts)
+def series(name: Column, pattern: str = SERIES) -> Column:
+    """struct<series, season, episode, title> of a file name without suffix, null without exactly one match.
+
+    A pattern of one's own has these four as its groups, in this order.
+    """
+    again = F.regexp_extract(name, pattern, 4).rlike(pattern)
+    parts = F.struct(*[F.regexp_extract(name, pattern, i).alias(k) if i in (1, 4) else F.regexp_extract(name, pattern, i).try_cast("int").alias(k) for i, k in enumerate(("series", "season", "episode", "title"), 1)])
+    return F.when(name.rlike(pattern) & ~again, parts)
 
 
 def bits_per_second(text: Column) -> Column:

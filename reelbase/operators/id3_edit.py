@@ -70,26 +70,82 @@ def tag_parts(files: DataFrame, e: DataFrame) -> DataFrame:
     return x.withColumn("frames", F.coalesce(frames, F.array().cast("array<struct<id:string,raw:binary>>"))).drop("head__", "list__", "data__")
 
 
-def changed(files: DataFrame, e: DataFrame, changes: dict[str, Column | None], padding: int = 128) -> DataFrame:
-    """Files with tags in which these frames (named as in 2.3 and 2.4) have these bodies; a null body removes a frame.
+def changed(files: DataFrame, e: DataFrame, changes: dict[str, Column | None], padding: int = 128, older: dict[str, Column | None] | None = None) -> DataFrame:
+    """Files with tags in which these frames (named as in 2.3 and 2.4) have these bodies; a null body, also that of single files, removes a frame.
 
-    ``e`` has the files' elements. All other frames keep their bytes and their order; a frame that is set takes the place behind them.
+    ``e`` has the files' elements. ``older`` has the changes to tags of 2.2 and 2.3 where they aren't the same. All other frames keep their bytes and their order; a frame that is set takes the place behind them.
     The tag keeps its version, files without one get a tag of version 2.4; its size and padding are worked out anew. An extended header and
     unsynchronisation of the whole tag, which later versions don't have, are left out.
     """
     x = tag_parts(files, e).withColumn("major", F.coalesce("major", F.lit(4)))
-    major, names = F.col("major"), [*changes, *[OLDER[n] for n in changes if n in OLDER]]
-    new = []
+    major, none = F.col("major"), F.lit(bytearray(b""))
+    named = [*changes, *(older or {})]
+    names, new = [*named, *[OLDER[n] for n in named if n in OLDER]], []
     for name, b in changes.items():
         if b is not None:
-            old = frame(OLDER[name], b, 2) if name in OLDER else F.lit(bytearray(b""))
-            new.append(F.when(major == 2, old).when(major == 3, frame(name, b, 3)).otherwise(frame(name, b, 4)))
+            new.append(F.when(major == 4, frame(name, b, 4)).otherwise(none))
+    for name, b in (changes if older is None else older).items():
+        if b is not None:
+            new.append(F.when(major == 3, frame(name, b, 3)).when(major == 2, frame(OLDER[name], b, 2) if name in OLDER else none).otherwise(none))
     kept = F.transform(F.filter("frames", lambda f: ~f["id"].isin(*names)), lambda f: f["raw"])
     data = F.aggregate(kept, F.lit(bytearray(b"")), lambda a, r: F.concat(a, r))
     tag = let(F.concat(data, *new, zeros(padding)), lambda b: join(b"ID3", to_be(major, 1), b"\0\0", to_syncsafe(F.length(b)), b))
     return x.withColumn("content", F.concat(tag, without_tag(F.col("content")))).drop("major", "frames")
 
 
+# Everyday names of frames that hold one text.
+FRIENDLY = {
+    "title": "TIT2", "artist": "TPE1", "album_artist": "TPE2", "album": "TALB", "composer": "TCOM", "genre": "TCON", "grouping": "TIT1", "sort_title": "TSOT", "sort_artist": "TSOP", "sort_album": "TSOA",
+}
+
+
+def renamed(files: DataFrame, e: DataFrame, values: dict[str, Column | None], padding: int = 128) -> DataFrame:
+    """``changed`` by everyday names (those of id3.friendly): texts of FRIENDLY, comment, date, track, track_total, disc and disc_total.
+
+    A null value removes what holds it. A date is text as in 2.4 (year, year-month-day, or that with Thour:minute); tags of 2.2 and 2.3 get it as
+    year, day and time. Of a number and its total the one that isn't named is taken away.
+    """
+    left = set(values) - {*FRIENDLY, "comment", "date", "track", "track_total", "disc", "disc_total"}
+    if left:
+        raise ValueError(f"no such names: {sorted(left)}")
+    body = lambda c: None if c is None else F.when(c.isNotNull(), join(b"\1\xff\xfe", F.encode(c, "UTF-16LE")))  # noqa: E731 - every version reads this encoding
+    changes = {FRIENDLY[k]: body(c) for k, c in values.items() if k in FRIENDLY}
+    for name, one, all_ in (("TRCK", "track", "track_total"), ("TPOS", "disc", "disc_total")):
+        if one in values or all_ in values:
+            n, of = (F.lit(None) if values.get(k) is None else values[k].cast("string") for k in (one, all_))
+            changes[name] = body(F.when(n.isNotNull() | of.isNotNull(), F.concat(F.coalesce(n, F.lit("0")), F.coalesce(F.concat(F.lit("/"), of), F.lit("")))))
+    if "comment" in values:
+        c = values["comment"]
+        changes["COMM"] = None if c is None else F.when(c.isNotNull(), join(b"\1eng\xff\xfe\0\0\xff\xfe", F.encode(c, "UTF-16LE")))
+    if "date" not in values:
+        return changed(files, e, changes, padding)
+    date = values["date"]
+    old = dict.fromkeys(("TYER", "TDAT", "TIME"))
+    if date is not None:
+        at = lambda pattern, *pieces: F.when(date.rlike(pattern), F.concat(*[F.substring(date, k, 2) for k in pieces]))
+        old = {"TYER": body(F.substring(date, 1, 4)), "TDAT": body(at("^[0-9]{4}-[0-9]{2}-[0-9]{2}", 9, 6)), "TIME": body(at("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}", 12, 15))}
+    return changed(files, e, changes | {"TDRC": body(date)}, padding, changes | old)
+
+
+# --------------------------------------------------------------------------- whole tags
+def dumped(files: DataFrame) -> DataFrame:
+    """(path, tag): each file's version 2 tag as it stands, byte for byte; null without one."""
+    c = F.col("content")
+    tag = part(c, 0, F.length(c) - F.length(without_tag(c)))
+    return files.select("path", F.when(F.length(tag) > 0, tag).alias("tag"))
+
+
+def loaded(files: DataFrame, dumps: DataFrame) -> DataFrame:
+    """Files with the tags of ``dumps`` (path, tag) in place of their own; a null or empty tag takes the tag away, files without a row stay.
+
+    Of a path's rows the largest tag counts. Only tags and keys are shuffled twice; the files' contents once.
+    """
+    one = dumps.groupBy("path").agg(F.max("tag").alias("tag__"))
+    x = files.join(one.withColumn("has__", F.lit(True)), "path", "left")
+    new = F.concat(F.coalesce("tag__", F.lit(bytearray(b""))), without_tag(F.col("content")))
+    return x.withColumn("content", F.when(F.col("has__"), new).otherwise(F.col("content"))).drop("tag__", "has__")
+
+
 # --------------------------------------------------------------------------- versions
 def converted(frames: DataFrame, to: str) -> DataFrame:
     """Frames (id3.frames) as they are named in version ``to`` (2.2, 2.3 or 2.4), with ``was`` and ``fate``.

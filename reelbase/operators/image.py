@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import be, le, let, part, starts, utf8_or_latin1
-from ..functions.codes import EXIF_NAMES, GPS_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, MAKER_ARRAYS, MAKER_NAMES, ORIENTATIONS, lookup, pick
+from ..functions.codes import EXIF_MEANINGS, EXIF_NAMES, GPS_NAMES, INTEROP_NAMES, IPTC_ATTRIBUTES, IPTC_NAMES, MAKER_ARRAYS, MAKER_NAMES, ORIENTATIONS, lookup, pick
 from ..functions.text import exif_time, exposure_bias, ratio, rotation, special_mode
 from .pick import body_, built, n_, place_, at, by_file, first, head, last, words
 
@@ -32,13 +32,26 @@ def exif_text(kind: Column, many: Column, b: Column) -> Column:
     return F.when(kind == 2, words(b)).when(kind == 7, F.substring_index(F.decode(b, "ISO-8859-1"), "\0", 1)).when(many == 1, number(kind, b, F.lit(0))).when(many > 1, F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")))
 
 
+def meanings(tag: Column, kind: Column, many: Column, b: Column) -> Column:
+    """What an entry's numbers mean, one behind the other, numbers without a meaning as they are; null for tags whose numbers mean nothing else."""
+    known = {f"{t}:{v}": text for t, values in EXIF_MEANINGS.items() for v, text in values.items()}
+    numbers = F.transform(F.sequence(F.lit(0), F.least(many, F.lit(1000)).cast("int") - 1), lambda k: number(kind, b, k))
+    named = F.transform(numbers, lambda v: F.coalesce(lookup(known, F.concat_ws(":", tag.cast("string"), v)), v))
+    return F.when(tag.isin(*EXIF_MEANINGS) & (kind != 2) & (many > 0) & (F.length(b) > 0), F.array_join(named, ""))
+
+
 def exif(e: DataFrame) -> DataFrame:
-    """(path, directory, tag, name, value, data): the entries of all EXIF directories; MakerNote entries have no names."""
+    """(path, directory, tag, name, value, data): the entries of all EXIF directories; MakerNote entries have no names.
+
+    Numbers that stand for something are named (meanings); a user comment is what follows its eight bytes of character set.
+    """
     where = F.regexp_extract("place", "(?:^|/)(Image|Thumbnail|EXIF|GPS|Interop|MakerNote)/[0-9A-F]{4}$", 1)
     tag = F.conv("id", 16, 10).cast("int")
-    name = F.when(where == "GPS", lookup(GPS_NAMES, tag)).when(where.isin("Image", "Thumbnail", "EXIF"), lookup(EXIF_NAMES, tag))
+    name = F.when(where == "GPS", lookup(GPS_NAMES, tag)).when(where.isin("Image", "Thumbnail", "EXIF"), lookup(EXIF_NAMES, tag)).when(where == "Interop", lookup(INTEROP_NAMES, tag))
     text = exif_text(F.col("at").cast("int"), F.col("size"), body_())
-    shown = F.when(name == "Orientation", pick(ORIENTATIONS, text.try_cast("int") - 1)).otherwise(text)
+    main, said = where.isin("Image", "Thumbnail", "EXIF"), F.trim(F.substring_index(F.decode(part(body_(), 8), "ISO-8859-1"), "\0", 1))
+    shown = F.when(name == "Orientation", pick(ORIENTATIONS, text.try_cast("int") - 1)).when(main & (tag == 0x9286), said)
+    shown = shown.otherwise(F.coalesce(F.when(main, meanings(tag, F.col("at").cast("int"), F.col("size"), body_())), text))
     mine = e.where(F.col("parser").isin("jpeg", "tiff") & (where != ""))
     return mine.select("path", "n", where.alias("directory"), F.col("id").alias("tag"), F.coalesce(name, F.concat(F.lit("Tag 0x"), "id")).alias("name"), shown.alias("value"), body_().alias("data"))
 

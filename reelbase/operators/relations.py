@@ -6,14 +6,16 @@ and the files themselves are read once. The relations are plain DataFrames.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import languages
-from ..functions.text import finalize, pad_track, resolve_codec, resolve_language, series as split_series
+from ..functions.text import SERIES, finalize, pad_track, resolve_language, series as split_series, with_codec
 from ..shared import shared_path
 from . import audio, discs, documents, games, id3, id3_edit, image, video
 from .pick import body_
@@ -37,6 +39,19 @@ TRACK_COLUMNS = (
 KILOBITS = ("mp3", "ogg", "riff")
 
 
+@dataclass(frozen=True)
+class Features:
+    """What readers of the relations may switch on; without names all is off."""
+
+    series: str | None = None  #: pattern of four groups (series, season, episode, title) by which names of videos are split; SERIES is the usual one
+    codecs: DataFrame | None = None  #: (code, codec): a registry for codes that the built-in tables don't know
+    languages: DataFrame | None = None  #: (code, language): names that go before the Java runtime's
+
+    def __post_init__(self):
+        if self.series is not None and re.compile(self.series).groups != 4:
+            raise ValueError(f"a pattern with four groups (series, season, episode, title) is needed: {self.series!r}")
+
+
 def fit(df: DataFrame, columns: str) -> DataFrame:
     """These columns with these types, null where df has none."""
     has = set(df.columns)
@@ -57,9 +72,11 @@ def stage(spark: SparkSession, elements: DataFrame) -> DataFrame:
     return spark.read.schema(elements.schema).parquet(path).select(*elements.columns)
 
 
-def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool = False, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool = False, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None, features: Features = Features()) -> DataFrame:
     """One row a file, finalised: codes resolved, texts stripped, lengths of containers filled from their tracks.
 
+    ``split_names`` stands for Features(series=SERIES).
+
     ``decoders`` adds those of one's own parsers by name; each turns elements into rows of path and any columns of the relation.
     """
     spark, known = elements.sparkSession, DECODERS | (decoders or {})
@@ -71,13 +88,15 @@ def media(elements: DataFrame, kinds: tuple[str, ...] = (), split_names: bool =
         m = m.join(longest, "path", "left").withColumn("length", F.when(F.coalesce("length", F.lit(0.0)) == 0, F.coalesce("longest", "length")).otherwise(F.col("length"))).drop("longest")
     strings = [c for c, t in m.dtypes if t == "string" and c not in ("path", "url", "parser", "hash", "error")]
     m = m.withColumns({c: finalize(F.col(c)) for c in strings})
-    m = m.withColumns({"c__": resolve_codec(F.col("codec_raw")), "trackno": pad_track(F.col("trackno"), F.col("trackof")), "status": F.when(F.col("error").isNull(), "ok").when(F.col("error").startswith("left out"), "partial").otherwise("error"), "url": F.col("path")})
-    m = m.withColumns({"fourcc": F.when(F.col("codec_raw").isNotNull(), F.col("c__.fourcc")), "codec": F.when(F.col("codec_raw").isNotNull(), F.col("c__.codec")), "bitrate_bps": F.col("bitrate") * F.when(F.col("parser").isin(*KILOBITS), 1000).otherwise(1)}).drop("c__")
-    if split_names:
+    m = with_codec(m.drop("fourcc", "codec"), "codec_raw", features.codecs).withColumn("codec", F.when(F.col("codec_raw").isNotNull(), F.col("codec")))
+    m = m.withColumns({"trackno": pad_track(F.col("trackno"), F.col("trackof")), "status": F.when(F.col("error").isNull(), "ok").when(F.col("error").startswith("left out"), "partial").otherwise("error"), "url": F.col("path")})
+    m = m.withColumn("bitrate_bps", F.col("bitrate") * F.when(F.col("parser").isin(*KILOBITS), 1000).otherwise(1))
+    pattern = features.series or (SERIES if split_names else None)
+    if pattern:
         stem = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.[^.]*$", "")
-        found = F.when((F.col("media") == "av") & F.col("series").isNull(), split_series(stem))
+        found = F.when((F.col("media") == "av") & F.col("series").isNull(), split_series(stem, pattern))
         m = m.withColumn("s__", found).withColumns({c: F.coalesce(F.col(f"s__.{c}"), F.col(c)) for c in ("series", "season", "episode", "title")}).drop("s__")
-    return fit(resolve_language(m, "language_raw", languages(spark)), MEDIA_COLUMNS)
+    return fit(resolve_language(m, "language_raw", languages(spark, features.languages)), MEDIA_COLUMNS)
 
 
 def container_length(kind: Column, ordinal: Column, length: Column) -> Column:
@@ -86,8 +105,8 @@ def container_length(kind: Column, ordinal: Column, length: Column) -> Column:
     return F.when(first_video > 0, F.max(F.when(kind.isin("video", "audio"), length)))
 
 
-def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = True, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Video, audio and subtitle streams and chapters, numbered within their kind. ``decoders``: as for media."""
+def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = True, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None, features: Features = Features()) -> DataFrame:
+    """Video, audio and subtitle streams and chapters, numbered within their kind. ``decoders`` and ``features``: as for media."""
     own = {k: [f] for k, f in (decoders or {}).items()}
     parts = [fit(f(elements.where(F.col("parser") == k)), TRACK_COLUMNS) for k, fs in (video.TRACKS | own).items() if not kinds or k in kinds for f in fs]
     if not parts:
@@ -95,11 +114,11 @@ def tracks(elements: DataFrame, kinds: tuple[str, ...] = (), resolve: bool = Tru
     t = reduce(DataFrame.unionByName, parts)
     if not resolve:
         return t
-    t = t.withColumns({"c__": resolve_codec(F.col("codec_raw")), "title": finalize(F.col("title"))}).withColumns({"fourcc": F.col("c__.fourcc"), "codec": F.when(F.col("kind") != "chapter", F.col("c__.codec"))}).drop("c__")
-    return fit(resolve_language(t, "language_raw", languages(elements.sparkSession)), TRACK_COLUMNS)
+    t = with_codec(t.drop("fourcc", "codec"), "codec_raw", features.codecs).withColumns({"title": finalize(F.col("title")), "codec": F.when(F.col("kind") != "chapter", F.col("codec"))})
+    return fit(resolve_language(t, "language_raw", languages(elements.sparkSession, features.languages)), TRACK_COLUMNS)
 
 
-def tags(elements: DataFrame, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def tags(elements: DataFrame, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None, features: Features = Features()) -> DataFrame:
     """(path, scope, scope_ordinal, tag_path, n, value, binary_value, langcode, language) of Matroska's and ID3's tags.
 
     ``decoders`` adds those of one's own parsers by name; each turns elements into (path, n, name, value).
@@ -108,7 +127,7 @@ def tags(elements: DataFrame, decoders: dict[str, Callable[[DataFrame], DataFram
     m = video.mkv_scoped_tags(of("mkv")).select("path", "scope", "scope_ordinal", "tag_path", "n", "value", "binary_value", F.col("langcode").alias("language_raw"))
     flat = lambda df: df.select("path", F.lit("file").alias("scope"), F.lit(None).cast("int").alias("scope_ordinal"), F.array("name").alias("tag_path"), "n", "value", F.lit(None).cast("binary").alias("binary_value"), F.lit("und").alias("language_raw"))
     m = reduce(DataFrame.unionByName, [m, flat(id3.tags(of("mp3"))), *(flat(f(of(k))) for k, f in (decoders or {}).items())])
-    return resolve_language(m, "language_raw", languages(elements.sparkSession)).drop("language_raw")
+    return resolve_language(m, "language_raw", languages(elements.sparkSession, features.languages)).drop("language_raw")
 
 
 def tables(elements: DataFrame, decoders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
@@ -143,11 +162,11 @@ def present(staged: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(r[0] for r in staged.select("parser").distinct().collect()))
 
 
-def collect(spark: SparkSession, elements: DataFrame) -> dict[str, DataFrame]:
+def collect(spark: SparkSession, elements: DataFrame, features: Features = Features()) -> dict[str, DataFrame]:
     """All relations of the elements, registered as temporary views of the same names."""
     e = stage(spark, elements)
     kinds = present(e)
-    out = {"media": media(e, kinds), "tracks": tracks(e, kinds), "tags": tags(e), "tables": tables(e), "artifacts": artifacts(e), "warnings": id3_edit.warnings(e.where(F.col("parser") == "mp3"))}
+    out = {"media": media(e, kinds, features=features), "tracks": tracks(e, kinds, features=features), "tags": tags(e, features=features), "tables": tables(e), "artifacts": artifacts(e), "warnings": id3_edit.warnings(e.where(F.col("parser") == "mp3"))}
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out

@@ -84,6 +84,18 @@ def jpeg_exif(o: DataFrame) -> DataFrame:
     return files(o, "o_orderkey", "jpg", join(b"\xff\xd8", segment(0xE1, join(b"Exif\0\0", exif)), segment(0xFE, join(C("o_orderstatus"))), sof, b"\xff\xda"))
 
 
+def jpeg_meanings(p: DataFrame) -> DataFrame:
+    """Entries whose numbers stand for something, a user comment, and a directory of interoperability."""
+    key = C("p_partkey")
+    pad = lambda b, n: F.substring(F.concat(b, zeros(n)), 1, n)
+    short = lambda x: join(to_be(x, 2), b"\0\0")
+    said = join(b"ASCII\0\0\0", C("p_brand"))
+    head = join(b"MM\0*", to_be(8, 4), ifd([(0x128, 3, F.lit(1), short(key % 4)), (0x8769, 4, F.lit(1), to_be(60, 4))]))
+    sub = ifd([(0x8822, 3, F.lit(1), short(key % 10)), (0x9101, 7, F.lit(4), join(b"\1\2", to_be(key % 7, 1), b"\0")), (0x9209, 3, F.lit(1), short(key % 34)), (0x9286, 7, F.length(said), to_be(200, 4)), (0xA300, 7, F.lit(1), join(to_be(key % 4, 1), zeros(3))), (0xA005, 4, F.lit(1), to_be(160, 4)), (0xA40C, 3, F.lit(1), short(key % 4))])
+    exif = all_of(pad(head, 60), pad(sub, 100), pad(ifd([(0x1001, 4, F.lit(1), to_be(key, 4))]), 40), said)
+    return files(p, "p_partkey", "jpg", join(b"\xff\xd8", segment(0xE1, join(b"Exif\0\0", exif)), b"\xff\xda"))
+
+
 def jpeg_maker(p: DataFrame) -> DataFrame:
     """Notes of Nikon (with an own header), Olympus and Fujifilm by turns."""
     key = C("p_partkey")

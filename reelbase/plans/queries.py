@@ -96,6 +96,28 @@ def exif_entries(spark, d):
     return e.where(C("name").isin("Model", "ExposureTime", "DateTimeOriginal")).select(key("o_orderkey"), F.concat_ws(" ", "directory", "name").alias("entry"), "value")
 
 
+def _listed(values: dict[int, str], key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in values.items()) + f" ELSE CAST({key} AS VARCHAR) END"
+
+
+@query(
+    "exif_meanings",
+    " UNION ALL ".join(
+        f"SELECT p_partkey, '{name}' AS entry, {value} AS value FROM part"
+        for name, value in {
+            "Image ResolutionUnit": _listed({1: "Not Absolute", 2: "Pixels/Inch", 3: "Pixels/Centimeter"}, "p_partkey % 4"),
+            "EXIF ExposureProgram": "coalesce(list_extract(['Unidentified', 'Manual', 'Program Normal', 'Aperture Priority', 'Shutter Priority', 'Program Creative', 'Program Action', 'Portrait Mode', 'Landscape Mode'], CAST(p_partkey % 10 + 1 AS INT)), '9')",
+            "EXIF ComponentsConfiguration": "'YCb' || list_extract(['', 'Y', 'Cb', 'Cr', 'Red', 'Green', 'Blue'], CAST(p_partkey % 7 + 1 AS INT))",
+            "EXIF Flash": _listed({0: "No", 1: "Fired", 5: "Fired (?)", 7: "Fired (!)", 9: "Fill Fired", 13: "Fill Fired (?)", 15: "Fill Fired (!)", 16: "Off", 24: "Auto Off", 25: "Auto Fired", 29: "Auto Fired (?)", 31: "Auto Fired (!)", 32: "Not Available"}, "p_partkey % 34"),
+            "EXIF UserComment": "p_brand", "EXIF FileSource": _listed({3: "Digital Camera"}, "p_partkey % 4"), "EXIF SubjectDistanceRange": "CAST(p_partkey % 4 AS VARCHAR)", "Interop RelatedImageWidth": "CAST(p_partkey AS VARCHAR)",
+        }.items()
+    ),
+)
+def exif_meanings(spark, d):
+    e = image.exif(split(X.jpeg_meanings(X.table(spark, d, "part")))).where(~C("name").isin("ExifOffset", "InteroperabilityOffset"))
+    return e.select(key("p_partkey"), F.concat_ws(" ", "directory", "name").alias("entry"), "value")
+
+
 @query("jpeg_iptc", "SELECT c_custkey, c_name AS title, c_mktsegment AS city, lower(c_mktsegment) || '|' || c_nationkey AS keywords, CAST(NULL AS VARCHAR) AS author FROM customer")
 def jpeg_iptc(spark, d):
     return media(X.jpeg_iptc(X.table(spark, d, "customer")), "jpeg").select(key("c_custkey"), "title", "city", F.array_join("keywords", "|").alias("keywords"), "author")
@@ -262,6 +284,51 @@ def id3_set_frame(spark, d):
     return f.join(tag, "path").join(a, "path").join(b, "path").select(key("c_custkey"), "version", "title", "frames", (C("digests") == C("digests_")).alias("others_same"), (C("sound") == C("sound_")).alias("sound_same"))
 
 
+def _named_mp3s(c: DataFrame) -> DataFrame:
+    """Files with tags of all versions, and the customer's columns."""
+    files = reduce(DataFrame.unionByName, [X.mp3(c.where(C("c_custkey") % 3 == m - 2), m) for m in (2, 3, 4)])
+    return files.join(c.withColumn("path", F.concat(F.lit("c_custkey/"), C("c_custkey").cast("string"), F.lit(".mp3"))), "path")
+
+
+@query(
+    "id3_friendly_set",
+    "SELECT c_custkey, 'v' || CAST(c_custkey % 3 + 2 AS VARCHAR) AS version, lower(c_mktsegment) AS title, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS artist, CASE WHEN c_custkey % 3 = 2 THEN '2001-05-0' || (c_custkey % 9 + 1) || 'T10:30' ELSE '2001' END AS date, CAST(c_custkey % 7 AS INT) AS track, 9 AS track_total, CAST(c_nationkey AS VARCHAR) AS comment, "
+    "CASE WHEN c_custkey % 3 < 2 THEN '0' || (c_custkey % 9 + 1) || '05 1030' END AS day_and_time FROM customer",
+)
+def id3_friendly_set(spark, d):
+    """Title, date, track and comment by everyday names in tags of all versions; the artist is taken away from odd customers."""
+    k, files = C("c_custkey"), _named_mp3s(X.table(spark, d, "customer"))
+    date = F.concat(F.lit("2001-05-0"), (k % 9 + 1).cast("string"), F.lit("T10:30"))
+    values = {"title": F.lower("c_mktsegment"), "artist": F.when(k % 2 == 0, C("c_name")), "date": date, "track": k % 7, "track_total": F.lit(9), "comment": C("c_nationkey").cast("string"), "composer": None}
+    e = once(id3_edit.renamed(files, once(files.select("path", "content")), values).select("path", "content"))
+    f = id3.frames(e)
+    tag = e.where(C("id").startswith("ID3v2.")).select("path", F.concat(F.lit("v"), F.substring("id", 7, 1)).alias("version"))
+    one = lambda *names: F.max(F.when(C("frameid").isin(*names), C("texts")[0]))
+    days = f.groupBy("path").agg(F.concat(one("TDAT", "TDA"), F.lit(" "), one("TIME", "TIM")).alias("day_and_time"))
+    m = id3.friendly(f).withColumn("artist", F.coalesce("artist", F.lit("")))
+    return m.join(tag, "path").join(days, "path").select(key("c_custkey"), "version", "title", "artist", "date", "track", "track_total", "comment", "day_and_time")
+
+
+@query(
+    "id3_dump_load",
+    "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'v4' WHEN 2 THEN 'v2' END AS version, CASE c_custkey % 3 WHEN 1 THEN NULL ELSE c_name END AS title, CASE c_custkey % 3 WHEN 1 THEN NULL ELSE TRUE END AS tag_same, TRUE AS sound_same FROM customer",
+)
+def id3_dump_load(spark, d):
+    """Tags taken from files of version 2.4 and put into those of 2.2: by turns the other's tag, none, and no row, which leaves the own one."""
+    c = X.table(spark, d, "customer")
+    two, four = X.mp3(c, 2), X.mp3(c, 4)
+    turn = F.regexp_extract("path", "([0-9]+)[.]", 1).cast("long") % 3
+    dumps = id3_edit.dumped(four).withColumn("tag", F.when(turn == 0, C("tag"))).where(turn != 2)
+    after = id3_edit.loaded(two, dumps)
+    e = once(after)
+    version = e.where(C("id").startswith("ID3v2.")).select("path", F.concat(F.lit("v"), F.substring("id", 7, 1)).alias("version"))
+    title = id3.modern(id3.frames(e)).where(C("frameid") == "TIT2").select("path", F.array_join("texts", "").alias("title"))
+    digest = lambda df, name: id3_edit.dumped(df).join(df, "path").select("path", F.md5("tag").alias(name), F.md5(id3.without_tag(C("content"))).alias(f"{name}_sound"))
+    x = digest(after, "new").join(digest(two, "two"), "path").join(digest(four, "four"), "path").join(version, "path", "left").join(title, "path", "left")
+    wanted = F.when(turn == 0, C("four")).when(turn == 2, C("two"))
+    return x.select(key("c_custkey"), "version", "title", (C("new") == wanted).alias("tag_same"), (C("new_sound") == C("two_sound")).alias("sound_same"))
+
+
 STAMP_SQL = "(1970 + c_custkey % 50) || '-' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || 'T' || lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0')"
 YEAR_SQL, DAY_SQL, CLOCK_SQL = "CAST(1970 + c_custkey % 50 AS VARCHAR)", "lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0')", "lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0')"
 
@@ -614,6 +681,26 @@ def codec_registry(spark, d):
     return T.resolve_codec_by(X.table(spark, d, "part").select("p_partkey", code.alias("code")), "code", more)
 
 
+@query(
+    "registry_features",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Show' END AS series, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 9 + 1 AS INT) END AS season, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 20 AS INT) END AS episode, CASE WHEN o_orderkey % 2 = 0 THEN 'k' || o_orderkey ELSE o_orderpriority END AS title, "
+    "CASE WHEN n_name IS NOT NULL THEN 'Q' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 3, '0') END AS fourcc, coalesce(n_name, 'Unknown') AS codec FROM orders LEFT JOIN nation ON o_orderkey % 30 = n_nationkey",
+)
+def registry_features(spark, d):
+    """Codes that a registry (here made of the nations) names in the relation of tracks, and names of files split by a pattern of one's own."""
+    o = X.table(spark, d, "orders")
+    k = F.regexp_extract("path", "([0-9]+)[.]", 1).cast("long")
+    code = F.concat(F.lit("Q"), F.lpad((k % 30).cast("string"), 3, "0"))
+    text = lambda x: x.cast("string")
+    name = F.when(k % 2 == 0, F.concat(F.lit("tv/Show_"), text(k % 9 + 1), F.lit("-"), text(k % 20), F.lit("_k"), text(k), F.lit(".avi"))).otherwise(C("path"))
+    files = X.avi(o).select(name.alias("path"), F.unhex(F.replace(F.hex("content"), F.lit(b"XVID".hex().upper()), F.hex(code))).alias("content"))
+    known = X.table(spark, d, "nation").select(F.concat(F.lit("Q"), F.lpad(C("n_nationkey").cast("string"), 3, "0")).alias("code"), C("n_name").alias("codec"))
+    features = R.Features(series="^([A-Za-z]+)_([0-9]+)-([0-9]+)_(.+)$", codecs=known)
+    e = once(files)
+    t = R.tracks(e, ("riff",), features=features).where("kind = 'video'").select("path", "fourcc", "codec")
+    return R.media(e, ("riff",), features=features).drop("fourcc", "codec").join(t, "path").select(key("o_orderkey"), "series", "season", "episode", "title", "fourcc", "codec")
+
+
 @query("genre_resolve", f"SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN p_name ELSE {GENRE_SQL.format('p_size')} END AS genre FROM part")
 def genre_resolve(spark, d):
     n = C("p_size").cast("string")
