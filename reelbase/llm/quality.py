@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, held_out, table
+from .common import col, discard, held_out, staged, table
 
 WORDS = 1 << 15
 BINS = 12
@@ -27,6 +27,8 @@ STATS = ("words", "distinct", "adjacent", "dup_lines", "symbols", "upper", "digi
 FACTORS = 6
 #: Labelled rows that the classifier is trained on, at most.
 SAMPLE_ROWS = 6000
+#: Distinct words of all these rows together, at most; a row with over a hundredth of that many is left out of training.
+SAMPLE_WORDS = 12_000_000
 
 
 def bin_of(share: float) -> int:
@@ -129,6 +131,13 @@ def labelled(labels: DataFrame, label: str, held: tuple[int, int], rows: int, id
     return x.groupBy(col(id_col).alias("y_id")).agg(F.max(col(label)).cast("int").alias("y")).orderBy(F.xxhash64("y_id"), "y_id").limit(rows)
 
 
+def last_within(marks: np.ndarray, sizes: np.ndarray, most: int) -> int:
+    """The largest mark up to which, in the order of marks, the sizes add up to at most ``most``."""
+    order = np.argsort(marks)
+    fits = int(np.searchsorted(np.cumsum(sizes[order]), most, side="right"))
+    return int(marks[order][fits - 1]) if fits else -(2**63)
+
+
 def sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...] = ()) -> DataFrame:
     """(y, id, t, m0...): the chosen (y_id, y) rows of docs; of rows that share an id the first in the order of text and metadata."""
     x = docs.select(col(id_col).alias("id"), F.struct(col(text_col).alias("t"), *[col(c).alias(f"m{k}") for k, c in enumerate(metadata)]).alias("row"))
@@ -136,8 +145,11 @@ def sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, metad
     return x.groupBy("y", "id").agg(F.min("row").alias("row")).select("y", "id", "row.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), held: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Train on at most sample_rows labelled rows. Without labels of both kinds the machine gives the same score to all."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), held: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Machine:
+    """Train on at most sample_rows labelled rows of at most sample_words distinct words together, in hashed order.
+
+    Without labels of both kinds the machine gives the same score to all.
+    """
     x = sample(docs, labelled(labels, "quality", held, sample_rows, id_col), id_col, text_col, metadata).drop("id")
 
     def run(batches):
@@ -145,8 +157,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [inputs(t, m) for t, *m in zip(*(c.to_pylist() for c in b.columns[1:]))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.tolist() for a, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int32()))], names=["y", "words", "bins"])
 
-    found = x.mapInArrow(run, "y int, words array<int>, bins array<int>").toArrow()
-    rows = [(np.array(a, dtype=np.int32), b) for a, b in zip(found["words"].to_pylist(), found["bins"].to_pylist())]
+    features = staged(x.mapInArrow(run, "y int, words array<int>, bins array<int>"), "quality-sample")
+    size, mark = F.size("words"), F.xxhash64("y", "words", "bins")
+    sizes = features.groupBy(mark.alias("mark")).agg(F.sum(size).alias("n"), F.max(size).alias("most")).where(F.col("most") <= sample_words // 100).select("mark", "n").toArrow()  # at most sample_rows
+    last = last_within(sizes["mark"].to_numpy(), sizes["n"].to_numpy(), sample_words)
+    found = features.where((size <= sample_words // 100) & (mark <= last)).toArrow()
+    discard(features)
+    words = pa.concat_arrays(found["words"].chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    at, flat = words.offsets.to_numpy(), words.values.to_numpy()
+    rows = [(flat[at[k] : at[k + 1]], b) for k, b in enumerate(found["bins"].to_pylist())]
     y = np.array(found["y"].to_pylist(), dtype=np.float64)
     # the sample comes back in any order: sort it, so that equal tables train equal machines
     order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), zlib.crc32(rows[i][0][np.argsort(rows[i][0])].tobytes()), rows[i][1]))

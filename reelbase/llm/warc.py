@@ -22,6 +22,8 @@ from .common import col, new_path, staged
 
 #: Uncompressed bytes that an archive file is meant to have; payload bytes over which a page has a file of its own.
 FILE_BYTES, LARGE = 32 << 20, 1 << 20
+#: A payload that more than one in so many pages have is hot: there are fewer of them than that. Addresses up to HOT_URL bytes are broadcast.
+HOT_SHARE, HOT_URL = 1000, 4096
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -36,11 +38,19 @@ def references(x: DataFrame, least_bytes: int) -> DataFrame:
     """(r_id, r_digest, original, original_url): of heads the pages that repeat a payload of at least least_bytes, with the largest id that has it.
 
     Of rows that share the original's id the greatest address counts. Payloads that only pages without id have, have no original.
+    A payload that more than one in HOT_SHARE of these pages have is one of fewer than HOT_SHARE: their originals are broadcast, so that no
+    task gets all pages of one payload; the others, and those whose original has an address of over HOT_URL bytes, meet theirs by a join on the digest.
     """
     thin = x.where(F.col("bytes") >= least_bytes).groupBy("digest", "id").agg(F.max("url").alias("url"))
     thin = staged(thin, "warc-heads")
     first = thin.groupBy("digest").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("o"), F.count("*").alias("n")).where("n > 1 AND o IS NOT NULL")
-    found = thin.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("o.id")))
+    hot = (F.col("n") * HOT_SHARE > thin.count()) & (F.coalesce(F.octet_length("o.url"), F.lit(0)) <= HOT_URL)
+    first = staged(first.select("digest", "o", hot.alias("hot")), "warc-originals")
+    known = thin.join(F.broadcast(first.where("hot").select("digest", F.col("o").alias("h"))), "digest", "left")
+    found = known.where("h IS NOT NULL").select("id", "digest", F.col("h").alias("o")).unionByName(
+        known.where("h IS NULL").select("id", "digest").join(first.where("NOT hot").select("digest", "o"), "digest")
+    )
+    found = found.where(~F.col("id").eqNullSafe(F.col("o.id")))
     return found.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("o.id").alias("original"), F.col("o.url").alias("original_url"))
 
 

@@ -312,6 +312,20 @@ def test_warc_awkward_rows(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_hot_payloads_meet_the_same_originals(spark, monkeypatch):
+    """Payloads shared by many, by two and by none; whichever of them count as hot, and however long addresses are."""
+    rows = [(k, "http://x/" + "u" * (5000 * (k == 298)) + str(k), "h" * 2000 if k % 2 else f"{k // 4:04d}" * 400) for k in range(300)] + [(None, "http://n", "h" * 2000), (299, "http://z", "h" * 2000), (5, None, None)]
+    heads = warc.heads(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").drop("p")
+    found = []
+    for share in (0, 3, 1000):
+        monkeypatch.setattr(warc, "HOT_SHARE", share)
+        found.append(sorted(warc.references(heads, 1000).collect(), key=str))
+    assert found[0] == found[1] == found[2]
+    assert {r.original for r in found[0] if r.r_id is not None and r.r_id % 2} == {299} and {r.original_url for r in found[0] if r.original == 299} == {"http://z"}
+    assert {(r.r_id, r.original) for r in found[0] if r.r_id is not None and r.r_id % 2 == 0} == {(4 * k, 4 * k + 2) for k in range(75)}
+    assert sum(r.r_id is None for r in found[0]) == 1 and len(found[0]) == 149 + 75 + 1
+
+
 def test_warc_files_and_members(spark, tmp_path):
     big = "y" * (warc.LARGE + 1)
     rows = [(k, f"u{k}", f"page {k} " * 300) for k in range(20)] + [(50, "u", big), (51, "v", big), (52, "w", big + "z")]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from reelbase.llm import near_copies, quality, secrets, toxicity
 
 ROWS = [(1, "plain words here and there"), (2, None), (3, ""), (4, " \n "), (5, "same"), (5, "same"), (None, "no id"), (8, "long text " * 9000), (9, "é\U0001f600 ñ " * 5)]
@@ -43,6 +44,25 @@ def test_quality_held_out(spark):
     assert np.mean([a == b for a, b in held]) > 0.95
 
 
+def test_quality_sample_is_bounded_in_words(spark):
+    """Training takes whole rows in the order of their marks while they fit, and none that is too large by itself."""
+    assert quality.last_within(np.array([5, 1, 3]), np.array([10, 20, 30]), 50) == 3
+    assert quality.last_within(np.array([5, 1, 3]), np.array([10, 20, 30]), 60) == 5
+    assert quality.last_within(np.array([5, 1]), np.array([10, 20]), 19) == quality.last_within(np.array([]), np.array([]), 9) == -(2**63)
+    text = lambda k: " ".join(f"{'good' if k % 2 else 'bad'}{k % 7}w{j}" for j in range(10))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(400)] + [(1000 + k, " ".join(f"w{j}" for j in range(3000))) for k in range(5)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    fit = quality.Machine.fit
+    try:
+        quality.Machine.fit = lambda m, rows, y: (seen.append((len(rows), sum(len(r[0]) for r in rows))), fit(m, rows, y))[1]
+        for words in (1000, 2000, 10**6):
+            quality.train(docs, labels, sample_words=words)
+    finally:
+        quality.Machine.fit = fit
+    assert seen[0][0] < seen[1][0] < seen[2][0] and seen[0][1] <= 1000 and seen[1][1] <= 2000 and 10_000 < seen[2][1]
+
+
 def test_quality_awkward_rows(spark):
     docs = frame(spark)
     m = quality.train(docs, spark.createDataFrame([(1, 1), (3, 0), (8, 0), (8, None), (9, 1), (77, 1)], "doc_id long, quality int"))
