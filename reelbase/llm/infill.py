@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ UNIT, CHAR, SENTINEL = 1, 2, 4
 BETWEEN, LETTER, MARK, OPEN, CLOSE, CONTINUES, OTHER = range(7)
 PLAIN, LETTERS, OPENED, MARKED = range(4)
 #: Bytes of a buffer of short texts; a longer text has a buffer of its own.
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 #: Bytes whose units are counted together for the second pass.
 BLOCK = 1 << 16
 
@@ -115,16 +116,16 @@ def rearranged(b: bytes, s: Scanned, h: list[int], plain: int, spm: int) -> tupl
     return "psm", *chars, b"<P>" + prefix + b"<S>" + suffix + b"<M>" + middle
 
 
-def buffers(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts that are scanned together."""
+def buffers(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of these sizes that are scanned together."""
     start, held = 0, 0
-    for k, b in enumerate(texts):
-        if held and held + len(b) > BUFFER:
+    for k, size in enumerate(sizes):
+        if held and held + size > BUFFER:
             yield start, k
             start, held = k, 0
-        held += len(b) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        held += size + 1
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, plain: int = 10, spm: int = 20) -> DataFrame:
@@ -133,18 +134,19 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``plain`` per cent of the texts stay as they are, ``spm`` per cent of the others put the suffix first. Cases: null counts as
     empty, empty texts and those that contain a sentinel stay plain; equal rows come back as often, with equal results; a null id
     draws like an empty one; an empty table gives no rows; other columns are ignored, whatever their names. A text of any length
-    is scanned as a whole in about five times its bytes of memory.
+    is scanned as a whole in about five times its bytes of memory. Of a batch only one buffer's texts are taken out at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [(t or "").encode() for t in b.column(1).to_pylist()]
-            for i, j in buffers(texts):
-                emitted, at, rows = scan(b"\xff".join(texts[i:j])), 0, []
-                for k in range(i, j):
-                    s = Scanned(emitted[at : at + len(texts[k])])
-                    rows.append((s.units, *rearranged(texts[k], s, draws(ids[k], seed), plain, spm)))
-                    at += len(texts[k]) + 1
+            whole = b.column(1).cast(pa.binary())
+            for i, j in buffers(pc.fill_null(pc.binary_length(whole), 0).to_pylist()):
+                ids, texts = b.column(0).slice(i, j - i).to_pylist(), [t or b"" for t in whole.slice(i, j - i).to_pylist()]
+                emitted, at, rows = scan(b"\xff".join(texts)), 0, []
+                for ident, t in zip(ids, texts, strict=True):
+                    s = Scanned(emitted[at : at + len(t)])
+                    rows.append((s.units, *rearranged(t, s, draws(ident, seed), plain, spm)))
+                    at += len(t) + 1
                 n, form, prefix, middle, output = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(form), pa.array(prefix, pa.int64()), pa.array(middle, pa.int64()), pa.array(output, pa.binary()).cast(pa.string())],

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +239,31 @@ def test_infill_of_awkward_rows(spark):
     assert infilled(df.limit(0)) == []
 
 
+def test_infill_takes_a_batch_by_buffers(spark):
+    class Table:  # keeps the function that the operator maps over batches
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def withColumnRenamed(self, *names):
+            return self
+
+    texts = [f"{k} some words <P " * 250 for k in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.array(texts, pa.string())], names=["id", "t"])
+    del texts
+    run = infill.fill_in_middle(Table()).run
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 0.4 * batch.nbytes
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aPSM<>é日\U0001f600 \n1", max_size=40), min_size=1, max_size=5), st.integers(1, 4))
 def test_automaton_emits_what_the_pattern_says(texts, times):
