@@ -23,6 +23,7 @@ At scale it goes like this; each table is written to the shared folder:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,53 +36,87 @@ from .simhash import component_labels
 
 #: Keys that a map task settles among themselves before it passes them on, and keys that a task of the exchange should get.
 SETTLED, DEALT = 1 << 20, 1 << 21
-#: Words whose hashes a task remembers.
-REMEMBERED = 1 << 18
+#: Bytes of texts that are hashed together, and of words that are hashed together with others.
+TOGETHER, LONG = 1 << 19, 64
 #: Keys for each n-gram, about.
 RATE = 0.5
 SEGMENT, TOKEN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
+SHIFTS, TIMES = [np.uint64(k) for k in (31, 29, 32)], [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 NEVER = 1 << 60
+#: Bytes of words, and the first so many bytes of eight.
+WORD, KEPT = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-class WordHashes(dict):
-    """Hashes of words, remembered: most words of a corpus come again."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    x = x ^ (x >> SHIFTS[0])
+    x *= TIMES[0]
+    x ^= x >> SHIFTS[1]
+    x *= TIMES[1]
+    x ^= x >> SHIFTS[2]
+    return x
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, hashes) of the words of raw, which has white space in front and eight bytes of it behind."""
+    inside = WORD[np.frombuffer(raw, dtype=np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, dtype=np.uint8), 8)
+    out, rest, at, left = sizes.astype(np.uint64) * TOKEN, slice(None), starts, sizes
+    for _ in range(LONG // 8):
+        out[rest] = mixed(out[rest] ^ (eights[at].view("<u8")[:, 0] & KEPT[np.minimum(left, 8)]))
+        rest = np.flatnonzero(left > 8) if isinstance(rest, slice) else rest[left > 8]
+        at, left = at[left > 8] + 8, left[left > 8] - 8
+        if not len(rest):
+            return starts, out
+    for k in rest.tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + sizes[k]])
+    return starts, out
 
 
 class Grams:
-    """Sorted distinct 64-bit hashes of a text's n-grams, from its words' hashes."""
+    """For each of some texts the sorted distinct 64-bit hashes of its n-grams, from its words' hashes."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not found:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        codes, k = np.array([known[w] for w in found], dtype=np.uint64), min(self.words, len(found))
-        out = np.full(len(found) - k + 1, k, dtype=np.uint64)
+        self.words = words
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts are hashed together, up to some bytes; a longer one by itself."""
+        out, held, size = [], [], 0
+        for t in texts.cast(pa.binary()).to_pylist():
+            if held and size + len(t or b"") > TOGETHER:
+                out += self.of(held)
+                held, size = [], 0
+            held.append(t or b"")
+            size += len(held[-1])
+        return out + self.of(held) if held else out
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        starts, codes = word_hashes(b" %b        " % b" ".join(texts).lower())
+        cuts = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])).tolist()
+        whole, out = self.joined(codes, self.words) if len(codes) >= self.words else None, []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j == i:
+                out.append(np.zeros(0, dtype=np.uint64))
+                continue
+            found = np.sort(whole[i : j - self.words + 1] if j - i >= self.words else self.joined(codes[i:j], j - i))
+            out.append(found[begins(found)])
+        return out
+
+    @staticmethod
+    def joined(codes: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(len(codes) - k + 1, k, dtype=np.uint64)
         for i in range(k):
             out = out * np.uint64(0x9FB21C651E98DF25) + codes[i : len(codes) - k + 1 + i]
-        out = np.sort(mixed(out))
-        return out[begins(out)]
+        return mixed(out)
 
 
 def begins(*columns: np.ndarray) -> np.ndarray:
     """True where a run of equal rows begins."""
     out = np.ones(len(columns[0]), dtype=bool)
-    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    out[1:] = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        out[1:] |= c[1:] != c[:-1]
     return out
 
 
@@ -111,12 +146,15 @@ class Segments:
 
     def __init__(self, found: np.ndarray, band: int, count: int):
         at = segment_of(found, band, count)
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if count <= 1 << 16 else at, kind="stable")  # numbers of 16 bits are sorted by radix
         self.token, at = mixed(found * TOKEN)[order], at[order]
         self.starts = np.flatnonzero(begins(at))
         self.at, self.band, self.count = at[self.starts], band, count
         self.sums = np.add.reduceat(self.token, self.starts)
-        self.sizes = np.diff(np.append(self.starts, len(at)))
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.token)))
 
     def keys(self, sums: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mixed(sums + (at.astype(np.uint64) + np.uint64(1)) * SEGMENT + of_band(self.band))
@@ -148,8 +186,7 @@ def set_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part, rows = b.slice(s, 512), []
-                for t in part.column(2).to_pylist():
-                    x = grams(t)
+                for x in grams(part.column(2)):
                     of = bands(len(x), percent) if len(x) else []
                     rows.append((digest_of(x) if len(x) else None, len(x), [int(np.count_nonzero(np.bincount(segment_of(x, g, m)))) for g, m, _ in of], [h for _, _, h in of]))
                 digest, n, filled, most = zip(*rows, strict=True)
@@ -165,8 +202,11 @@ def set_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 # --------------------------------------------------------------------------- keys that others have, too
 def settled(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, who) in order, and for each how many of its key come before it."""
-    order = np.lexsort((who, keys))
+    order = np.argsort(keys)
     keys, who = keys[order], who[order]
+    new = begins(keys)
+    several = np.flatnonzero(~new | ~np.append(new[1:], True))  # most keys come once
+    who[several] = who[several][np.lexsort((who[several], keys[several]))]
     new = begins(keys, who)
     keys, who = keys[new], who[new]
     starts = np.flatnonzero(begins(keys))
@@ -194,8 +234,7 @@ def shared_counts(docs: DataFrame, words: int, percent: int, parts: int) -> Data
     def emit(batches):
         grams, keys, who, held = Grams(words), [], [], 0
         for b in batches:
-            for t in b.column(0):
-                x = grams(t.as_py())
+            for x in (x for s in range(0, b.num_rows, 512) for x in grams(b.column(0).slice(s, 512))):
                 digest = digest_of(x) if len(x) else 0
                 for place, (g, m, _) in enumerate(bands(len(x), percent) if len(x) else ()):
                     keys.append(Segments(x, g, m).subsets())
@@ -244,7 +283,7 @@ def contenders(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                found = [grams(t).view(np.int64) for t in part.column(4).to_pylist()]
+                found = [x.view(np.int64) for x in grams(part.column(4))]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(found, pa.list_(pa.int64()))], names=["digest", "n", "bands", "weight", "shingles"])
 
     bands_ = "array<struct<place:int,filled:int,most:int>>"

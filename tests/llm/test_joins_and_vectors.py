@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import tracemalloc
 from fractions import Fraction
 
@@ -47,6 +48,22 @@ def slow_components(rows, words=5, percent=80):
     return [(d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
+class Mapped:
+    """Stands for a table and keeps the function that an operator maps over its batches."""
+
+    dtypes = [("id", "bigint"), ("doc_id", "bigint"), ("text", "string")]
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def withColumnRenamed(self, *names):
+        return self
+
+
 def joined(spark, rows, **how):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit("x"), "digest": F.lit(1), "a.b": F.lit(None).cast("string")})
     return sorted(map(tuple, ngram_join.components(docs, **how).collect()), key=str)
@@ -200,6 +217,34 @@ def test_scatter_is_exact_for_any_size(spark):
     assert {r.deviation for r in whitening.whitened(df, "id", "v").collect()} == {None}
 
 
+def test_sets_of_words_of_any_length_and_kind():
+    long = [b"x" * n + e for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 200) for e in (b"", b"y", b"z", b"\0", b"\x1c")]
+    texts = [None, b"", b" \t\n\x0b\x0c\r ", b"a", b"A b", b"a b c d e", b"a b c d e f", b"d e f", "é É 日本\xa0語".encode(), *long, b" ".join(long), b"  ".join(reversed(long)), b"a b c d e " * 9]
+    texts += [b" ".join(random.Random(k).choices(long, k=k)) for k in range(40)] + [b"w " * 300_000]
+    got = [len(x) for x in ngram_join.Grams(5)(pa.array(texts, pa.binary()))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or b"").lower().split()) else set() for t in texts]
+    assert got == [len(x) for x in sets]
+    assert len(np.unique(np.concatenate(ngram_join.Grams(5)(pa.array(texts, pa.binary()))))) == len(set().union(*sets))
+
+
+def test_sets_cost_little_more_than_splitting_words(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(200_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(range(2000), pa.int64()), pa.array(texts)], names=["id", "k", "t"])
+    run = ngram_join.set_rows(Mapped(), 5, 80).run
+
+    def least(work):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert least(lambda: list(run(iter([batch])))) < 5 * least(lambda: [t.encode().lower().split() for t in texts])
+
+
 # --------------------------------------------------------------------------- fill-in-middle
 def slow_infill(ident, text):
     text = text or ""
@@ -240,23 +285,10 @@ def test_infill_of_awkward_rows(spark):
 
 
 def test_infill_takes_a_batch_by_buffers(spark):
-    class Table:  # keeps the function that the operator maps over batches
-        dtypes = [("doc_id", "bigint"), ("text", "string")]
-
-        def select(self, *columns):
-            return self
-
-        def mapInArrow(self, run, schema):
-            self.run = run
-            return self
-
-        def withColumnRenamed(self, *names):
-            return self
-
     texts = [f"{k} some words <P " * 250 for k in range(10_000)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.array(texts, pa.string())], names=["id", "t"])
     del texts
-    run = infill.fill_in_middle(Table()).run
+    run = infill.fill_in_middle(Mapped()).run
     tracemalloc.start()
     rows = sum(b.num_rows for b in run(iter([batch])))
     peak = tracemalloc.get_traced_memory()[1]
