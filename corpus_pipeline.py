@@ -17,7 +17,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    """One document of each component of texts whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    By SimHash and the generalised pigeonhole, checked on whole sets; what fingerprints leave apart is joined exactly.
+    """
     return near_copies.one_of_each(docs)
 
 

@@ -22,7 +22,7 @@ At scale it goes like this; each table is written to the shared folder:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -359,14 +359,21 @@ def may_be_alike(percent: int) -> Column:
     return alike_in_size("n", "m", percent) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
-def star(keys: DataFrame, outlined: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each set v with one that is central for it, namely of its keys' most shared holders the one that it meets most often."""
+def star(keys: DataFrame, outlined: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
+    """(u, v): each set v with one that is central for it, namely of its keys' most shared holders the one that it meets most often.
+
+    Pairs with equal labels (digest, label) are left out.
+    """
     top = keys.groupBy("key").agg(F.max(F.struct("weight", "digest", "place")).alias("top"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high")
     met = keys.join(top.select("key", F.col("top.digest").alias("hub"), F.col("top.place").alias("hub_place")), "key").where(F.col("digest") != F.col("hub"))
     best = met.groupBy("digest", "place", "hub", "hub_place").agg(F.count("*").alias("times")).groupBy("digest").agg(F.max(F.struct("times", "hub", "hub_place", "place")).alias("x"))
     mine = outlined.select("digest", "place", F.col("size").alias("n"), "odd")
     pairs = best.select("digest", "x.*").join(mine, ["digest", "place"]).join(mine.toDF("hub", "hub_place", "m", "odd_"), ["hub", "hub_place"])
-    return pairs.where(may_be_alike(percent)).select(F.col("hub").alias("u"), F.col("digest").alias("v"))
+    pairs = pairs.where(may_be_alike(percent)).select(F.col("hub").alias("u"), F.col("digest").alias("v"))
+    if labels is None:
+        return pairs
+    known = pairs.join(labels.toDF("u", "of_u"), "u", "left").join(labels.toDF("v", "of_v"), "v", "left")
+    return known.where("of_u is null or of_v is null or of_u != of_v").select("u", "v")
 
 
 # --------------------------------------------------------------------------- allowances and candidates
@@ -485,14 +492,23 @@ def candidates(sets: DataFrame, outlined: DataFrame, percent: int) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- the join
-def class_labels(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of (id, t): (id, k, digest, n, ...) for every row, and (digest, label) of the sets that have links: the least digest that they reach."""
+def class_labels(docs: DataFrame, words: int, percent: int, proposed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of (id, t): (id, k, digest, n, ...) for every row, and (digest, label) of the sets that have links: the least digest that they reach.
+
+    ``proposed`` may give pairs (u, v) of digests, from the table of all rows' sets, which are checked first; the rest of the join finds
+    the links between what they leave apart.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("the similarity must be between 50 and 100 per cent")
     sets = staged(set_rows(docs, words, percent), "join-rows")
     of = contenders(docs, sets, words, percent)
     keys, outlined = staged(subset_keys(of, percent), "join-keys"), staged(outlines(of, percent), "join-outlines")
-    links = staged(verified(staged(star(keys, outlined, percent), "join-star"), of, percent), "join-links")
+    links, known = None, None
+    if proposed:
+        links = staged(verified(proposed(sets), of, percent), "join-links")
+        known = component_labels(links)
+    central = staged(verified(staged(star(keys, outlined, percent, known), "join-star"), of, percent), "join-links")
+    links = links.unionByName(central) if proposed else central
     still = staged(involved(of, keys, component_labels(links), percent), "join-involved")
     discard(keys)
     pairs = candidates(of.join(still, "digest").select("digest", "label", "places", "probes", "shingles"), outlined, percent)

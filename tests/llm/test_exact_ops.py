@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import zlib
+import random
 from collections import defaultdict
 
 import duckdb
@@ -12,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelbase.llm import near_copies, packing, simhash, telephony, warc
+from reelbase.llm import near_copies, ngram_join, packing, simhash, telephony, warc
 
 AWKWARD = [
     (1, "one two three four five six", "a"),
@@ -99,6 +100,23 @@ def test_one_row_of_each_component(spark, one_of_each):
     assert one_of_each(docs).columns == docs.columns and one_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_copies_go_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9999)}" for _ in range(900)]
+    edited = [" ".join([*base, end]) for end in ("one", "two", "three")]
+    alike = [" ".join(["x"] * 100 + [f"{c}{k}" for k in range(10)]) for c in "pqr"]  # equal fingerprints, as one shingle prevails
+    assert len({simhash.fingerprint_of(t, 5) for t in alike}) == 1
+    assert all((simhash.fingerprint_of(t, 5) ^ simhash.fingerprint_of(edited[0], 5)).bit_count() <= 4 for t in edited)
+    docs = spark.createDataFrame(list(enumerate([*edited, *alike, None, ""])), "doc_id long, text string")
+    want = {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+    found = lambda: {r.doc_id: r.component_id for r in near_copies.components(docs).collect()}
+    assert found() == want
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(ngram_join, "star", lambda *args: none)  # without the exact join's own pairs
+    monkeypatch.setattr(ngram_join, "candidates", lambda *args: none)
+    assert found() == want
+
+
 def test_law_of_distances_follows_correlation():
     rng = np.random.default_rng(2)
     shared = rng.random((4000, 1)) < 0.5
