@@ -45,7 +45,7 @@ def track_lengths(toc: DataFrame, disc: str = "disc", track: str = "track", star
 def disc_ids(toc: DataFrame, disc: str = "disc", track: str = "track", start: str = "start") -> DataFrame:
     """(disc, disc_id, n_tracks): digit sum of the starts in seconds, total time and number of tracks, in eight hexadecimal digits.
 
-    The row with the largest track number is the lead-out.
+    The row with the largest track number is the lead-out. A number that eight digits don't hold, of times that no disc has, keeps all of its digits.
     """
     w = Window.partitionBy(disc).orderBy(F.desc(track))
     rows = toc.withColumn("k", F.row_number().over(w))
@@ -53,7 +53,8 @@ def disc_ids(toc: DataFrame, disc: str = "disc", track: str = "track", start: st
     g = rows.groupBy(disc).agg(F.sum(F.when(F.col("k") > 1, digits)).alias("digits"), F.max(F.when(F.col("k") == 1, F.col(start))).alias("out"), F.min(start).alias("first"), (F.count("*") - 1).alias("n_tracks"))
     total = F.col("out") - F.col("first")
     value = F.col("digits") % 255 * F.lit(1 << 24) + total * 256 + F.col("n_tracks")
-    return g.where("n_tracks > 0").select(disc, F.lower(F.lpad(F.hex(value.cast("long")), 8, "0")).alias("disc_id"), "n_tracks")
+    digits = F.hex(value.cast("long"))
+    return g.where("n_tracks > 0").select(disc, F.lower(F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), F.lit("0"))).alias("disc_id"), "n_tracks")
 
 
 def clean_titles(tracks: DataFrame, disc: str = "disc") -> DataFrame:
