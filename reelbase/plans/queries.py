@@ -863,7 +863,8 @@ def source_files(spark, d):
     """Files written by the data source, then read through it in SQL: of all that were written, the filter leaves WAV files of up to 156 bytes."""
     p, folder = X.table(spark, d, "part"), shared_path(spark, "files")
     media_source(spark)
-    X.wav(p).unionByName(X.gif(p)).write.format("reel_files").mode("append").save(folder)
+    spread = F.regexp_replace("path", "/([0-9]*?)([0-9]{1,3})[.]", "/d$1/$1$2.")  # a thousand keys a folder: who lists or removes one holds its names
+    X.wav(p).unionByName(X.gif(p)).withColumn("path", spread).write.format("reel_files").mode("append").save(folder)
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW source_files USING reel_files OPTIONS (path '{folder}')")
     files = spark.sql("SELECT path, length, head FROM source_files WHERE suffix = 'wav' AND length <= 156")
     return R.media(once(files), ("riff",)).select(key("p_partkey"), "mime", "samplerate", "length", "status")

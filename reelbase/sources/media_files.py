@@ -10,7 +10,8 @@ Rows are (path, suffix, length, modified, head): what routing needs, so ``elemen
 
 * Filters on path, suffix, length and modified are pushed: they are applied to the listing, before files are planned or opened.
 * Partitions are planned by the bytes that reading needs of files of their kinds, not by their number or length. As with Spark's own file
-  sources, the listing (a path, a length and a time for each file) is the driver's; heads are read in tasks.
+  sources, the listing (a path, a length and a time for each file) is the driver's; heads are read in tasks. On mounted paths the driver goes
+  through it file by file and keeps what passes the filters packed, some ten bytes a file; stores are listed by Arrow, which holds the list.
 * A stream goes by modification time: a batch has the files changed after the last one, up to ``settle`` seconds ago (5 by default), as
   times of files that are still being written may come out of order. Files that are put there with older times than that are not seen.
 * A written file appears whole, under a name that a repeated task writes again with the same bytes. Hidden names (``_`` or ``.``) aren't listed.
@@ -21,8 +22,12 @@ Options: ``path``; ``head``, bytes of each file to read (0: none, the column is
 from __future__ import annotations
 
 import operator
+import os
+import stat
 import time
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime, timezone
 
@@ -49,11 +54,18 @@ COMPARE = {
 
 
 class Files(InputPartition):
-    """(path, length, modification time in ns) of a task's files."""
+    """(path, length, modification time in ns) of a task's files, packed: the driver holds those of all tasks."""
 
     def __init__(self, files: list[tuple[str, int, int]]):
         super().__init__(None)
-        self.files = files
+        paths, *numbers = zip(*sorted(files), strict=True) if files else ((), (), ())
+        self.n = len(paths)
+        self.packed = [zlib.compress(x) for x in ("\0".join(paths).encode("utf-8", "surrogateescape"), *(array("q", x).tobytes() for x in numbers))]
+
+    @property
+    def files(self) -> list[tuple[str, int, int]]:
+        paths, *numbers = map(zlib.decompress, self.packed)
+        return list(zip(paths.decode("utf-8", "surrogateescape").split("\0"), *(array("q", x) for x in numbers), strict=True)) if self.n else []
 
 
 def suffix_of(path: str) -> str:
@@ -61,6 +73,24 @@ def suffix_of(path: str) -> str:
     return name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
 
 
+def below(folder: str) -> Iterator[tuple[str, int, int]]:
+    """Path, length and modification time of the files at or below a folder of this machine, one after the other; without hidden ones."""
+    folders = [folder]
+    while folders:
+        with os.scandir(top := folders.pop()) as found:
+            for x in found:
+                if x.name[:1] in ("_", "."):
+                    continue
+                try:
+                    told = x.stat()
+                except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                    continue
+                if stat.S_ISDIR(told.st_mode):
+                    folders.append(x.path)
+                elif stat.S_ISREG(told.st_mode):
+                    yield f"{top.rstrip('/')}/{x.name}", told.st_size, told.st_mtime_ns
+
+
 def listing(root: str) -> Iterator[tuple[str, int, int]]:
     """Path, length and modification time of the files at or below a path; hidden ones and those below hidden folders are left out."""
     store, name = located(root)
@@ -68,26 +98,32 @@ def listing(root: str) -> Iterator[tuple[str, int, int]]:
     found = store.get_file_info(name)
     if found.type == fs.FileType.NotFound:
         raise FileNotFoundError(root)
-    files = [found] if found.is_file else store.get_file_info(fs.FileSelector(name, recursive=True))
-    for f in files:
-        if f.is_file and not any(x[:1] in ("_", ".") for x in f.path[len(name) :].strip("/").split("/")):
-            yield scheme + f.path, f.size, f.mtime_ns or 0
+    if found.is_file:
+        yield scheme + found.path, found.size, found.mtime_ns or 0
+    elif isinstance(store, fs.LocalFileSystem):
+        yield from ((scheme + path, size, ns) for path, size, ns in below(name))
+    else:
+        for f in store.get_file_info(fs.FileSelector(name, recursive=True)):
+            if f.is_file and not any(x[:1] in ("_", ".") for x in f.path[len(name) :].strip("/").split("/")):
+                yield scheme + f.path, f.size, f.mtime_ns or 0
 
 
 def moment(ns: int) -> datetime:
     return datetime.fromtimestamp(ns // 1000 / 1e6, timezone.utc)
 
 
+#: What filters may be on, of a file as it is listed.
+COLUMNS = {("path",): lambda f: f[0], ("suffix",): lambda f: suffix_of(f[0]), ("length",): lambda f: f[1], ("modified",): lambda f: moment(f[2])}
+
+
 def fits(wanted: Filter, file: tuple[str, int, int]) -> bool | None:
     """Whether a file passes; None if the filter is of another kind or on another column."""
     if isinstance(wanted, Not):
         inner = fits(wanted.child, file)
         return None if inner is None else not inner
-    path, length, ns = file
-    columns = {("path",): path, ("suffix",): suffix_of(path), ("length",): length, ("modified",): moment(ns)}
-    if getattr(wanted, "attribute", None) not in columns:
+    if getattr(wanted, "attribute", None) not in COLUMNS:
         return None
-    value = columns[wanted.attribute]
+    value = COLUMNS[wanted.attribute](file)
     if isinstance(wanted, IsNotNull):
         return True
     if isinstance(wanted, In):
@@ -96,9 +132,9 @@ def fits(wanted: Filter, file: tuple[str, int, int]) -> bool | None:
 
 
 def plan(files: Iterable[tuple[str, int, int]]) -> list[Files]:
-    """Files in the order of their paths, dealt so that a task has about TASK bytes to read."""
+    """Files as they are listed, dealt so that a task has about TASK bytes to read, its files in the order of their paths."""
     tasks, held, bytes_ = [], [], 0
-    for f in sorted(files):
+    for f in files:
         held.append(f)
         bytes_ += min(f[1], NEEDS.get(suffix_of(f[0]), NEED))
         if bytes_ >= TASK or len(held) >= MANY:
